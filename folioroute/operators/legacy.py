@@ -81,7 +81,9 @@ def claim_names(docs: DataFrame, rules: RuleSet, inventory: DataFrame | None = N
     # A first cut in salted pieces keeps a name that fits most files off a single task.
     pieces = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = matches.withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(pieces)))
-    per_name = salted.groupBy("name", "_salt", "path").agg(F.min("rule_id").alias("rule_id"))
+    per_name = salted
+    if len(names) < len(rules):  # several rules of one name: a file claims it by the first
+        per_name = salted.groupBy("name", "_salt", "path").agg(F.min("rule_id").alias("rule_id"))
     for keys in (("name", "_salt"), ("name",)):
         order = Window.partitionBy(*keys).orderBy("path")
         per_name = per_name.withColumn("_n", F.row_number().over(order)).where(

@@ -7,6 +7,8 @@ join, no shuffle, and the text never leaves the scan stage.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,9 +74,8 @@ def first_match_column(rules: RuleSet) -> Column:
         return F.coalesce(*tests, F.lit(None).cast("int"))
 
     def step(found: Column, rule: Column) -> Column:
-        return F.when(found.isNotNull(), found).otherwise(
-            F.when(_walked_hits(rule, rules)[1], rule["rule_id"])
-        )
+        fits = _fits(_walked_hits(rule, rules), rule["min_hits"], rules.legacy)
+        return F.when(found.isNotNull(), found).otherwise(F.when(fits, rule["rule_id"]))
 
     first = F.aggregate(_rule_array(walked, rules), F.lit(None).cast("int"), step)
     others = [F.when(rule_condition(r, rules), F.lit(r.rule_id)) for r in own]
@@ -87,34 +88,41 @@ def match_all(docs: DataFrame, rules: RuleSet, keep: tuple[str, ...] = ("path",)
     The hits are gathered in an array per document and unfolded after the text
     has been dropped, so no text is copied per rule.
     """
-    live = live_rules(rules)
-    walked, own = _split_by_plan(live, rules)
+    walked, own = _split_by_plan(live_rules(rules), rules)
     parts = []
     if own:
-        parts.append(F.array(*[_hit_struct(rule, rules) for rule in own]))
+        parts.append(F.array(*[_counted(rule, rules) for rule in own]))
     if walked:
-
-        def one(rule: Column) -> Column:
-            hits, fits = _walked_hits(rule, rules)
-            return F.when(fits, F.struct(rule["rule_id"].alias("rule_id"), hits.alias("hits")))
-
-        parts.append(F.transform(_rule_array(walked, rules), one))
+        parts.append(
+            F.transform(
+                _rule_array(walked, rules),
+                lambda rule: F.struct(
+                    rule["rule_id"].alias("rule_id"),
+                    _walked_hits(rule, rules).alias("hits"),
+                    rule["min_hits"].alias("min_hits"),
+                ),
+            )
+        )
     if not parts:
         return docs.select(*keep, F.lit(0).alias("rule_id"), F.lit(0).alias("hits")).where("false")
     every = F.concat(*parts) if len(parts) > 1 else parts[0]
-    fitting = F.filter(every, lambda x: x.isNotNull())
+    fitting = F.filter(every, lambda x: _fits(x["hits"], x["min_hits"], rules.legacy))
+    # The outer form keeps the optimizer from testing the array in a filter of
+    # its own, which would count all hits twice.
     return (
         docs.select(*keep, fitting.alias("_fitting"))
-        .select(*keep, F.explode("_fitting").alias("_hit"))
+        .select(*keep, F.explode_outer("_fitting").alias("_hit"))
+        .where(F.col("_hit").isNotNull())
         .select(*keep, "_hit.rule_id", "_hit.hits")
     )
 
 
-def _hit_struct(rule: Rule, rules: RuleSet) -> Column:
+def _counted(rule: Rule, rules: RuleSet) -> Column:
     hits = P.hit_count(F.col(target_column(rule, rules.legacy)), rules.pattern(rule))
-    return F.when(
-        _fits(hits, F.lit(rule.min_hits), rules.legacy),
-        F.struct(F.lit(rule.rule_id).alias("rule_id"), hits.alias("hits")),
+    return F.struct(
+        F.lit(rule.rule_id).alias("rule_id"),
+        hits.alias("hits"),
+        F.lit(rule.min_hits).alias("min_hits"),
     )
 
 
@@ -130,35 +138,43 @@ def _split_by_plan(live: list[Rule], rules: RuleSet) -> tuple[list[Rule], list[R
     return walked, [r for r in live if not rules.pattern(r).runs_in_jvm]
 
 
+_RULE_ENTRY = (
+    "array<struct<rule_id:int,target:string,java:string,plain:string,plain_bytes:int,"
+    "required:string,min_hits:int>>"
+)
+
+
 def _rule_array(live: list[Rule], rules: RuleSet) -> Column:
-    def entry(rule: Rule) -> Column:
+    """The rules as one constant array (the optimizer evaluates it once)."""
+    entries = []
+    for rule in live:
         pattern = rules.pattern(rule)
         plain = pattern.literal or ""
-        return F.struct(
-            F.lit(rule.rule_id).alias("rule_id"),
-            F.lit(target_column(rule, rules.legacy)).alias("target"),
-            F.lit(pattern.java).alias("java"),
-            F.lit(plain).alias("plain"),
-            F.lit(len(plain.encode())).alias("plain_bytes"),
-            F.lit(pattern.required).alias("required"),
-            F.lit(rule.min_hits).alias("min_hits"),
+        entries.append(
+            {
+                "rule_id": rule.rule_id,
+                "target": target_column(rule, rules.legacy),
+                "java": pattern.java,
+                "plain": plain,
+                "plain_bytes": len(plain.encode()),
+                "required": pattern.required,
+                "min_hits": rule.min_hits,
+            }
         )
+    return F.from_json(F.lit(json.dumps(entries)), _RULE_ENTRY)
 
-    return F.array(*[entry(rule) for rule in live])
 
-
-def _walked_hits(rule: Column, rules: RuleSet) -> tuple[Column, Column]:
-    """Hits of an array entry on the current document, and whether they do."""
+def _walked_hits(rule: Column, rules: RuleSet) -> Column:
+    """Hits of an array entry on the current document."""
     used = sorted(needed_columns(rules))
     target = F.coalesce(*[F.when(rule["target"] == name, F.col(name)) for name in used], F.lit(""))
-    hits = (
+    return (
         F.when(~F.contains(target, rule["required"]), F.lit(0))
         .when(
             rule["plain_bytes"] > 0, P.literal_count(target, rule["plain"], rule["plain_bytes"])
         )
         .otherwise(F.regexp_count(target, rule["java"]))
     )
-    return hits, _fits(hits, rule["min_hits"], rules.legacy)
 
 
 def attach_rule(matched: DataFrame, rules: RuleSet, *fields: str) -> DataFrame:

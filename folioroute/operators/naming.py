@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from folioroute import constants as K
 from folioroute.functions import text as X
-from folioroute.session import reliable
+from folioroute.session import local_frame, reliable
 
 _SLOTS = K.SLOTS_PER_NAME
 _NUMBERED = r"(?s)\A(.*)_([1-9][0-9]?)\z"
@@ -54,7 +54,7 @@ def taken_slots(inventory: DataFrame, names: list[str]) -> DataFrame:
             F.nullif(F.regexp_extract("_stem", _NUMBERED, 2), F.lit("")).cast("int").alias("slot"),
         ),
     )
-    wanted = spark.createDataFrame([(n,) for n in names], "name string")
+    wanted = local_frame(spark, [(n,) for n in names], "name string")
     return (
         inventory.select(X.dir_name("path").alias("dir"), stem.alias("_stem"))
         .where("_stem <> ''")
@@ -184,7 +184,7 @@ def _settle_families(
     out = ranked.where(~F.col("_wins")).drop("_wins").withColumn("slot", F.lit(None).cast("int"))
 
     spark = claims.sparkSession
-    family = spark.createDataFrame(list(families.items()), "name string, family string")
+    family = local_frame(spark, list(families.items()), "name string, family string")
     runners = ranked.where("_wins").select("path", "dir", "name").join(family, "name")
     rows = runners.withColumn("slot", F.lit(None).cast("int"))
     if taken is not None:

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Below this many bytes per core a scan is smaller than half a default file
 # split, so cores would idle if the input came as one or two splits.
@@ -27,6 +30,20 @@ def run_dir(spark: SparkSession, purpose: str) -> str:
     return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
+def local_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
+    """A small frame that is part of the plan.
+
+    Unlike one made from an RDD its size is known, so Spark joins it by
+    broadcast when it is below the session's limit and not otherwise.
+    """
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    columns = list(zip(*rows)) if rows else [[] for _ in schema.names]
+    arrow = to_arrow_schema(schema)
+    arrays = [pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema)
+
+
 def reliable(df: DataFrame) -> DataFrame:
     """Cut the lineage of a slim result that several branches read.
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from folioroute import constants as K
 from folioroute.functions.patterns import Pattern, compile_legacy_pattern, compile_pattern
 from folioroute.functions.text import strip
+from folioroute.session import local_frame
 
 # A rule table becomes part of the plan, so it has to stay a table of rules.
 MAX_RULES = 20_000
@@ -82,7 +83,7 @@ class RuleSet:
              r.encrypt, self.pattern(r).valid)
             for r in self.rules
         ]
-        return spark.createDataFrame(rows, RULE_SCHEMA)
+        return local_frame(spark, rows, RULE_SCHEMA)
 
 
 def make_rules(entries: list[dict], legacy: bool = False) -> RuleSet:
