@@ -10,6 +10,7 @@ batch function for that rule alone.
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass
 
 import pandas as pd
@@ -31,6 +32,10 @@ _DIGIT = r"\p{Nd}"
 # U+10000 is a letter already; naming it makes Java look behind by whole
 # characters instead of UTF-16 units.
 _WORD = "\\p{L}\\p{N}_\U00010000"
+# Java tries matches between the two UTF-16 units of one character as well.
+_WHOLE_CHARACTER = r"(?![\x{DC00}-\x{DFFF}])"
+# Always true, and by its last character it makes a lookbehind step whole ones.
+_BY_CHARACTERS = "(?!(?!)\U00010000)"
 _CLASSES = {
     "DIGIT": (_DIGIT, "0-9"),
     "SPACE": (WHITESPACE, r"\x09-\x0D\x20"),
@@ -68,13 +73,16 @@ class Pattern:
 def compile_pattern(source: str) -> Pattern:
     """Read a rule pattern. One that does not compile is kept as invalid."""
     try:
-        re.compile(source, re.DOTALL)
-        tree = _sre.parse(source, re.DOTALL)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            re.compile(source, re.DOTALL)
+            tree = _sre.parse(source, re.DOTALL)
     except Exception:
         return Pattern(source, valid=False)
     flags = tree.state.flags
     try:
-        java = "(?s)" + _with_case(_sequence(tree, flags), 0, flags)
+        body = _with_case(_sequence(tree, flags), 0, flags)
+        java = "(?s)" + (_WHOLE_CHARACTER if _may_start_inside(tree, flags) else "") + body
     except _NoJavaForm:
         java = None
     literal = None
@@ -197,7 +205,8 @@ def _item(name: str, arg, flags: int) -> str:
     if name in ("ASSERT", "ASSERT_NOT"):
         direction, body = arg
         mark = ("?" if direction > 0 else "?<") + ("=" if name == "ASSERT" else "!")
-        return f"({mark}{_sequence(body, flags)})"
+        tail = "" if direction > 0 else _BY_CHARACTERS
+        return f"({mark}{_sequence(body, flags)}{tail})"
     if name == "GROUPREF":
         return f"(?:\\{arg})"
     if name == "FAILURE":
@@ -238,6 +247,31 @@ def _only_greedy_characters(tree) -> bool:
     return all(str(op) == "MAX_REPEAT" and _one_character(arg[2]) for op, arg in tree)
 
 
+def _may_start_inside(tree, flags: int) -> bool:
+    """Whether a match could begin in the middle of a two-unit character."""
+    if not len(tree):
+        return True
+    op, arg = tree[0]
+    name = str(op)
+    if name == "LITERAL":
+        return False
+    if name == "IN":
+        return any(
+            str(o) == "NEGATE" or "_NOT_" in str(a) or (str(o) == "RANGE" and a[1] >= 0xD800)
+            for o, a in arg
+        )
+    if name == "AT":
+        first = str(arg)
+        return not (first == "AT_BEGINNING_STRING" or first == "AT_BEGINNING" and not flags & re.MULTILINE)
+    if name == "SUBPATTERN":
+        return _may_start_inside(arg[3], flags | arg[1])
+    if name == "BRANCH":
+        return any(_may_start_inside(branch, flags) for branch in arg[1])
+    if name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] > 0:
+        return _may_start_inside(arg[2], flags)
+    return True
+
+
 def _required_text(tree) -> str:
     """Longest run of plain characters that is part of every match."""
     best = run = ""

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import codecs
+import csv
+import io
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -139,27 +142,28 @@ def read_rules(
 
 
 def read_rule_rows(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
-    """The six text columns of each complete row and its ``position``."""
-    schema = T.StructType(
-        [T.StructField(name, T.StringType()) for name in RAW_FIELDS]
-        + [T.StructField("_malformed", T.StringType())]
-    )
-    rows = (
-        spark.read.schema(schema)
-        .option("header", header)
-        .option("enforceSchema", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("encoding", "UTF-8")
-        # A missing column must differ from an empty one.
-        .option("nullValue", "\x00")
-        .option("emptyValue", "")
-        .option("columnNameOfCorruptRecord", "_malformed")
-        .csv(path)
-    )
-    return rows.where(F.col(RAW_FIELDS[-1]).isNotNull()).select(
-        F.monotonically_increasing_id().alias("position"), *RAW_FIELDS
-    )
+    """The six text columns of each complete row and its ``position``.
+
+    A rule file is small. It is taken as one text, because Spark's CSV reader
+    cannot tell a missing last column from an empty one.
+    """
+    fields = ", ".join(f"{name} string" for name in RAW_FIELDS)
+    whole = spark.read.text(path, wholetext=True)
+    return whole.mapInPandas(_row_parser(header), f"position int, {fields}")
+
+
+def _row_parser(header: bool):
+    columns, wanted = ["position", *RAW_FIELDS], len(RAW_FIELDS)
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for text in batch["value"]:
+                lines = io.StringIO(text.removeprefix("\ufeff").replace("\r\n", "\n"))
+                rows = list(csv.reader(lines))[1 if header else 0 :]
+                complete = [row[:wanted] for row in rows if len(row) >= wanted]
+                yield pd.DataFrame([(i, *row) for i, row in enumerate(complete)], columns=columns)
+
+    return parse
 
 
 def normalize_rules(
