@@ -46,10 +46,14 @@ def _lister(depth: int | None):
     return run
 
 
+def _open(path: str) -> tuple[pafs.FileSystem, str]:
+    if "://" in path or path.startswith("file:"):
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), path
+
+
 def _walk(folder: str, depth: int | None) -> Iterator[pd.DataFrame]:
-    system, start = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith(
-        "file:"
-    ) else (pafs.LocalFileSystem(), folder)
+    system, start = _open(folder)
     prefix = folder[: len(folder) - len(start)] if folder.endswith(start) else ""
     waiting = [start]
     while waiting:
@@ -69,8 +73,8 @@ def _walk(folder: str, depth: int | None) -> Iterator[pd.DataFrame]:
 def scan_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """PDF files with their bytes: ``path, length, modified, content``.
 
-    Spark's file sources leave out empty files; they are added from the
-    listing.
+    Spark's file sources leave out empty files and names that begin with a dot
+    or an underscore. Those few are read from the listing.
     """
     reader = spark.read.format("binaryFile").option("pathGlobFilter", PDF_GLOB)
     if recursive:
@@ -79,12 +83,19 @@ def scan_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFr
         plain_path("path").alias("path"), "length",
         F.col("modificationTime").alias("modified"), "content",
     )
-    empty = (
-        list_files(spark, root, recursive)
-        .where("length = 0")
-        .select(plain_path("path").alias("path"), "length", "modified", F.lit(b"").alias("content"))
+    listed = list_files(spark, root, recursive).withColumn("path", plain_path("path"))
+    left_out = listed.join(full.select("path"), "path", "left_anti").select(
+        "path", "length", "modified"
     )
-    return full.unionByName(empty)
+    return full.unionByName(left_out.mapInPandas(_read_bytes, full.schema))
+
+
+def _read_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for row in batch.to_dict("records"):
+            system, path = _open(row["path"])
+            with system.open_input_stream(path) as stream:
+                yield pd.DataFrame([{**row, "content": stream.read()}])
 
 
 def plain_path(path) -> Column:
