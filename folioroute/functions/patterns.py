@@ -28,6 +28,9 @@ except ImportError:  # before Python 3.11
 # long text would exhaust the task's stack.
 _LONGEST_GROUP_REPEAT = 200
 
+# Up to this threshold a text is split to see whether it has enough matches.
+_LARGEST_SPLIT = 1000
+
 _DIGIT = r"\p{Nd}"
 # U+10000 is a letter already; naming it makes Java look behind by whole
 # characters instead of UTF-16 units.
@@ -62,6 +65,7 @@ class Pattern:
     flags: int = re.DOTALL
     java: str | None = None
     counts_agree: bool = True
+    never_empty: bool = False
     literal: str | None = None
     required: str = ""
 
@@ -93,6 +97,7 @@ def compile_pattern(source: str) -> Pattern:
         valid=True,
         java=java,
         counts_agree=tree.getwidth()[0] > 0 or _only_greedy_characters(tree),
+        never_empty=tree.getwidth()[0] > 0,
         literal=literal,
         required="" if flags & re.IGNORECASE else _required_text(tree),
     )
@@ -345,7 +350,14 @@ def at_least(target: Column, pattern: Pattern, least: int) -> Column:
     """No hit never qualifies, so a threshold below one acts as one."""
     if least <= 1:
         return has_hit(target, pattern)
-    return hit_count(target, pattern) >= least
+    splits = pattern.java is not None and pattern.literal is None and pattern.never_empty
+    if not splits or least > _LARGEST_SPLIT:
+        return hit_count(target, pattern) >= least
+    # Splitting stops once there are enough matches; counting reads on.
+    text = F.coalesce(target, F.lit(""))
+    enough = F.size(F.split(text, pattern.java, least + 1)) > least
+    needed = _contains_required(text, pattern)
+    return enough if needed is None else needed & enough
 
 
 def exactly(target: Column, pattern: Pattern, count: int) -> Column:

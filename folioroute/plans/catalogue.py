@@ -6,6 +6,7 @@ documents (turn + 1 = page), pages for raw files, events for status updates.
 
 from __future__ import annotations
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,8 @@ from folioroute.plans import routing
 from folioroute.session import run_dir, spread
 from folioroute.sinks import writers
 from folioroute.sources import extract as E
-from folioroute.sources.rules import RuleSet, make_rules, normalize_rules
+from folioroute.sources.files import list_files, plain_path, scan_files
+from folioroute.sources.rules import make_rules, normalize_rules, read_rules
 from folioroute.streaming import monitor, router
 
 # --- rule sets ---------------------------------------------------------------
@@ -253,6 +255,49 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.run_summary(sizes)
 
 
+def route_from_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules for every language and source found, written to and read from a
+    rule file."""
+    origin = F.concat("lang", "source")
+    found = _table(spark, sf_dir, "documents").select(origin.alias("pattern")).distinct()
+    empty = F.lit(None).cast("string")
+    rows = found.select(
+        "pattern", F.concat(F.lit("from "), "pattern").alias("name"),
+        F.lit(K.TARGET_METADATA).alias("target"), F.lit("1").alias("n"),
+        empty.alias("user"), empty.alias("owner"),
+    )
+    out = run_dir(spark, "rules")
+    rows.repartition(1).sortWithinPartitions("pattern").write.csv(out)
+    rules = read_rules(spark, out)
+    return matching.attach_rule(routing.route(files(spark, sf_dir), rules), rules, "name")
+
+
+def route_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents laid out as files in a folder, then found, read and routed."""
+    home = run_dir(spark, "folder")
+
+    def lay_out(batches):
+        for batch in batches:
+            for path, text in zip(batch["path"], batch["text"]):
+                folder = home + path.rsplit("/", 1)[0]
+                system, plain = (
+                    pafs.FileSystem.from_uri(folder) if ":" in folder else (pafs.LocalFileSystem(), folder)
+                )
+                system.create_dir(plain)
+                with system.open_output_stream(f"{plain}/{path.rsplit('/', 1)[1]}") as stream:
+                    stream.write(text.encode("utf-8"))
+            yield batch[["path"]]
+
+    spread(files(spark, sf_dir).select("path", "text"), "path").mapInPandas(lay_out, "path string").count()
+    found = E.extract(scan_files(spark, home), [E.text_reader], want_metadata=False)
+    rules = make_rules([rule for rule in RULES if rule["target"] != K.TARGET_METADATA])
+    placed = routing.build_manifest(
+        E.extracted_documents(found), rules, list_files(spark, home).withColumn("path", plain_path("path"))
+    )
+    local = [F.replace(F.col(c), F.lit(home.removeprefix("file:")), F.lit("")).alias(c) for c in ("path", "target_path")]
+    return placed.select(*local, "action", "outcome", "rule_id", "encrypt", "ref_status")
+
+
 def split_then_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = pages.chunk_pages(paged(spark, sf_dir), 2)
     return routing.build_manifest(pages.chunks_as_files(chunks, "/split"), make_rules(RULES))
@@ -568,7 +613,7 @@ QUERIES = {
     for query in (
         route_first_match, route_counts, route_many_rules, route_exact, route_dialect, match_matrix,
         manifest, manifest_copy_mode, manifest_families, name_exhausted, legacy_claim,
-        running_metadata, run_summary, split_then_route, document_text, page_counts, chunk_text,
+        running_metadata, run_summary, split_then_route, route_from_file, route_folder, document_text, page_counts, chunk_text,
         chunk_names, chunk_counts, chunk_sink, page_markers, split_markers, preview_pages,
         preview_stripped, preview_first, path_parts, page_text, page_meta, text_fallback,
         ocr_flatten, extract_pages, map_files, text_sidecars, protect_roundtrip, rule_rows,

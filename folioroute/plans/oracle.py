@@ -29,6 +29,8 @@ CANONICAL = [
     (6, "german_like", r"len(regexp_extract_all(text, '(?s)der '))", 2, False),
     (8, "romance", r"len(regexp_extract_all(text, '(?s) la '))", 1, False),
 ]
+# The same without the metadata rule, renumbered: files in a folder have none.
+FOLDER = [(i, *r[1:]) for i, r in zip((0, 1, 2, 3, 4, 5, 7), CANONICAL[:3] + CANONICAL[4:])]
 TAKEN = [
     (0, "doc", r"len(regexp_extract_all(text, '(?s)the.*?and'))", 1, False),
     (1, "paper", r"len(regexp_extract_all(text, '(?s) la '))", 1, False),
@@ -298,6 +300,17 @@ total AS (
   SELECT count(*) AS searched, count(*) AS succeeded, count(rule_id) AS matched,
          max(length(path))::DOUBLE AS seconds FROM routed)
 SELECT *, {_duration("seconds")} AS elapsed FROM total""",
+    "route_from_file": f"""WITH {FILES},
+rules AS (
+  SELECT pattern, row_number() OVER (ORDER BY pattern) - 1 AS rule_id
+  FROM (SELECT DISTINCT lang || source AS pattern FROM documents)),
+hits AS (
+  SELECT m.metadata, min(r.rule_id)::INTEGER AS rule_id
+  FROM (SELECT DISTINCT metadata FROM files) m JOIN rules r ON contains(m.metadata, r.pattern)
+  GROUP BY m.metadata)
+SELECT f.path, h.rule_id, 'from ' || r.pattern AS name
+FROM files f LEFT JOIN hits h ON h.metadata = f.metadata LEFT JOIN rules r ON r.rule_id = h.rule_id""",
+    "route_folder": _manifest(FOLDER),
     "split_then_route": _manifest(CANONICAL, source=_named(CANONICAL).replace(FILES, _CHUNK_FILES)),
     "document_text": f"""WITH {PAGED}
 SELECT path, string_agg(text, '' ORDER BY page_no) AS text FROM paged GROUP BY path""",

@@ -58,7 +58,9 @@ def route_stream(
         routed = routing.route(docs, rules)
         known = batch.select("path")
         if earlier is not None:
-            routed = routed.join(earlier.select("path"), "path", "left_anti")
+            # The batch is the small side: the manifest is scanned, not shuffled.
+            seen = earlier.select("path").join(known, "path", "left_semi")
+            routed = routed.join(seen, "path", "left_anti")
             known = known.unionByName(earlier.select("path")).unionByName(
                 earlier.where("target_path is not null").select(F.col("target_path").alias("path"))
             )
