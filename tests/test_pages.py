@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from folioroute import constants as K
 from folioroute.operators import pages as G
 
@@ -37,7 +39,9 @@ def test_counts(spark):
     }
 
 
-def test_long_documents_are_joined_in_blocks(spark):
+@pytest.mark.parametrize("broadcast_paths", [0, 100])
+def test_long_documents_are_joined_in_blocks(spark, monkeypatch, broadcast_paths):
+    monkeypatch.setattr(G, "BROADCAST_PATHS", broadcast_paths)
     counts = {"short": 3, "block": 10, "long": 237, "one": 1}
     frame = paged(spark, counts)
     for block in (1, 10, 10_000):
