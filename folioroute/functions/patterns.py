@@ -29,7 +29,7 @@ except ImportError:  # before Python 3.11
 _LONGEST_GROUP_REPEAT = 200
 
 # Up to this threshold a text is split to see whether it has enough matches.
-_LARGEST_SPLIT = 1000
+LARGEST_SPLIT = 1000
 
 _DIGIT = r"\p{Nd}"
 # U+10000 is a letter already; naming it makes Java look behind by whole
@@ -351,7 +351,7 @@ def at_least(target: Column, pattern: Pattern, least: int) -> Column:
     if least <= 1:
         return has_hit(target, pattern)
     splits = pattern.java is not None and pattern.literal is None and pattern.never_empty
-    if not splits or least > _LARGEST_SPLIT:
+    if not splits or least > LARGEST_SPLIT:
         return hit_count(target, pattern) >= least
     # Splitting stops once there are enough matches; counting reads on.
     text = F.coalesce(target, F.lit(""))

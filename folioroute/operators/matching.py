@@ -17,9 +17,9 @@ from folioroute.functions import patterns as P
 from folioroute.sources.rules import Rule, RuleSet
 
 # Up to this many rules each one becomes an expression of its own. Beyond it
-# the generated code outgrows what the JVM compiles well, and the rules are
-# held as one array literal that is walked per document.
-EXPRESSION_RULES = 32
+# the rules are one constant array that is walked per document: as fast from a
+# few dozen rules on, and it does not outgrow what the JVM compiles.
+EXPRESSION_RULES = 16
 
 _TARGETS = {
     K.TARGET_CONTENT: "text",
@@ -74,8 +74,7 @@ def first_match_column(rules: RuleSet) -> Column:
         return F.coalesce(*tests, F.lit(None).cast("int"))
 
     def step(found: Column, rule: Column) -> Column:
-        fits = _fits(_walked_hits(rule, rules), rule["min_hits"], rules.legacy)
-        return F.when(found.isNotNull(), found).otherwise(F.when(fits, rule["rule_id"]))
+        return F.when(found.isNotNull(), found).otherwise(F.when(_walked_condition(rule, rules), rule["rule_id"]))
 
     first = F.aggregate(_rule_array(walked, rules), F.lit(None).cast("int"), step)
     others = [F.when(rule_condition(r, rules), F.lit(r.rule_id)) for r in own]
@@ -140,7 +139,7 @@ def _split_by_plan(live: list[Rule], rules: RuleSet) -> tuple[list[Rule], list[R
 
 _RULE_ENTRY = (
     "array<struct<rule_id:int,target:string,java:string,plain:string,plain_bytes:int,"
-    "required:string,min_hits:int>>"
+    "required:string,splits:boolean,min_hits:int>>"
 )
 
 
@@ -158,16 +157,21 @@ def _rule_array(live: list[Rule], rules: RuleSet) -> Column:
                 "plain": plain,
                 "plain_bytes": len(plain.encode()),
                 "required": pattern.required,
+                "splits": pattern.never_empty and rule.min_hits <= P.LARGEST_SPLIT,
                 "min_hits": rule.min_hits,
             }
         )
     return F.from_json(F.lit(json.dumps(entries)), _RULE_ENTRY)
 
 
+def _walked_target(rule: Column, rules: RuleSet) -> Column:
+    used = sorted(needed_columns(rules))
+    return F.coalesce(*[F.when(rule["target"] == name, F.col(name)) for name in used], F.lit(""))
+
+
 def _walked_hits(rule: Column, rules: RuleSet) -> Column:
     """Hits of an array entry on the current document."""
-    used = sorted(needed_columns(rules))
-    target = F.coalesce(*[F.when(rule["target"] == name, F.col(name)) for name in used], F.lit(""))
+    target = _walked_target(rule, rules)
     return (
         F.when(~F.contains(target, rule["required"]), F.lit(0))
         .when(
@@ -177,6 +181,26 @@ def _walked_hits(rule: Column, rules: RuleSet) -> Column:
     )
 
 
+def _walked_condition(rule: Column, rules: RuleSet) -> Column:
+    """Whether an array entry fits the current document."""
+    wanted = rule["min_hits"]
+    if rules.legacy:
+        return _walked_hits(rule, rules) == wanted
+    target = _walked_target(rule, rules)
+    # As in the expressions: one hit is enough for a threshold of one, and a
+    # split ends once there are enough.
+    return F.contains(target, rule["required"]) & (
+        F.when(
+            rule["plain_bytes"] > 0,
+            (wanted <= 1)
+            | (P.literal_count(target, rule["plain"], rule["plain_bytes"]) >= wanted),
+        )
+        .when(wanted <= 1, F.rlike(target, rule["java"]))
+        .when(rule["splits"], F.size(F.split(target, rule["java"], wanted + 1)) > wanted)
+        .otherwise(F.regexp_count(target, rule["java"]) >= wanted)
+    )
+
+
 def attach_rule(matched: DataFrame, rules: RuleSet, *fields: str) -> DataFrame:
     """Add fields of the chosen rule by ``rule_id``.
 

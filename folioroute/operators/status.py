@@ -15,15 +15,18 @@ from folioroute.functions import labels as L
 from folioroute.functions import text as X
 
 STATUS_COLUMNS = ["path", "status", "message", "thread", "start_time", "end_time"]
+# Thread of updates that name none: whoever submits the files.
+CALLER_THREAD = 0
 STATES = ["pending", "queued", "processing", "completed", "failed"]
 
 
-def fold_columns(caller_thread: int | None = None) -> list[Column]:
+def fold_columns(caller_thread: int | None = CALLER_THREAD) -> list[Column]:
     """Aggregates that fold a file's updates into its status, in any order.
 
     Only updates with a message set the message (null if none did); the first
     start and the last end count. An update without a thread takes the
-    caller's.
+    caller's, so a file has a thread from its first update on; None leaves such
+    updates without.
     """
     thread = F.col("thread")
     if caller_thread is not None:
@@ -41,14 +44,14 @@ def fold_columns(caller_thread: int | None = None) -> list[Column]:
     ]
 
 
-def fold_updates(updates: DataFrame, caller_thread: int | None = None) -> DataFrame:
+def fold_updates(updates: DataFrame, caller_thread: int | None = CALLER_THREAD) -> DataFrame:
     """What a set of updates says about every path they touch. State per path
     has constant size and is combined before the shuffle, however many updates
     a path has."""
     return updates.groupBy("path").agg(*fold_columns(caller_thread))
 
 
-def latest_status(updates: DataFrame, caller_thread: int | None = None) -> DataFrame:
+def latest_status(updates: DataFrame, caller_thread: int | None = CALLER_THREAD) -> DataFrame:
     """Current status of every path, from all its updates."""
     return fold_updates(updates, caller_thread).withColumn(
         "message", F.coalesce("message", F.lit(""))

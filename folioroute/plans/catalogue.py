@@ -143,22 +143,18 @@ def updates_of(events: DataFrame) -> DataFrame:
     )
 
 
-CALLER_THREAD = 0
-
-
 def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return updates_of(_table(spark, sf_dir, "events"))
 
 
 def status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.latest_status(updates(spark, sf_dir), CALLER_THREAD)
+    return S.latest_status(updates(spark, sf_dir))
 
 
 def listed_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status with files that were listed and not yet submitted: those whose
     updates never went past waiting have no thread."""
-    folded = S.latest_status(updates(spark, sf_dir))
-    return folded
+    return S.latest_status(updates(spark, sf_dir), caller_thread=None)
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -507,13 +503,13 @@ def insert_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     everything = updates(spark, sf_dir).unionByName(
         files(spark, sf_dir).select("path"), allowMissingColumns=True
     )
-    return S.insert_missing(S.latest_status(known, CALLER_THREAD), everything)
+    return S.insert_missing(S.latest_status(known), everything)
 
 
 def merge_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     early = F.col("status").isin(K.WAITING, K.RUNNING)
-    before = S.latest_status(updates(spark, sf_dir).where(early), CALLER_THREAD)
-    changes = S.fold_updates(updates(spark, sf_dir).where(~early), CALLER_THREAD)
+    before = S.latest_status(updates(spark, sf_dir).where(early))
+    changes = S.fold_updates(updates(spark, sf_dir).where(~early))
     return S.merge_status(before, changes)
 
 
@@ -588,7 +584,7 @@ def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = run_dir(spark, "monitor")
     events = updates_of(_stream(spark, sf_dir, "events"))
     monitor.monitor_status(
-        events, f"{home}/log", f"{home}/checkpoint", every=None, caller_thread=CALLER_THREAD
+        events, f"{home}/log", f"{home}/checkpoint", every=None
     ).awaitTermination()
     return monitor.current_status(spark, f"{home}/log")
 

@@ -19,7 +19,7 @@ def monitor_status(
     change_log: str,
     checkpoint: str,
     every: str | None = "1 second",
-    caller_thread: int | None = None,
+    caller_thread: int | None = S.CALLER_THREAD,
 ) -> StreamingQuery:
     """Start folding a stream of updates (``path, seq, status, message, thread,
     ts``) into ``change_log``. Without an interval it handles what is there and

@@ -44,9 +44,10 @@ def test_fold_equals_updates_one_by_one(spark):
 
 
 def test_hot_path(spark):
-    updates = [("hot" if i % 3 else f"p{i % 9}", i, i % 4, None, i, float(i)) for i in range(3000)]
+    updates = [("hot" if i % 3 else f"p{i % 9}", i, i % 4, None, i % 2 or None, float(i)) for i in range(3000)]
     frame = spark.createDataFrame(updates, UPDATE).repartition(8)
-    assert as_rows(S.latest_status(frame)) == one_by_one(updates, None)
+    assert as_rows(S.latest_status(frame)) == one_by_one(updates, 0)
+    assert as_rows(S.latest_status(frame, None)) == one_by_one(updates, None)
 
 
 def test_merge_equals_folding_everything(spark):
