@@ -6,7 +6,6 @@ documents (turn + 1 = page), pages for raw files, events for status updates.
 
 from __future__ import annotations
 
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +18,7 @@ from folioroute.plans import routing
 from folioroute.session import run_dir, spread
 from folioroute.sinks import writers
 from folioroute.sources import extract as E
-from folioroute.sources.files import list_files, plain_path, scan_files
+from folioroute.sources.files import open_filesystem, plain_path
 from folioroute.sources.rules import make_rules, normalize_rules, read_rules
 from folioroute.streaming import monitor, router
 
@@ -275,22 +274,19 @@ def route_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     def lay_out(batches):
         for batch in batches:
             for path, text in zip(batch["path"], batch["text"]):
-                folder = home + path.rsplit("/", 1)[0]
-                system, plain = (
-                    pafs.FileSystem.from_uri(folder) if ":" in folder else (pafs.LocalFileSystem(), folder)
-                )
+                folder, name = (home + path).rsplit("/", 1)
+                system, plain = open_filesystem(folder)
                 system.create_dir(plain)
-                with system.open_output_stream(f"{plain}/{path.rsplit('/', 1)[1]}") as stream:
+                with system.open_output_stream(f"{plain}/{name}") as stream:
                     stream.write(text.encode("utf-8"))
             yield batch[["path"]]
 
     spread(files(spark, sf_dir).select("path", "text"), "path").mapInPandas(lay_out, "path string").count()
-    found = E.extract(scan_files(spark, home), [E.text_reader], want_metadata=False)
     rules = make_rules([rule for rule in RULES if rule["target"] != K.TARGET_METADATA])
-    placed = routing.build_manifest(
-        E.extracted_documents(found), rules, list_files(spark, home).withColumn("path", plain_path("path"))
-    )
-    local = [F.replace(F.col(c), F.lit(home.removeprefix("file:")), F.lit("")).alias(c) for c in ("path", "target_path")]
+    placed = routing.folder_manifest(spark, home, rules, [E.text_reader])
+    local = [
+        F.replace(F.col(c), plain_path(F.lit(home)), F.lit("")).alias(c) for c in ("path", "target_path")
+    ]
     return placed.select(*local, "action", "outcome", "rule_id", "encrypt", "ref_status")
 
 

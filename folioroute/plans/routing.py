@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioroute import constants as K
 from folioroute.functions import text as X
 from folioroute.operators import matching, naming
 from folioroute.session import spread
+from folioroute.sources import files as files_source
+from folioroute.sources.extract import extract, extracted_documents
 from folioroute.sources.rules import RuleSet
 
 MANIFEST_COLUMNS = [
@@ -112,3 +114,48 @@ def manifest_of(
         # A finished job counts as done whether or not the file found a name.
         F.lit(K.DONE).alias("ref_status"),
     )
+
+
+def folder_documents(
+    spark: SparkSession,
+    root: str,
+    rules: RuleSet,
+    readers: list,
+    recursive: bool = True,
+    remove_spaces: bool = True,
+    **how,
+) -> DataFrame:
+    """Documents of a folder for the given rules.
+
+    Files are opened only if a live rule looks at their content or metadata.
+    ``how`` goes to ``extract`` (recognizer, force_ocr).
+    """
+    wanted = matching.needed_columns(rules)
+    if not wanted & {"text", "metadata"}:
+        return files_source.list_files(spark, root, recursive).select(
+            files_source.plain_path("path").alias("path")
+        )
+    found = extract(
+        files_source.scan_files(spark, root, recursive),
+        readers,
+        want_pages="text" in wanted,
+        want_metadata="metadata" in wanted,
+        **how,
+    )
+    return extracted_documents(found, remove_spaces)
+
+
+def folder_manifest(
+    spark: SparkSession,
+    root: str,
+    rules: RuleSet,
+    readers: list,
+    recursive: bool = True,
+    copy_mode: bool = False,
+    **how,
+) -> DataFrame:
+    """Manifest of all PDF files of a folder, named against its listing."""
+    docs = folder_documents(spark, root, rules, readers, recursive, **how)
+    listing = files_source.list_files(spark, root, recursive)
+    existing = listing.select(files_source.plain_path("path").alias("path"))
+    return build_manifest(docs, rules, existing, copy_mode)

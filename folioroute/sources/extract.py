@@ -17,7 +17,9 @@ from folioroute.functions import text as X
 
 Reader = Callable[[bytes], tuple[list[str], dict]]
 METADATA_TYPE = "array<struct<key:string,value:string>>"
-_EXTRACTED = f"path string, pages array<string>, metadata {METADATA_TYPE}, error string"
+_EXTRACTED = (
+    f"path string, pages array<string>, recognized boolean, metadata {METADATA_TYPE}, error string"
+)
 
 
 def extract(
@@ -28,7 +30,8 @@ def extract(
     want_pages: bool = True,
     want_metadata: bool = True,
 ) -> DataFrame:
-    """``path, pages, metadata, error`` of files with ``path`` and ``content``.
+    """``path, pages, recognized, metadata, error`` of files with ``path`` and
+    ``content``.
 
     Each entry builds a reader once per task. The first reader that yields
     text wins, the recognizer comes last and only for files without text;
@@ -44,7 +47,7 @@ def extract(
                 (path, *_read_one(content, built, recognize, force_ocr, want_pages, want_metadata))
                 for path, content in zip(batch["path"], batch["content"])
             ]
-            yield pd.DataFrame(rows, columns=["path", "pages", "metadata", "error"])
+            yield pd.DataFrame(rows, columns=["path", "pages", "recognized", "metadata", "error"])
 
     return files.select("path", "content").mapInPandas(run, _EXTRACTED)
 
@@ -71,28 +74,32 @@ def _read_one(content, readers, recognize, force_ocr, want_pages, want_metadata)
             pages = [t or "" for t in texts]
         if any(pages) or not want_pages:
             break
+    recognized = False
     if recognize is not None and want_pages and (force_ocr or not any(pages)):
         try:
-            recognized = recognize(content)
-            pages = recognized if force_ocr or any(recognized) else pages
+            found = recognize(content)
+            # Recognized pages have headings, so any page makes a text.
+            recognized = force_ocr or bool(found)
+            pages = found if recognized else pages
         except Exception as problem:
             problems.append(str(problem))
     failed = bool(problems) and not any(pages) and metadata is None
     return (
         pages if want_pages else [],
+        recognized,
         metadata if want_metadata else [],
         "; ".join(problems) if failed else None,
     )
 
 
-def extracted_documents(extracted: DataFrame, markers: bool = False) -> DataFrame:
-    """One row per file: page texts joined, with headings for recognized text."""
-    if markers:
-        framed = F.transform("pages", lambda text, i: X.page_marker(i + 1, text))
-        joined = F.array_join(framed, "")
-    else:
-        joined = F.array_join("pages", "")
-    return extracted.select("path", F.coalesce(joined, F.lit("")).alias("text"), "metadata", "error")
+def extracted_documents(extracted: DataFrame, remove_spaces: bool = True) -> DataFrame:
+    """One row per file with its page texts joined: ``path, text, metadata,
+    error``. Recognized pages get their headings, and lose their spaces unless
+    those are to be kept."""
+    clean = X.strip_spaces if remove_spaces else (lambda text: text)
+    framed = F.transform("pages", lambda text, i: X.page_marker(i + 1, clean(text)))
+    text = F.when(F.col("recognized"), F.array_join(framed, "")).otherwise(F.array_join("pages", ""))
+    return extracted.select("path", F.coalesce(text, F.lit("")).alias("text"), "metadata", "error")
 
 
 # --- readers -------------------------------------------------------------------

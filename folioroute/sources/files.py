@@ -46,15 +46,20 @@ def _lister(depth: int | None):
     return run
 
 
-def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
+def open_filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path, and the path as that system names it."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    if "://" in path:
         return pafs.FileSystem.from_uri(path)
     return pafs.LocalFileSystem(), path
 
 
 def _walk(folder: str, depth: int | None) -> Iterator[pd.DataFrame]:
-    system, start = _open(folder)
-    prefix = folder[: len(folder) - len(start)] if folder.endswith(start) else ""
+    folder = folder.rstrip("/") or "/"
+    system, start = open_filesystem(folder)
+    # Entries come without the scheme; local ones are left so.
+    prefix = "" if folder.startswith("file:") else folder.removesuffix(start)
     waiting = [start]
     while waiting:
         found = system.get_file_info(pafs.FileSelector(waiting.pop()))
@@ -93,7 +98,7 @@ def scan_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFr
 def _read_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for row in batch.to_dict("records"):
-            system, path = _open(row["path"])
+            system, path = open_filesystem(row["path"])
             with system.open_input_stream(path) as stream:
                 yield pd.DataFrame([{**row, "content": stream.read()}])
 

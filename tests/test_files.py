@@ -49,8 +49,9 @@ def test_listing_and_scan_find_what_a_walk_finds(spark, folder, recursive):
             assert bytes(row.content) == file.read()
 
 
-def test_listing_with_a_scheme(spark, folder):
-    listed = S.list_files(spark, "file://" + folder)
+@pytest.mark.parametrize("scheme", ["file://", "file:"])
+def test_listing_with_a_scheme(spark, folder, scheme):
+    listed = S.list_files(spark, scheme + folder + "/")
     assert sorted(r[0] for r in listed.select(S.plain_path("path")).collect()) == walked(folder)
 
 
@@ -103,17 +104,19 @@ def test_metadata_order_and_pruning(spark):
 
 def test_recognized_text_has_page_headings(spark):
     frame = spark.createDataFrame([("p", b"x")], "path string, content binary")
-    found = E.extract(frame, [reader([""])], lambda: lambda content: ["one\n", ""])
-    text = E.extracted_documents(found, markers=True).first().text
+    found = E.extract(frame, [reader([""])], lambda: lambda content: ["o n e\n", ""])
+    assert found.first().recognized
+    text = E.extracted_documents(found).first().text
     assert text == "===== 第1頁 =====\none\n\n===== 第2頁 =====\n\n"
+    assert "o n e" in E.extracted_documents(found, remove_spaces=False).first().text
     assert G.number_pages(found).count() == 2
+    read = E.extract(frame, [reader(["a b", "c"])], lambda: lambda content: ["o"])
+    assert E.extracted_documents(read).first().text == "a bc"
 
 
 def test_folder_to_manifest(spark, folder):
     rules = make_rules([dict(pattern="a", name="found"), dict(pattern=r"^\.", name="hidden", target="2")])
-    files = S.scan_files(spark, folder)
-    docs = E.extracted_documents(E.extract(files, [E.text_reader]))
-    rows = {r.path: r for r in routing.build_manifest(docs, rules, S.list_files(spark, folder)).collect()}
+    rows = {r.path: r for r in routing.folder_manifest(spark, folder, rules, [E.text_reader]).collect()}
     assert rows[f"{folder}/_draft.pdf"].target_path == f"{folder}/found.pdf"
     assert rows[f"{folder}/a.PDF"].target_path == f"{folder}/found_1.pdf"
     assert rows[f"{folder}/b.pdf"].target_path == f"{folder}/found_2.pdf"
@@ -123,6 +126,18 @@ def test_folder_to_manifest(spark, folder):
     assert rows[f"{folder}/a.b.pdf"].outcome == "error"
 
 
+def test_files_are_not_opened_for_rules_on_names(spark, folder):
+    rules = make_rules([dict(pattern="^a", name="named", target="2"), dict(pattern="(", name="broken")])
+
+    def never():
+        raise AssertionError("opened")
+
+    docs = routing.folder_documents(spark, folder, rules, [never])
+    assert docs.columns == ["path"] and docs.count() == len(walked(folder))
+    rows = routing.folder_manifest(spark, folder, rules, [never], recursive=False).where("rule_id = 0").collect()
+    assert {r.target_path.rsplit("/")[-1] for r in rows} == {"named.pdf", "named_1.pdf"}
+
+
 def test_html(spark):
     html = "<html><title>T &amp; U</title><script>x<p></script><p>one<br>two</p></html>"
     frame = spark.createDataFrame([(html,)], "h string")
