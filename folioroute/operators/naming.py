@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioroute import constants as K
 from folioroute.functions import text as X
@@ -175,40 +177,48 @@ def _settle_families(
     A name has 100 slots, and whoever comes after 100 earlier claimants of the
     same name finds them all gone. Only the first 100 per name are settled one
     after the other: a family's group holds at most that many rows per name.
+    The others pass in as many groups as there are pieces.
     """
     order = Window.partitionBy("dir", "name", "_piece").orderBy("path")
-    ranked = _race(claims).withColumn(
-        "_wins", (F.col("_piece") == _REST) & (F.row_number().over(order) <= _SLOTS)
+    wins = (F.col("_piece") == _REST) & (F.row_number().over(order) <= _SLOTS)
+    aside = F.pmod(F.xxhash64("path"), F.lit(_piece_count(claims))).cast("int")
+    rows = (
+        _race(claims)
+        .withColumn("_piece", F.when(wins, F.lit(_REST)).otherwise(aside))
+        .withColumn("_slot", F.lit(None).cast("int"))
     )
-    ranked = reliable(ranked.drop("_piece"))
-    out = ranked.where(~F.col("_wins")).drop("_wins").withColumn("slot", F.lit(None).cast("int"))
-
-    spark = claims.sparkSession
-    family = local_frame(spark, list(families.items()), "name string, family string")
-    runners = ranked.where("_wins").select("path", "dir", "name").join(family, "name")
-    rows = runners.withColumn("slot", F.lit(None).cast("int"))
     if taken is not None:
-        rows = rows.unionByName(
-            taken.distinct().join(family, "name").withColumn("path", F.lit(None).cast("string"))
-        )
-    placed = rows.groupBy("dir", "family").applyInPandas(
-        _settle_one_family, "path string, slot int"
+        marks = taken.distinct().withColumnRenamed("slot", "_slot")
+        rows = rows.unionByName(marks.withColumn("_piece", F.lit(_REST)), allowMissingColumns=True)
+    family = local_frame(claims.sparkSession, list(families.items()), "name string, family string")
+    result = T.StructType(claims.schema.fields + [T.StructField("slot", T.IntegerType())])
+    return (
+        rows.join(family, "name")
+        .groupBy("dir", "family", "_piece")
+        .applyInArrow(_settler(claims.columns), result)
     )
-    winners = ranked.where("_wins").drop("_wins").join(placed, "path")
-    return out.unionByName(winners)
-
-
-def _settle_one_family(group: pd.DataFrame) -> pd.DataFrame:
-    def file(name, slot):
-        return f"{name}_{int(slot)}" if slot else name
-
-    existing = group[group.path.isna()]
-    used = {file(name, slot) for name, slot in zip(existing["name"], existing["slot"])}
-    claims = group[group.path.notna()].sort_values("path")
-    slots = []
-    for name in claims["name"]:
-        slot = next((k for k in range(_SLOTS) if file(name, k) not in used), None)
-        if slot is not None:
-            used.add(file(name, slot))
-        slots.append(slot)
-    return pd.DataFrame({"path": claims["path"], "slot": pd.array(slots, dtype="Int32")})
+
+
+def _settler(columns: list[str]):
+    rest, slots = _REST, _SLOTS
+
+    def file(name: str, slot: int) -> str:
+        return f"{name}_{slot}" if slot else name
+
+    def settle(group: pa.Table) -> pa.Table:
+        is_claim = group["path"].is_valid()
+        claims = group.filter(is_claim).sort_by("path")
+        given: list[int | None] = [None] * claims.num_rows
+        if group["_piece"][0].as_py() == rest:
+            existing = group.filter(pc.invert(is_claim))
+            used = {
+                file(*pair)
+                for pair in zip(existing["name"].to_pylist(), existing["_slot"].to_pylist())
+            }
+            for i, name in enumerate(claims["name"].to_pylist()):
+                given[i] = next((k for k in range(slots) if file(name, k) not in used), None)
+                if given[i] is not None:
+                    used.add(file(name, given[i]))
+        return claims.select(columns).append_column("slot", pa.array(given, pa.int32()))
+
+    return settle

@@ -87,10 +87,18 @@ def many_rules() -> list[dict]:
 # --- tables in the engine's shapes ---------------------------------------------
 
 
+_SCHEMAS = {
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "conversations": "conv_id long, turn long, role string, text string",
+    "pages": "page_id long, url string, html string",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # Times in the tables are zone-less; they are read and shown as UTC.
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -571,8 +579,8 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema = _table(spark, sf_dir, name).schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    source = spark.readStream.schema(_SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet")
     return source.parquet(sf_dir)
 
 
