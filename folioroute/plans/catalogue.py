@@ -18,7 +18,7 @@ from folioroute.plans import routing
 from folioroute.session import run_dir, spread
 from folioroute.sinks import writers
 from folioroute.sources import extract as E
-from folioroute.sources.files import open_filesystem, plain_path
+from folioroute.sources.files import open_filesystem, plain_path, scan_files
 from folioroute.sources.rules import make_rules, normalize_rules, read_rules
 from folioroute.streaming import monitor, router
 
@@ -258,28 +258,37 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.run_summary(sizes)
 
 
-def route_from_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules for every language and source found, written to and read from a
-    rule file."""
+def _origin_rules(spark: SparkSession, sf_dir: str, target: str, header: bool) -> str:
+    """Write a rule file with a rule for every language and source found."""
     origin = F.concat("lang", "source")
     found = _table(spark, sf_dir, "documents").select(origin.alias("pattern")).distinct()
     empty = F.lit(None).cast("string")
     rows = found.select(
         "pattern", F.concat(F.lit("from "), "pattern").alias("name"),
-        F.lit(K.TARGET_METADATA).alias("target"), F.lit("1").alias("n"),
+        F.lit(target).alias("target"), F.lit("1").alias("n"),
         empty.alias("user"), empty.alias("owner"),
     )
     out = run_dir(spark, "rules")
-    rows.repartition(1).sortWithinPartitions("pattern").write.csv(out)
-    rules = read_rules(spark, out)
+    rows.repartition(1).sortWithinPartitions("pattern").write.option("header", header).csv(out)
+    return out
+
+
+def route_from_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = read_rules(spark, _origin_rules(spark, sf_dir, K.TARGET_METADATA, header=False))
     return matching.attach_rule(routing.route(files(spark, sf_dir), rules), rules, "name")
 
 
-def route_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents laid out as files in a folder, then found, read and routed."""
-    home = run_dir(spark, "folder")
+def route_legacy_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _origin_rules(spark, sf_dir, K.LEGACY_TARGET_METADATA, header=True)
+    rules = read_rules(spark, path, legacy=True, encrypt=True, default_user_pass="open")
+    routed = routing.route(files(spark, sf_dir), rules)
+    return matching.attach_rule(routed, rules, "name", "encrypt", "user_pass")
+
 
-    def lay_out(batches):
+def _lay_out(docs: DataFrame, home: str) -> None:
+    """Write each text to its path below a folder, from within the tasks."""
+
+    def write(batches):
         for batch in batches:
             for path, text in zip(batch["path"], batch["text"]):
                 folder, name = (home + path).rsplit("/", 1)
@@ -289,13 +298,33 @@ def route_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
                     stream.write(text.encode("utf-8"))
             yield batch[["path"]]
 
-    spread(files(spark, sf_dir).select("path", "text"), "path").mapInPandas(lay_out, "path string").count()
+    spread(docs.select("path", "text"), "path").mapInPandas(write, "path string").count()
+
+
+def _below(column: str, home: str):
+    return F.replace(F.col(column), plain_path(F.lit(home)), F.lit("")).alias(column)
+
+
+def route_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents laid out as files in a folder, then found, read and routed."""
+    home = run_dir(spark, "folder")
+    _lay_out(files(spark, sf_dir), home)
     rules = make_rules([rule for rule in RULES if rule["target"] != K.TARGET_METADATA])
     placed = routing.folder_manifest(spark, home, rules, [E.text_reader])
-    local = [
-        F.replace(F.col(c), plain_path(F.lit(home)), F.lit("")).alias(c) for c in ("path", "target_path")
-    ]
-    return placed.select(*local, "action", "outcome", "rule_id", "encrypt", "ref_status")
+    return placed.select(
+        _below("path", home), _below("target_path", home), "action", "outcome", "rule_id", "encrypt", "ref_status"
+    )
+
+
+def scan_top_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents laid out in two levels; only the upper one is listed."""
+    home = run_dir(spark, "levels")
+    docs = _table(spark, sf_dir, "documents")
+    folder = F.when(F.col("lang") == "en", "/").otherwise(F.concat(F.lit("/"), "lang", F.lit("/")))
+    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
+    _lay_out(docs.select(F.concat(folder, name, F.lit(".PDF")).alias("path"), "text"), home)
+    found = scan_files(spark, home, recursive=False)
+    return found.select(_below("path", home), "length", F.col("content").cast("string").alias("text"))
 
 
 def split_then_route(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -613,7 +642,8 @@ QUERIES = {
     for query in (
         route_first_match, route_counts, route_many_rules, route_exact, route_dialect, match_matrix,
         manifest, manifest_copy_mode, manifest_families, name_exhausted, legacy_claim,
-        running_metadata, run_summary, split_then_route, route_from_file, route_folder, document_text, page_counts, chunk_text,
+        running_metadata, run_summary, split_then_route, route_from_file, route_legacy_file, route_folder,
+        scan_top_level, document_text, page_counts, chunk_text,
         chunk_names, chunk_counts, chunk_sink, page_markers, split_markers, preview_pages,
         preview_stripped, preview_first, path_parts, page_text, page_meta, text_fallback,
         ocr_flatten, extract_pages, map_files, text_sidecars, protect_roundtrip, rule_rows,

@@ -272,6 +272,16 @@ LOG = """log AS (
          props AS message, event_id AS seq
   FROM events)"""
 
+# Every origin contains its own rule's text once; a shorter origin may come first.
+_ORIGIN = f"""{FILES},
+rules AS (
+  SELECT pattern, row_number() OVER (ORDER BY pattern) - 1 AS rule_id
+  FROM (SELECT DISTINCT lang || source AS pattern FROM documents)),
+hits AS (
+  SELECT m.metadata, min(r.rule_id)::INTEGER AS rule_id
+  FROM (SELECT DISTINCT metadata FROM files) m JOIN rules r ON contains(m.metadata, r.pattern)
+  GROUP BY m.metadata)"""
+
 ORACLE = {
     "route_first_match": f"""WITH {FILES}
 SELECT {_case(CANONICAL, 0)}::INTEGER AS rule_id, path, {_case(CANONICAL, 1)} AS name FROM files""",
@@ -300,16 +310,15 @@ total AS (
   SELECT count(*) AS searched, count(*) AS succeeded, count(rule_id) AS matched,
          max(length(path))::DOUBLE AS seconds FROM routed)
 SELECT *, {_duration("seconds")} AS elapsed FROM total""",
-    "route_from_file": f"""WITH {FILES},
-rules AS (
-  SELECT pattern, row_number() OVER (ORDER BY pattern) - 1 AS rule_id
-  FROM (SELECT DISTINCT lang || source AS pattern FROM documents)),
-hits AS (
-  SELECT m.metadata, min(r.rule_id)::INTEGER AS rule_id
-  FROM (SELECT DISTINCT metadata FROM files) m JOIN rules r ON contains(m.metadata, r.pattern)
-  GROUP BY m.metadata)
+    "route_from_file": f"""WITH {_ORIGIN}
 SELECT f.path, h.rule_id, 'from ' || r.pattern AS name
 FROM files f LEFT JOIN hits h ON h.metadata = f.metadata LEFT JOIN rules r ON r.rule_id = h.rule_id""",
+    "route_legacy_file": f"""WITH {_ORIGIN}
+SELECT f.path, h.rule_id, 'from ' || r.pattern AS name, h.rule_id IS NOT NULL AS encrypt,
+       CASE WHEN h.rule_id IS NOT NULL THEN 'open' END AS user_pass
+FROM files f LEFT JOIN hits h ON h.metadata = f.metadata LEFT JOIN rules r ON r.rule_id = h.rule_id""",
+    "scan_top_level": """SELECT '/doc_' || doc_id || '.PDF' AS path, strlen(text)::BIGINT AS length, text
+FROM documents WHERE lang = 'en'""",
     "route_folder": _manifest(FOLDER),
     "split_then_route": _manifest(CANONICAL, source=_named(CANONICAL).replace(FILES, _CHUNK_FILES)),
     "document_text": f"""WITH {PAGED}
