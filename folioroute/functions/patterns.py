@@ -12,6 +12,8 @@ from __future__ import annotations
 import re
 import warnings
 from dataclasses import dataclass
+from functools import lru_cache, reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -56,8 +58,8 @@ class Pattern:
 
     ``java`` is the Spark form, None if there is none; ``counts_agree`` tells
     whether the number of its matches (not only their existence) is exact.
-    ``literal`` is set if the pattern is plain text, ``required`` is a text
-    every match contains ('' if unknown).
+    ``literal`` is set if the pattern is plain text, ``required`` are
+    texts every match contains.
     """
 
     source: str
@@ -67,7 +69,7 @@ class Pattern:
     counts_agree: bool = True
     never_empty: bool = False
     literal: str | None = None
-    required: str = ""
+    required: tuple[str, ...] = ()
 
     @property
     def runs_in_jvm(self) -> bool:
@@ -85,7 +87,7 @@ def compile_pattern(source: str) -> Pattern:
         return Pattern(source, valid=False)
     flags = tree.state.flags
     try:
-        body = _with_case(_sequence(tree, flags), 0, flags)
+        body = _sequence(tree, flags)
         java = "(?s)" + (_WHOLE_CHARACTER if _may_start_inside(tree, flags) else "") + body
     except _NoJavaForm:
         java = None
@@ -99,7 +101,7 @@ def compile_pattern(source: str) -> Pattern:
         counts_agree=tree.getwidth()[0] > 0 or _only_greedy_characters(tree),
         never_empty=tree.getwidth()[0] > 0,
         literal=literal,
-        required="" if flags & re.IGNORECASE else _required_text(tree),
+        required=_required_texts(tree, flags),
     )
 
 
@@ -107,29 +109,47 @@ def compile_legacy_pattern(source: str) -> Pattern:
     """A pattern of the older rule dialect, where Java differs by flags only:
     a dot stops at line feeds, classes and case follow Unicode."""
     plain = bool(source) and not re.search(r"[\\^$.|?*+()\[\]{}]", source)
+    required: tuple[str, ...] = ()
+    if "-[" not in source:  # class subtraction would be misread
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                tree = _sre.parse(source)
+            required = _required_texts(tree, tree.state.flags)
+        except Exception:
+            pass
     return Pattern(
         source,
         valid=True,
         flags=0,
         java="(?dU)" + source,
         literal=source if plain else None,
-        required=source if plain else "",
+        required=required,
     )
 
 
 # --- restating a parsed pattern -------------------------------------------
 
 
-def _case_mode(flags: int) -> str:
-    if not flags & re.IGNORECASE:
-        return "-iu"
-    return "i-u" if flags & re.ASCII else "iu"
+def _any_case(body: str, flags: int) -> str:
+    return f"(?{'i' if flags & re.ASCII else 'iu'}:{body})"
 
 
-def _with_case(body: str, before: int, after: int) -> str:
-    """Wrap a body whose case folding differs from its surroundings."""
-    mode = _case_mode(after)
-    return body if mode == _case_mode(before) else f"(?{mode}:{body})"
+@lru_cache(maxsize=512)
+def _variants(code: int, ascii_only: bool) -> tuple[int, ...]:
+    """The characters an ASCII character stands for when case is ignored.
+
+    Spelled out they match much faster than by Java's case folding.
+    """
+    char = chr(code)
+    # Unicode letters that fold to ASCII ones are among these.
+    candidates = {char, char.lower(), char.upper(), "İ", "ı", "\u212a", "ſ"}
+    same = re.compile(re.escape(char), re.IGNORECASE | (re.ASCII if ascii_only else 0))
+    return tuple(sorted(ord(c) for c in candidates if same.fullmatch(c)))
+
+
+def _spelled_out(code: int, flags: int) -> str:
+    return "".join(_character(v) for v in _variants(code, bool(flags & re.ASCII)))
 
 
 def _character(code: int) -> str:
@@ -147,9 +167,11 @@ def _class_items(items, flags: int) -> str:
         if name == "NEGATE":
             continue
         if name == "LITERAL":
-            out.append(_character(arg))
+            out.append(_spelled_out(arg, flags) if flags & re.IGNORECASE and arg < 128 else _character(arg))
         elif name == "RANGE":
             out.append(f"{_character(arg[0])}-{_character(arg[1])}")
+            if flags & re.IGNORECASE and arg[1] < 128:
+                out += [_spelled_out(c, flags) for c in range(arg[0], arg[1] + 1) if chr(c).isalpha()]
         elif name == "CATEGORY":
             out.append(_category(str(arg), ascii_only))
         else:
@@ -184,7 +206,24 @@ def _sequence(tree, flags: int) -> str:
     return "".join(_item(str(op), arg, flags) for op, arg in tree)
 
 
+def _beyond_ascii(name: str, arg) -> bool:
+    """Whether case folding of an item needs more than spelling it out."""
+    if name in ("LITERAL", "NOT_LITERAL"):
+        return arg >= 128
+    return name == "GROUPREF" or name == "IN" and any(
+        str(op) == "LITERAL" and a >= 128 or str(op) == "RANGE" and a[1] >= 128 for op, a in arg
+    )
+
+
 def _item(name: str, arg, flags: int) -> str:
+    if flags & re.IGNORECASE:
+        if _beyond_ascii(name, arg):
+            return _any_case(_item(name, arg, flags & ~re.IGNORECASE), flags)
+        if name == "LITERAL":
+            letters = _spelled_out(arg, flags)
+            return f"[{letters}]" if len(_variants(arg, bool(flags & re.ASCII))) > 1 else letters
+        if name == "NOT_LITERAL":
+            return f"[^{_spelled_out(arg, flags)}]"
     if name == "LITERAL":
         return _character(arg)
     if name == "NOT_LITERAL":
@@ -201,7 +240,7 @@ def _item(name: str, arg, flags: int) -> str:
     if name == "SUBPATTERN":
         group, add, drop, body = arg
         inner = (flags | add) & ~drop
-        text = _with_case(_sequence(body, inner), flags, inner)
+        text = _sequence(body, inner)
         return f"(?:{text})" if group is None else f"({text})"
     if name == "ATOMIC_GROUP":
         return f"(?>{_sequence(arg, flags)})"
@@ -277,21 +316,34 @@ def _may_start_inside(tree, flags: int) -> bool:
     return True
 
 
-def _required_text(tree) -> str:
-    """Longest run of plain characters that is part of every match."""
-    best = run = ""
+def _required_texts(tree, flags: int) -> tuple[str, ...]:
+    """The longest runs of plain characters that are part of every match."""
+    runs = sorted(set(_required_runs(tree, flags)), key=lambda run: (-len(run), run))
+    telling = [run for run in runs if len(run) > 1 or not run.isalnum()]
+    return tuple(run for run in telling if not any(run in o and run != o for o in telling))[:3]
+
+
+def _required_runs(tree, flags: int):
+    run = ""
     for op, arg in tree:
         name = str(op)
-        if name == "LITERAL":
+        if name == "LITERAL" and (not flags & re.IGNORECASE or _has_no_case(arg)):
             run += chr(arg)
-            best = max(best, run, key=len)
             continue
+        if run:
+            yield run
         run = ""
-        if name == "SUBPATTERN" and not arg[1] & re.IGNORECASE:
-            best = max(best, _required_text(arg[3]), key=len)
+        if name == "SUBPATTERN":
+            yield from _required_runs(arg[3], (flags | arg[1]) & ~arg[2])
         elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] > 0:
-            best = max(best, _required_text(arg[2]), key=len)
-    return best
+            yield from _required_runs(arg[2], flags)
+    if run:
+        yield run
+
+
+def _has_no_case(code: int) -> bool:
+    char = chr(code)
+    return code < 128 and char.lower() == char.upper()
 
 
 # --- columns ---------------------------------------------------------------
@@ -309,7 +361,8 @@ def _python_hits(pattern: Pattern):
 
 
 def _contains_required(target: Column, pattern: Pattern) -> Column | None:
-    return F.contains(target, F.lit(pattern.required)) if pattern.required else None
+    tests = [F.contains(target, F.lit(text)) for text in pattern.required]
+    return reduce(and_, tests) if tests else None
 
 
 def hit_count(target: Column, pattern: Pattern) -> Column:

@@ -139,7 +139,7 @@ def _split_by_plan(live: list[Rule], rules: RuleSet) -> tuple[list[Rule], list[R
 
 _RULE_ENTRY = (
     "array<struct<rule_id:int,target:string,java:string,plain:string,plain_bytes:int,"
-    "required:string,splits:boolean,min_hits:int>>"
+    "required:array<string>,splits:boolean,min_hits:int>>"
 )
 
 
@@ -156,7 +156,7 @@ def _rule_array(live: list[Rule], rules: RuleSet) -> Column:
                 "java": pattern.java,
                 "plain": plain,
                 "plain_bytes": len(plain.encode()),
-                "required": pattern.required,
+                "required": list(pattern.required),
                 "splits": pattern.never_empty and rule.min_hits <= P.LARGEST_SPLIT,
                 "min_hits": rule.min_hits,
             }
@@ -169,11 +169,15 @@ def _walked_target(rule: Column, rules: RuleSet) -> Column:
     return F.coalesce(*[F.when(rule["target"] == name, F.col(name)) for name in used], F.lit(""))
 
 
+def _has_required(target: Column, rule: Column) -> Column:
+    return F.forall(rule["required"], lambda text: F.contains(target, text))
+
+
 def _walked_hits(rule: Column, rules: RuleSet) -> Column:
     """Hits of an array entry on the current document."""
     target = _walked_target(rule, rules)
     return (
-        F.when(~F.contains(target, rule["required"]), F.lit(0))
+        F.when(~_has_required(target, rule), F.lit(0))
         .when(
             rule["plain_bytes"] > 0, P.literal_count(target, rule["plain"], rule["plain_bytes"])
         )
@@ -189,11 +193,12 @@ def _walked_condition(rule: Column, rules: RuleSet) -> Column:
     target = _walked_target(rule, rules)
     # As in the expressions: one hit is enough for a threshold of one, and a
     # split ends once there are enough.
-    return F.contains(target, rule["required"]) & (
+    return _has_required(target, rule) & (
         F.when(
             rule["plain_bytes"] > 0,
-            (wanted <= 1)
-            | (P.literal_count(target, rule["plain"], rule["plain_bytes"]) >= wanted),
+            F.when(wanted <= 1, F.contains(target, rule["plain"])).otherwise(
+                P.literal_count(target, rule["plain"], rule["plain_bytes"]) >= wanted
+            ),
         )
         .when(wanted <= 1, F.rlike(target, rule["java"]))
         .when(rule["splits"], F.size(F.split(target, rule["java"], wanted + 1)) > wanted)

@@ -9,7 +9,7 @@ from folioroute.functions import patterns as P
 TEXTS = [
     "", "baac", "abab", "١2 x", "a　b", "end\r\n", "end\n", "x\n", "a", "aab", "[a&b]", "É é", "aa",
     "hello world", "foo_bar-baz", "naïve café", "e\u0301 combining", "x\u2028y", "line1\nline2\n",
-    "𝒜𝒷 math", "a𝟘b𝒜", "😀b😀", "Kelvin K ſ", "a.b@c.de", "the cat and the dog and", "\n\n", "aaa bbb", "0x1F 12 34",
+    "𝒜𝒷 math", "a𝟘b𝒜", "😀b😀", "Kelvin \u212a ſ", "İstanbul ıSTIK aA", "a.b@c.de", "the cat and the dog and", "\n\n", "aaa bbb", "0x1F 12 34",
 ]
 
 PATTERNS = [
@@ -18,7 +18,7 @@ PATTERNS = [
     r"\Bb", r"\w+", r"\W", r"\S+", r"[^\W\d]+", r"[\s\d]", "a+?", "a*?", r"\b|\w+", "(?:foo|bar)",
     "(?i)[a-z]+", "(?i:K)s?", "(?s:.)", "(?-s:.)+", ".", "the.*?and", "(?=a)", "(?<=a)b", "(?<!a)b",
     "(?>a+)b", "a++b", "(a|b)*", "(?:ab)+", "(?a:\\w+)", r"(?a)\d", "[\\]\\[]", r"\.", r"\x41|\u00e9",
-    "(a)?(?(1)b|c)", "(?x) a  b # c", "[^a]", "[^\\n]+", r"a{2}", r"a{1,}", "#", " ", "(?i)ſ", r"(?<=\D)b", r"(?<!\w)b", "..", "[^b]b", "b?",
+    "(a)?(?(1)b|c)", "(?x) a  b # c", "[^a]", "[^\\n]+", r"a{2}", r"a{1,}", "#", " ", "(?i)ſ", r"(?<=\D)b", r"(?<!\w)b", "..", "[^b]b", "b?", "(?i)stik", "(?i)[i-s]+", "(?i)[^a-k]", "(?i)[é-ü]", r"(?i)(a)\1", "(?ai)k", "(?i)[^É]b", "(?i)i",
 ]
 
 
@@ -57,12 +57,16 @@ def test_invalid_patterns_never_match(texts):
         assert texts.where(P.at_least(F.col("t"), pattern, 0)).count() == 0
 
 
-def test_required_text_is_part_of_every_match():
-    assert P.compile_pattern(r"[a-z]+@[a-z]+").required == "@"
-    assert P.compile_pattern(r"the.*?and").required in ("the", "and")
-    assert P.compile_pattern(r"(?i)the").required == ""
-    assert P.compile_pattern(r"ab|cd").required == ""
-    assert P.compile_pattern(r"(?:xyz){0,2}q").required == "q"
+def test_required_texts_are_part_of_every_match():
+    required = lambda source: P.compile_pattern(source).required
+    assert required(r"[a-z]+@[a-z]+") == ("@",)
+    assert required(r"the.*?and") == ("and", "the")
+    assert required(r"(?i)the") == required(r"ab|cd") == required("(?:xyz){0,2}") == ()
+    assert required(r"(?i)no-12.*x") == ("-12",)
+    assert required(r"(?:xyz){2}qq(?i:rr)(?=ss)") == ("xyz", "qq")
+    assert P.compile_legacy_pattern(r"[A-Za-z]+@x").required == ("@x",)
+    assert P.compile_legacy_pattern(r"[a-z-[aeiou]]x").required == ()
+    assert P.compile_legacy_pattern(r"\p{L}+").required == ()
 
 
 def test_random_patterns(spark):
