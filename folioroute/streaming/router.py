@@ -48,7 +48,8 @@ def route_stream(
 
     ``prepare`` turns a batch into ``path``, ``text`` and ``metadata``, for
     instance with a reader. Without an interval the stream stops when it has
-    handled what is there.
+    handled what is there. ``manifest`` and ``checkpoint`` belong together:
+    batches are numbered by the checkpoint.
     """
 
     def settle(batch: DataFrame, batch_id: int) -> None:
