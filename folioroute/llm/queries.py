@@ -7,26 +7,64 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioroute.llm import bpe, token_counts
+from folioroute.llm import bpe, decontaminate, jaccard, language, licenses, pii, quality, secrets, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path(bpe.RANKS)))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.find_secrets(_table(spark, sf_dir, "documents")))
+
+
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_pii(_table(spark, sf_dir, "documents")))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return token_counts.count_tokens(docs, public_tokenizers.path(token_counts.VOCABULARY))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return decontaminate.digests(decontaminate.decontaminate(docs, items))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return quality.score(docs, quality.fit(docs, labels))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_secrets": op4_secrets,
+    "op5_jaccard": op5_jaccard,
+    "op6_pii": op6_pii,
+    "op7_licenses": op7_licenses,
     "op8_token_counts": op8_token_counts,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_quality": op10_quality,
 }
 
 #: DuckDB SQL of the queries that SQL can express.

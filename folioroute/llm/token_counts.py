@@ -23,9 +23,9 @@ CACHE, BATCH_BYTES = 300_000, 1_000_000
 def balanced(runs: list[str], size: int = BATCH_BYTES) -> list[list[str]]:
     """Split runs into batches of about ``size`` bytes, longest runs first."""
     out: list[list[str]] = []
-    held = size
+    held = 0
     for run in sorted(runs, key=len, reverse=True):
-        if held + len(run) > size:
+        if not out or held + len(run) > size:
             out.append([])
             held = 0
         out[-1].append(run)

@@ -1,0 +1,390 @@
+"""Each operator against a brute-force version, an exact round trip or held-out accuracy."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from itertools import combinations
+
+import public_tokenizers
+import pytest
+import tiktoken
+from tokenizers import Tokenizer
+
+from folioroute.llm import bpe, decontaminate, jaccard, language, licenses, pii, quality, secrets, token_counts
+
+SF = "/root/testdata/sf0.01"
+
+EDGES = [
+    (1, None), (2, ""), (3, " "), (4, "one two"), (5, "one two three four five six"), (6, "one two three four five six"),
+    (6, "one two three four five six"), (7, "x" * 70_000), (8, "a b " * 40_000), (9, "日本 語 🙂 ñ É"), (10, "\x00\x1f\n\n\r 's 're"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    """Awkward texts beside columns whose names the operators use themselves."""
+    schema = "doc_id bigint, text string, key string, n bigint, words string, id bigint, component string, digest int"
+    return spark.createDataFrame([(i, t, "k", 1, "w", 2, "c", 3) for i, t in EDGES], schema)
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+def digest(text: str | bytes) -> str:
+    return hashlib.sha256(text.encode() if isinstance(text, str) else text).hexdigest()
+
+
+def lowered(text: str) -> str:
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+# language
+
+
+def test_language_held_out(spark, docs):
+    large = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    net = language.fit(large)
+    got = language.identify(large, net).join(large.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in got if r.held_out]
+    assert {r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got} == {True}
+    assert sum(r.lang_pred == r.lang for r in held) / len(held) > 0.98
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_language_edges(edges, docs, none):
+    net = language.fit(docs)
+    got = {(r.doc_id, r.lang_pred, r.score) for r in language.identify(edges, net).collect()}
+    assert {(1, "und", 0.0), (2, "und", 0.0), (3, "und", 0.0)} <= got
+    assert language.identify(edges, language.fit(none)).where("lang_pred <> 'und'").count() == 0
+    assert language.identify(none, net).count() == 0
+
+
+def test_windows_cover_all_bytes():
+    for size in (0, 1, 4, 5, 255, 256, 257, 252 * 3 + 4, 2000):
+        data = bytes(random.Random(size).randrange(1, 256) for _ in range(size))
+        view, weight = language.windows_of(data)
+        step = language.WINDOW - language.WIDEST + 1
+        assert b"".join([bytes(w[:step]) for w in view[:-1]] + [bytes(view[-1])])[:size] == data
+        assert len(view) == len(weight) and weight.sum() >= max(1, size)
+
+
+# byte-level BPE
+
+
+@pytest.fixture(scope="module")
+def library():
+    with open(public_tokenizers.path(bpe.RANKS), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_equals_library(docs, rows, library):
+    got = {r.doc_id: r for r in bpe.digests(bpe.encode_decode(docs, public_tokenizers.path(bpe.RANKS))).collect()}
+    for doc_id, text in rows:
+        ids = library.encode_ordinary(text)
+        r = got[doc_id]
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), digest(" ".join(map(str, ids))), digest(text))
+
+
+def test_bpe_edges_and_offsets(edges, none, library):
+    encoded = bpe.encode_decode(edges, public_tokenizers.path(bpe.RANKS)).collect()
+    texts = dict(EDGES)
+    assert len(encoded) == len(EDGES)
+    for r in encoded:
+        text = texts[r.doc_id] or ""
+        data = text.encode()
+        assert bytes(r.decoded) == data
+        if len(text) < 60_000:
+            assert r.ids == library.encode_ordinary(text)
+        assert r.starts == [0, *[s for s in r.starts[1:] if 0 < s < len(data)]][: len(r.ids)]
+    assert bpe.encode_decode(none, public_tokenizers.path(bpe.RANKS)).count() == 0
+
+
+def test_bpe_random_texts(library):
+    rng = random.Random(4)
+    alphabet = "ab's'tdmrevl 'S\n\t  \r \u0085é1٣²文!?-_'’ñ😀́\x1c"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(50))) for _ in range(3000)]
+    texts += ["'re'll" * 9, "y" * 300, " " * 500]
+    codec = bpe.Codec(public_tokenizers.path(bpe.RANKS))
+    ids, counts = codec.encode(texts)
+    at = 0
+    for text, n in zip(texts, counts):
+        own = ids[at : at + n]
+        assert own.tolist() == library.encode_ordinary(text)
+        assert codec.decode(own) == text.encode()
+        at += n
+
+
+# token counts
+
+
+def test_token_counts_equal_library(docs, rows, edges, none):
+    path = public_tokenizers.path(token_counts.VOCABULARY)
+    whole = Tokenizer.from_file(path)
+    for frame, texts in ((docs, rows), (edges, EDGES)):
+        got = sorted((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(frame, path).collect())
+        sizes = [len(e.ids) for e in whole.encode_batch([t or "" for _, t in texts], add_special_tokens=False)]
+        assert got == sorted((i, len((t or "").encode()), n, n > 2048) for (i, t), n in zip(texts, sizes))
+    assert token_counts.count_tokens(none, path).count() == 0
+
+
+# secrets
+
+
+def base_secrets(text: str) -> list[tuple[int, int, int]]:
+    spans = []
+    for m in re.finditer(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        spans += [(m.start(), 0, m.end())] * (len(m[2]) >= 6)
+    spans += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    return spans + [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+
+
+def test_secrets_equal_brute_force(docs, rows, edges, none):
+    got = {r.doc_id: r for r in secrets.digests(secrets.find_secrets(docs)).collect()}
+    for doc_id, text in rows:
+        want = ",".join(f"{'assign access hex'.split()[k]}:{a}:{b}" for a, k, b in sorted(base_secrets(text)))
+        assert got[doc_id].base_sha256 == digest(want)
+        assert set(want.split(",")) - {""} <= set(got[doc_id].spans.split(","))
+    assert secrets.find_secrets(edges).where("spans <> ''").count() == 0
+    assert secrets.find_secrets(none).count() == 0
+
+
+def test_secrets_assignments_and_constants():
+    text = 'db_pass = "Zk39x0aPq12"\nseed="q8W3e1r5T7"\npassword = seed\nauthor="hello world"\nsecret: ${ENV}\n'
+    assert [(k, text[a:b]) for k, a, b in secrets.lexed_spans(text)] == [("literal", "Zk39x0aPq12"), ("propagated", "q8W3e1r5T7")]
+
+
+# n-gram Jaccard join
+
+
+def word_sets(rows):
+    out = {}
+    for doc_id, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", lowered(text or ""))
+        grams = {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
+        out[doc_id] = grams
+    return out
+
+
+def brute_components(sets):
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    holders = {}
+    for i, grams in sets.items():
+        for g in grams:
+            holders.setdefault(g, []).append(i)
+    for a, b in {p for own in holders.values() for p in combinations(sorted(own), 2)}:
+        both = len(sets[a] & sets[b])
+        if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    return {i: root(i) for i in sets}
+
+
+def test_jaccard_equals_brute_force(docs, rows):
+    sets = word_sets(rows)
+    want = brute_components(sets)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
+    assert got == {i: (len(sets[i]), want[i]) for i in sets}
+
+
+def test_jaccard_groups_near_the_threshold(spark, monkeypatch):
+    """Edited copies in groups, with a passage most texts share, and tiny tiles."""
+    monkeypatch.setattr(jaccard, "TILE", 4)
+    monkeypatch.setattr(jaccard, "OFTEN", 4)
+    monkeypatch.setattr(jaccard, "FREQUENT", 6)
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(30)]
+    rows = []
+    for group in range(12):
+        body = [f"g{group}w{rng.randrange(50)}" for _ in range(rng.choice([6, 20, 60]))]
+        for _ in range(rng.choice([1, 3, 25])):
+            words = body + (passage if rng.random() < 0.7 else [])
+            for _ in range(rng.randrange(4)):
+                words = words.copy()
+                words[rng.randrange(len(words))] = f"e{rng.randrange(9)}"
+            rows.append((len(rows), " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = word_sets(rows)
+    want = brute_components(sets)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame).collect()}
+    assert got == {i: (len(sets[i]), want[i]) for i in sets}
+
+
+def test_jaccard_edges(edges, none):
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(edges).collect())
+    assert got == [(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 2, 5), (6, 2, 5), (6, 2, 5), (7, 1, 7), (8, 2, 8), (9, 1, 9), (10, 1, 10)]
+    assert jaccard.jaccard_components(none).count() == 0
+
+
+# personal data
+
+
+def base_pii(text: str) -> list[str]:
+    out = [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    ip = re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text)
+    out += [f"ip:{m.start()}:{m.end()}" for m in ip if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[ -]", "", m[0])
+        if 16 <= len(digits) <= 19 and sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(digits[::-1])) % 10 == 0:
+            out.append(f"card:{m.start()}:{m.end()}")
+    phone = re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text)
+    return out + [f"phone:{m.start()}:{m.end()}" for m in phone if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def test_pii_equals_brute_force(docs, rows, edges, none):
+    got = {r.doc_id: r for r in pii.digests(pii.find_pii(docs)).collect()}
+    for doc_id, text in rows:
+        want = base_pii(text)
+        assert got[doc_id].base_sha256 == digest(",".join(want))
+        assert set(want) <= set(got[doc_id].spans.split(",")) | {""}
+        assert got[doc_id].n_email == sum(w.startswith("email") for w in want)
+    assert pii.find_pii(edges).where("size(found) > 0").count() == 0
+    assert pii.find_pii(none).count() == 0
+
+
+def test_pii_random_texts():
+    rng = random.Random(3)
+    for _ in range(5000):
+        text = "".join(rng.choice("a1.@-+ 0259()%_Zé٣") for _ in range(rng.randrange(40)))
+        spans = pii.base_spans(text)
+        assert [f"{k}:{a}:{b}" for k in pii.BASE for a, b in spans[k]] == base_pii(text)
+
+
+def test_pii_votes_decide_looser_spans(spark):
+    good = [(i, f"Social security number ssn {i % 665 + 1:03d}-{i % 98 + 1:02d}-{i * 37 % 9998 + 1:04d} on file") for i in range(200)]
+    bad = [(1000 + i, f"x9000-00-0000y order 000-00-0000 page {i}") for i in range(50)]
+    found = pii.find_pii(spark.createDataFrame(good + bad, "doc_id bigint, text string")).collect()
+    assert all([s.kind for s in r.found] == ["ssn"] for r in found if r.doc_id < 1000)
+    assert all(not r.found for r in found if r.doc_id >= 1000)
+
+
+def test_pii_masks(spark):
+    docs = spark.createDataFrame([(1, "mail a.b@c.de or +1 (266) 555-7057.", 35, "x"), (2, None, None, "y"), (3, "clean", 5, "z")], "doc_id bigint, text string, n_chars bigint, found string")
+    got = {r.doc_id: (r.text, r.n_chars, r.found) for r in pii.mask_pii(docs).collect()}
+    assert got == {1: ("mail [EMAIL] or [PHONE].", 24, "x"), 2: (None, None, "y"), 3: ("clean", 5, "z")}
+
+
+# licenses
+
+
+def test_licenses_equal_brute_force(docs, rows, edges, none):
+    got = {r.doc_id: r for r in licenses.find_licenses(docs).collect()}
+    phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+    for doc_id, text in rows:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text))
+        hits = [(i, v) for p, v in phrases.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+        places = [i for i, _ in hits]
+        r = got[doc_id]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(hits), min(places, default=None), max(places, default=None))
+        assert r.base_labels == ",".join(sorted({v for _, v in hits}))
+        assert set(r.base_labels.split(",")) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+    assert licenses.find_licenses(edges).where("labels <> ''").count() == 0
+    assert licenses.find_licenses(none).count() == 0
+
+
+def test_license_templates():
+    text = "Licensed under the GNU General Public License as published by the Free Software Foundation, version 3"
+    assert licenses.scan(licenses.words_of(text))[2] == {"gpl", "gpl-notice"}
+    text = "Neither the name of ACME Corp nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    assert licenses.scan(licenses.words_of(text))[2:] == ({"bsd-3-clause"}, 1.0)
+    _, _, labels, score = licenses.scan(licenses.words_of(text.replace("endorse", "praise")))
+    assert not labels and 0.5 < score < 1
+
+
+# decontamination
+
+
+def brute_hits(rows, items):
+    def words(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text or ""))
+
+    windows = {}
+    for item, text in items:
+        own = words(text)
+        for i in range(max(1, len(own) - 9)) if own else ():
+            windows.setdefault(tuple(own[i : i + 10]), set()).add(str(item))
+    sizes = {len(w) for w in windows}
+    out = []
+    for doc_id, text in rows:
+        own, hit, found = words(text), set(), set()
+        for size in sizes:
+            for i in range(len(own) - size + 1):
+                if (w := tuple(own[i : i + size])) in windows:
+                    hit |= set(range(i, i + size))
+                    found |= windows[w]
+        out.append((doc_id, len(own), len(hit), len(found), digest(",".join(sorted(found))), bool(hit)))
+    return sorted(out)
+
+
+def test_decontamination_equals_brute_force(spark, docs, rows):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = brute_hits(rows, [(r.item_id, r.text) for r in items.collect()])
+    got = decontaminate.digests(decontaminate.decontaminate(docs, items)).collect()
+    assert sorted(tuple(r) for r in got) == want
+    assert any(r[2] for r in want)
+
+
+def test_decontamination_edges(spark, edges, none, docs):
+    items = [(1, None), (2, ""), (3, "Three FOUR"), (4, "É ñ"), (5, " ".join(["a b"] * 8)), (5, "one two"), (6, "É é")]
+    frame = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontaminate.digests(decontaminate.decontaminate(edges, frame)).collect()
+    assert sorted(tuple(r) for r in got) == brute_hits(EDGES, items)
+    assert decontaminate.decontaminate(none, frame).count() == 0
+    assert decontaminate.decontaminate(docs, frame.limit(0)).where("contaminated").count() == 0
+
+
+def test_proximity_matches(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha then beta gamma delta"), (3, "alpha")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, "alpha beta gamma delta")], "item_id bigint, text string")
+    anchors = decontaminate.anchors_of(decontaminate.windows_of(items, "item_id", "text"), docs, "text")
+    index = decontaminate.postings(docs, anchors.select("word").distinct(), "doc_id", "text")
+    near = {r.key for r in decontaminate.proximity_matches(index, anchors, 2).collect()}
+    assert near == {1, 2} and {r.key for r in decontaminate.phrase_matches(index, anchors).collect()} == {1}
+
+
+# quality
+
+
+def test_quality_held_out(spark):
+    large = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{large}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.score(docs, quality.fit(docs, labels)).join(labels, "doc_id").where("held_out").collect()
+    right = sum((r.score >= 0.5) == (r.quality == 1) for r in got) / len(got)
+    good = sorted(r.score for r in got if r.quality == 1)
+    bad = [r.score for r in got if r.quality == 0]
+    ranked = sum(sum(g > b for g in good) for b in bad) / (len(good) * len(bad))
+    assert right > 0.95 and ranked > 0.95
+    assert all(r.predicted == (r.score >= 0.3) for r in got)
+
+
+def test_quality_edges(spark, edges, docs, none):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    scorer = quality.fit(docs, labels)
+    got = quality.score(edges, scorer).collect()
+    assert len(got) == len(EDGES) and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id in (1, 2)}) == 1
+    assert quality.score(docs, quality.fit(docs, labels.limit(0))).where("score <> 0.5").count() == 0
+    assert quality.score(none, scorer).count() == 0
