@@ -9,15 +9,15 @@ trained in numpy on windows of labelled documents.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioroute.llm.common import map_texts
+from folioroute.llm.common import SLICE_BYTES, map_texts
 
 WINDOW, DEPTH, WIDTHS, FILTERS = 256, 8, (2, 3, 4, 5), 12
 WIDEST = max(WIDTHS)
@@ -149,8 +149,6 @@ def training_windows(docs: DataFrame, key: str, text: str, lang: str) -> DataFra
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.5 * PER_LANGUAGE / n + 200 / n))])
     draw = F.pmod(F.xxhash64("key"), F.lit(1_000_000)) / F.lit(1_000_000.0)
     drawn = usable.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")])
-    from pyspark.sql import Window
-
     order = Window.partitionBy("lang").orderBy("draw", "key", F.xxhash64("text"))
     kept = drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PER_LANGUAGE)
     spots = F.transform(
@@ -204,3 +202,26 @@ def identify(docs: DataFrame, net: Network | None, key: str = "doc_id", text: st
     """
     guessed = map_texts(docs, lambda: _work(net), "lang_pred string, score double", key, text)
     return guessed.select(key, held_out(key).alias("held_out"), "lang_pred", "score")
+
+
+def keep(docs: DataFrame, net: Network | None, least: float, text: str = "text") -> DataFrame:
+    """Rows and columns of ``docs`` whose text has a learned language of at least ``least``.
+
+    Without a network nothing is known about languages, and all rows stay.
+    """
+    if net is None:
+        return docs
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = _work(net)
+        for batch in batches:
+            texts = batch.column(at)
+            step = max(1, batch.num_rows * SLICE_BYTES // max(texts.nbytes, 1))
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                names, scores = work(part.column(at).to_pylist())
+                good = [n != UNKNOWN and s >= least for n, s in zip(names, scores)]
+                yield part.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioroute.llm import bpe, decontaminate, jaccard, language, licenses, pii, quality, secrets, token_counts
+from folioroute.llm import bpe, decontaminate, embeddings, jaccard, language, licenses, pii, quality, secrets, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path(bpe.RANKS)))
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(_table(spark, sf_dir, "documents")))
 
@@ -58,6 +62,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_embeddings": op3_embeddings,
     "op4_secrets": op4_secrets,
     "op5_jaccard": op5_jaccard,
     "op6_pii": op6_pii,

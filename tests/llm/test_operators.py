@@ -9,12 +9,13 @@ import re
 import zlib
 from itertools import combinations
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from folioroute.llm import bpe, decontaminate, jaccard, language, licenses, pii, quality, secrets, token_counts
+from folioroute.llm import bpe, decontaminate, embeddings, jaccard, language, licenses, pii, quality, secrets, token_counts
 
 SF = "/root/testdata/sf0.01"
 
@@ -359,10 +360,12 @@ def test_decontamination_edges(spark, edges, none, docs):
 def test_proximity_matches(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha then beta gamma delta"), (3, "alpha")], "doc_id bigint, text string")
     items = spark.createDataFrame([(7, "alpha beta gamma delta")], "item_id bigint, text string")
-    anchors = decontaminate.anchors_of(decontaminate.windows_of(items, "item_id", "text"), docs, "text")
+    known = decontaminate.item_words(items, "item_id", "text")
+    anchors = decontaminate.anchors_of(known, docs, "text")
     index = decontaminate.postings(docs, anchors.select("word").distinct(), "doc_id", "text")
     near = {r.key for r in decontaminate.proximity_matches(index, anchors, 2).collect()}
-    assert near == {1, 2} and {r.key for r in decontaminate.phrase_matches(index, anchors).collect()} == {1}
+    phrases = decontaminate.phrase_matches(decontaminate.phrase_candidates(index, anchors, known), docs, "doc_id", "text")
+    assert near == {1, 2} and {r.key for r in phrases.collect()} == {1}
 
 
 # quality
@@ -388,3 +391,60 @@ def test_quality_edges(spark, edges, docs, none):
     assert len({r.score for r in got if r.doc_id in (1, 2)}) == 1
     assert quality.score(docs, quality.fit(docs, labels.limit(0))).where("score <> 0.5").count() == 0
     assert quality.score(none, scorer).count() == 0
+
+
+# embeddings
+
+
+def brute_links(rows, cosine=0.93):
+    ids = [i for i, v, label in rows]
+    good = [label is not None and v is not None and len(v) and None not in v and np.isfinite(v).all() and any(v) for _, v, label in rows]
+    links, parent = {i: 0 for i in ids}, {i: i for i in ids}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    by = {}
+    for (i, v, label), ok in zip(rows, good):
+        if ok:
+            by.setdefault((label, len(v)), []).append((i, np.array(v, float)))
+    for own in by.values():
+        x = np.stack([v / np.linalg.norm(v) for _, v in own])
+        for a, b in zip(*np.nonzero(np.triu(x @ x.T >= cosine, 1))):
+            a, b = own[a][0], own[b][0]
+            links[a] += 1
+            links[b] += 1
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    return {i: (links[i], root(i), root(i) == i) for i in ids}
+
+
+def test_embeddings_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "TILE", 40)
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding, r.label) for r in frame.collect()]
+    rng = np.random.default_rng(2)
+    for i in range(150):  # noisy and exact copies, some of the pairs just at the threshold
+        source = np.array(rows[i % 60][1])
+        noise = rng.normal(size=len(source)) * np.linalg.norm(source) / np.sqrt(len(source))
+        rows.append((10_000 + i, (source + noise * rng.choice([0, 0.05, 0.38])).astype(np.float32).tolist(), rows[i % 60][2]))
+    want = brute_links(rows)
+    made = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(made).collect()}
+    assert len(got) == len(want)
+    total, found = sum(w[0] for w in want.values()), sum(g[0] for g in got.values())
+    assert total > 300 and 0.995 * total <= found <= total
+    assert sum(got[i] != want[i] for i in want) <= 0.005 * len(want)
+
+
+def test_embeddings_edges(spark):
+    rows = [
+        (1, None, 0), (2, [0.0, 0.0], 0), (3, [1.0, None], 0), (4, [float("nan"), 1.0], 0), (5, [float("inf"), 1.0], 0),
+        (6, [1.0, 2.0], None), (7, [1.0, 2.0], 1), (8, [1.0, 2.0], 1), (9, [1.0, 2.0], 2), (10, [1.0, 2.0, 0.0], 1), (11, [], 1),
+    ]
+    made = spark.createDataFrame([(*r, 5, "x") for r in rows], "vec_id bigint, embedding array<double>, label int, weight int, line string")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(made).collect()}
+    assert got == {i: (0, i, True) for i in range(1, 12)} | {7: (1, 7, True), 8: (1, 7, False)}
+    assert embeddings.near_duplicates(made.limit(0)).count() == 0
