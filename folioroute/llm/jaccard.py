@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -202,6 +202,11 @@ def _grouped(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[dic
         yield held
 
 
+def _sized(table: DataFrame) -> DataFrame:
+    """A written table of single ids or hashes, to be broadcast where its count allows it."""
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """The pairs (a, b) that link by exact intersection.
 
@@ -214,8 +219,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame
     members = placed.select("a", "part", F.col("b").alias("id"), F.lit(1).alias("role"))
     heads = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.col("a").alias("id"), F.lit(0).alias("role"))
     needed = stored(members.union(heads), "pairs-to-verify")
-    ids = needed.select("id").distinct()
-    ids = F.broadcast(ids) if needed.count() <= BROADCAST_IDS else ids
+    ids = _sized(stored(needed.select("id").distinct(), "ids-to-verify"))
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
     rows = needed.join(texts, "id").select("a", "part", "role", "id", "text")
     kind = docs.schema[key].dataType
@@ -318,32 +322,34 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     known = docs.where(F.col(key).isNotNull())
     sketches = stored(_sketches(docs, key, text, _frequent(docs, key, text)), "sketches")
     base = sketches.where((F.col("n") > 0) & F.col(key).isNotNull())
-    first = base.groupBy("n", "one", "two").agg(F.min(key).alias("id"))
-    firsts = stored(first, "classes")
-    own = base.join(firsts, [base[key] == firsts["id"], base["n"] == firsts["n"], base["one"] == firsts["one"], base["two"] == firsts["two"]]).select(
-        "id", base["n"], "minima", "prefix", "bits"
-    ).dropDuplicates(["id"])
+    firsts = stored(base.groupBy("n", "one", "two").agg(F.min(key).alias("id"), F.first("minima").alias("minima")), "classes")
 
     # Link every class to the smallest id among those with a minimum hash in common.
-    minima = own.select("id", F.posexplode("minima").alias("which", "least"))
+    minima = firsts.select("id", F.posexplode("minima").alias("which", "least"))
     pivots = minima.groupBy("which", "least").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a <> last").drop("last")
     near = minima.join(pivots, ["which", "least"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
     links = stored(_verify(near, known, key, text), "links")
-    groups = connected(links)
+    groups = connected(links).withColumnRenamed("id", "g")
 
     # Then whatever shares a first shingle across components.
-    labelled = own.join(groups.withColumnRenamed("id", "g"), F.col("id") == F.col("g"), "left").select(
-        "id", "n", "bits", "prefix", F.coalesce("component", "id").alias("component")
+    labels = stored(
+        firsts.join(groups, F.col("id") == F.col("g"), "left").select("id", "n", F.coalesce("component", "id").alias("component")), "labels"
     )
-    labelled = stored(labelled, "labelled")
-    flat = labelled.select("component", F.explode("prefix").alias("shingle"))
+    flat = base.select(F.col(key).alias("id"), "prefix").join(labels, "id").select("id", "component", "n", F.explode("prefix").alias("shingle"))
     shared = stored(
         flat.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle"),
         "shared-shingles",
     )
-    shared = F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared
-    meeting = labelled.select("id", "component", "n", "bits", F.explode("prefix").alias("shingle")).join(shared, "shingle")
-    more = stored(_verify(_tiles(meeting), known, key, text), "more-links")
+    meeting = stored(flat.join(_sized(shared), "shingle"), "meeting")
+    # Shingles with the same members (those of one passage, say) need one tile only.
+    members = meeting.groupBy("shingle").agg(
+        F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("first"),
+        F.bit_xor(F.xxhash64("id", F.lit(1))).alias("second"),
+    )
+    one_each = stored(members.groupBy("size", "first", "second").agg(F.min("shingle").alias("shingle")).select("shingle"), "tiles")
+    bits = base.select(F.col(key).alias("id"), "bits")
+    tiled = meeting.join(_sized(one_each), "shingle").join(bits, "id")
+    more = stored(_verify(_tiles(tiled), known, key, text), "more-links")
 
     whole = connected(links.union(more)).withColumnsRenamed({"id": "c_id", "component": "c_component"})
     classes = firsts.join(whole, F.col("id") == F.col("c_id"), "left").select(
