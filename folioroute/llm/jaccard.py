@@ -26,16 +26,19 @@ from folioroute.llm.common import connected, schema_with, slices, stored
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 3, 4
 MINIMA = 4
 #: Shingles counted together in a task, and the least count there worth reporting.
-COUNTED, OFTEN = 4_000_000, 8
+COUNTED, OFTEN = 2_000_000, 6
 #: A shingle is frequent from this many reports on, and this share of documents.
 FREQUENT, SHARE = 64, 0.00025
 #: The most frequent shingles that are put last; more only cost time, not links.
 MOST_FREQUENT = 1_000_000
 #: Members of a tile.
 TILE = 512
-#: Id tables up to this size (counted before) are broadcast, larger ones shuffled.
+#: Tables of ids whose texts are wanted are broadcast up to this size (counted before).
+#: Nothing else is broadcast, whatever its size.
 BROADCAST_IDS = 500_000
 LEAST_BITS = 1024
+#: Bytes of text that are turned to shingles at once.
+SLICE = 1_000_000
 
 _CODE = np.random.default_rng(17).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -133,7 +136,7 @@ def _frequent(docs: DataFrame, key: str, text: str) -> np.ndarray:
             )
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE):
                 made = shingles(part.column(1).to_pylist())
                 held += made
                 size += sum(map(len, made))
@@ -160,7 +163,7 @@ def _sketches(docs: DataFrame, key: str, text: str, frequent: np.ndarray) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = sent.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE):
                 rows: list[list] = [[], [], [], [], [], []]
                 for own in shingles(part.column(1).to_pylist()):
                     n = len(own)
@@ -203,7 +206,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[dic
 
 
 def _sized(table: DataFrame) -> DataFrame:
-    """A written table of single ids or hashes, to be broadcast where its count allows it."""
+    """A written table of ids, to be broadcast where its count allows it, so that texts stay in place."""
     return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
 
 
@@ -229,7 +232,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, mark, found = None, None, set()
         for batch in batches:
-            for part in slices(batch.select(["id", "text", "a", "part", "role"])):
+            for part in slices(batch.select(["id", "text", "a", "part", "role"]), SLICE):
                 sets = shingles(part.column(1).to_pylist())
                 for own, a, p, role, b in zip(sets, *(part.column(c).to_pylist() for c in (2, 3, 4, 0))):
                     if (a, p) != mark:
@@ -327,7 +330,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     # Link every class to the smallest id among those with a minimum hash in common.
     minima = firsts.select("id", F.posexplode("minima").alias("which", "least"))
     pivots = minima.groupBy("which", "least").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a <> last").drop("last")
-    near = minima.join(pivots, ["which", "least"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    near = stored(minima.join(pivots, ["which", "least"]).where("id <> a").select("a", F.col("id").alias("b")).distinct(), "pairs")
     links = stored(_verify(near, known, key, text), "links")
     groups = connected(links).withColumnRenamed("id", "g")
 
@@ -340,7 +343,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
         flat.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle"),
         "shared-shingles",
     )
-    meeting = stored(flat.join(_sized(shared), "shingle"), "meeting")
+    meeting = stored(flat.join(shared, "shingle"), "meeting")
     # Shingles with the same members (those of one passage, say) need one tile only.
     members = meeting.groupBy("shingle").agg(
         F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("first"),
@@ -348,8 +351,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     )
     one_each = stored(members.groupBy("size", "first", "second").agg(F.min("shingle").alias("shingle")).select("shingle"), "tiles")
     bits = base.select(F.col(key).alias("id"), "bits")
-    tiled = meeting.join(_sized(one_each), "shingle").join(bits, "id")
-    more = stored(_verify(_tiles(tiled), known, key, text), "more-links")
+    tiled = meeting.join(one_each, "shingle").join(bits, "id")
+    more = stored(_verify(stored(_tiles(tiled), "pairs"), known, key, text), "more-links")
 
     whole = connected(links.union(more)).withColumnsRenamed({"id": "c_id", "component": "c_component"})
     classes = firsts.join(whole, F.col("id") == F.col("c_id"), "left").select(

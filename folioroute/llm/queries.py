@@ -8,6 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from folioroute.llm import bpe, decontaminate, embeddings, jaccard, language, licenses, pii, quality, secrets, token_counts
+from folioroute.llm.oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +74,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
 }
-
-#: DuckDB SQL of the queries that SQL can express.
-ORACLE: dict[str, str] = {}

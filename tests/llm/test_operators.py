@@ -448,3 +448,19 @@ def test_embeddings_edges(spark):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(made).collect()}
     assert got == {i: (0, i, True) for i in range(1, 12)} | {7: (1, 7, True), 8: (1, 7, False)}
     assert embeddings.near_duplicates(made.limit(0)).count() == 0
+
+
+# registered queries
+
+
+def test_registered_queries_equal_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from folioroute.llm.queries import ORACLE, QUERIES
+
+    base = duckdb.connect()
+    for table in ("documents", "embeddings", "benchmark"):
+        base.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    for name, sql in ORACLE.items():
+        frame = QUERIES[name](spark, SF)
+        want = base.execute(f"SELECT {', '.join(frame.columns)} FROM ({sql})").fetchall()
+        assert sorted(tuple(r) for r in frame.collect()) == sorted(want), name
