@@ -13,6 +13,7 @@ import re
 import warnings
 from dataclasses import dataclass
 from functools import lru_cache, reduce
+from importlib import import_module
 from operator import and_
 
 import pandas as pd
@@ -30,9 +31,6 @@ except ImportError:  # before Python 3.11
 # long text would exhaust the task's stack.
 _LONGEST_GROUP_REPEAT = 200
 
-# Up to this threshold a text is split to see whether it has enough matches.
-LARGEST_SPLIT = 1000
-
 _DIGIT = r"\p{Nd}"
 # U+10000 is a letter already; naming it makes Java look behind by whole
 # characters instead of UTF-16 units.
@@ -70,6 +68,7 @@ class Pattern:
     never_empty: bool = False
     literal: str | None = None
     required: tuple[str, ...] = ()
+    engine: str = "re"
 
     @property
     def runs_in_jvm(self) -> bool:
@@ -106,28 +105,85 @@ def compile_pattern(source: str) -> Pattern:
 
 
 def compile_legacy_pattern(source: str) -> Pattern:
-    """A pattern of the older rule dialect, where Java differs by flags only:
-    a dot stops at line feeds, classes and case follow Unicode."""
+    """A pattern of the older rule dialect.
+
+    A dot stops at line feeds, a class may subtract another, ``{,n}`` is plain
+    text, and groups may be named in quotes or angle brackets. What Python can
+    parse after that is restated for Java like any other pattern; the rest runs
+    in a batch function with an engine that knows Unicode properties.
+    """
     plain = bool(source) and not re.search(r"[\\^$.|?*+()\[\]{}]", source)
-    required: tuple[str, ...] = ()
-    if "-[" not in source:  # class subtraction would be misread
-        try:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                tree = _sre.parse(source)
-            required = _required_texts(tree, tree.state.flags)
-        except Exception:
-            pass
+    if plain:
+        return Pattern(source, valid=True, flags=0, java=re.escape(source), literal=source, required=())
+    restated = _restate_legacy(source)
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            re.compile(restated)
+            tree = _sre.parse(restated)
+    except Exception:
+        return Pattern(restated, valid=True, flags=0, java=None, counts_agree=False, engine="regex")
+    flags = tree.state.flags
+    try:
+        java = (_WHOLE_CHARACTER if _may_start_inside(tree, flags) else "") + _sequence(tree, flags)
+    except _NoJavaForm:
+        java = None
     return Pattern(
-        source,
+        restated,
         valid=True,
         flags=0,
-        java="(?dU)" + source,
-        literal=source if plain else None,
-        required=required,
+        java=java,
+        counts_agree=tree.getwidth()[0] > 0 or _only_greedy_characters(tree),
+        never_empty=tree.getwidth()[0] > 0,
+        required=_required_texts(tree, flags),
     )
 
 
+def _restate_legacy(source: str) -> str:
+    """Group names, plain braces and class subtraction in Python's spelling."""
+    out, at = [], 0
+    while at < len(source):
+        if source[at] == "\\":
+            named = re.compile(r"\\k[<'](\w+)[>']").match(source, at)
+            out.append(f"(?P={named[1]})" if named else source[at : at + 2])
+            at = named.end() if named else at + 2
+        elif named := re.compile(r"\(\?(?:<([A-Za-z_]\w*)>|'([A-Za-z_]\w*)')").match(source, at):
+            out.append(f"(?P<{named[1] or named[2]}>")
+            at = named.end()
+        elif braces := re.compile(r"\{,\d*\}").match(source, at):
+            out.append("".join("\\" + c if c in "{}" else c for c in braces[0]))
+            at = braces.end()
+        elif source[at] == "[":
+            text, at = _legacy_class(source, at)
+            out.append(text)
+        else:
+            out.append(source[at])
+            at += 1
+    return "".join(out)
+
+
+def _legacy_class(source: str, at: int) -> tuple[str, int]:
+    """A class that starts at ``at`` and where it ends; ``[a-[b]]`` becomes a
+    lookahead that rules out ``b``. Brackets and ampersands within are plain."""
+    start, inner = at, at + 1
+    if source[inner : inner + 1] == "^":
+        inner += 1
+    if source[inner : inner + 1] == "]":
+        inner += 1
+    members = [source[start + 1 : inner]]
+    while inner < len(source) and source[inner] != "]":
+        if source.startswith("-[", inner):
+            less, inner = _legacy_class(source, inner + 1)
+            if source[inner : inner + 1] != "]":
+                break
+            return f"(?:(?!{less})[{''.join(members)}])", inner + 1
+        step = 2 if source[inner] == "\\" else 1
+        piece = source[inner : inner + step]
+        members.append("\\" + piece if piece in ("[", "&") else piece)
+        inner += step
+    return source[start:at + 1] + "".join(members) + source[inner : inner + 1], inner + 1
+
+
 # --- restating a parsed pattern -------------------------------------------
 
 
@@ -282,7 +338,17 @@ def _one_character(tree) -> bool:
 def _fixed_characters(tree) -> bool:
     if len(tree) == 1 and str(tree[0][0]) == "SUBPATTERN" and not tree[0][1][1] | tree[0][1][2]:
         tree = tree[0][1][3]
-    return all(str(op) in _SINGLE for op, _ in tree)
+    return all(str(op) in _SINGLE and _fixed_units(str(op), arg) for op, arg in tree)
+
+
+def _fixed_units(name: str, arg) -> bool:
+    """Whether all characters an item takes have one number of UTF-16 units; if
+    not, Java repeats the group by recursion."""
+    if name == "LITERAL":
+        return True
+    return name == "IN" and all(
+        str(op) == "LITERAL" and a < 0x10000 or str(op) == "RANGE" and a[1] < 0x10000 for op, a in arg
+    )
 
 
 def _only_greedy_characters(tree) -> bool:
@@ -350,11 +416,11 @@ def _has_no_case(code: int) -> bool:
 
 
 def _python_hits(pattern: Pattern):
-    source, flags = pattern.source, pattern.flags
+    source, flags, engine = pattern.source, pattern.flags, pattern.engine
 
     @F.pandas_udf("int")
     def hits(texts: pd.Series) -> pd.Series:
-        find = re.compile(source, flags).finditer
+        find = import_module(engine).compile(source, flags).finditer
         return texts.map(lambda text: sum(1 for _ in find(text)))
 
     return hits
@@ -404,7 +470,7 @@ def at_least(target: Column, pattern: Pattern, least: int) -> Column:
     if least <= 1:
         return has_hit(target, pattern)
     splits = pattern.java is not None and pattern.literal is None and pattern.never_empty
-    if not splits or least > LARGEST_SPLIT:
+    if not splits or least >= 2**31 - 1:  # no text holds as many characters
         return hit_count(target, pattern) >= least
     # Splitting stops once there are enough matches; counting reads on.
     text = F.coalesce(target, F.lit(""))

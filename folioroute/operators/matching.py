@@ -157,7 +157,7 @@ def _rule_array(live: list[Rule], rules: RuleSet) -> Column:
                 "plain": plain,
                 "plain_bytes": len(plain.encode()),
                 "required": list(pattern.required),
-                "splits": pattern.never_empty and rule.min_hits <= P.LARGEST_SPLIT,
+                "splits": pattern.never_empty and rule.min_hits < 2**31 - 1,
                 "min_hits": rule.min_hits,
             }
         )

@@ -13,8 +13,6 @@ from folioroute.functions import text as X
 
 # Pages of one document that are joined in one go.
 BLOCK_PAGES = 10_000
-# Up to this many long documents are told apart by a broadcast of their paths.
-BROADCAST_PATHS = 50_000
 
 
 def number_pages(docs: DataFrame, pages: str = "pages", keep: tuple[str, ...] = ("path",)) -> DataFrame:
@@ -39,27 +37,13 @@ def concat_pages(
 ) -> DataFrame:
     """``path, text``: all page texts in order, with headings if asked.
 
-    Documents are joined in one shuffle. Those with pages beyond
-    ``block_pages`` are joined in two steps, block by block, so that the pages
-    of one long document spread over many tasks. Whether there are any shows
-    from the page numbers, which the scan filters by. (The joined text is one
-    value and bound to the 2 GB of a Spark value; beyond that, chunk the
-    document.)
+    Pages are joined block by block, then the blocks of a document, so the pages
+    of a long document spread over many tasks; a usual document is one block.
+    (The joined text is one value and bound to the 2 GB of a Spark value; beyond
+    that, chunk the document.)
     """
     piece = X.page_marker("page_no", "text") if markers else F.coalesce("text", F.lit(""))
-    long_ones = pages.where(F.col("page_no") > block_pages).select("path").distinct()
-    found = long_ones.limit(BROADCAST_PATHS + 1).count()
-    if found == 0:
-        return _join_at_once(pages, piece)
-    if found > BROADCAST_PATHS:
-        return _join_by_block(pages, piece, block_pages)
-    few = F.broadcast(long_ones)
-    usual = _join_at_once(pages.join(few, "path", "left_anti"), piece)
-    return usual.unionByName(_join_by_block(pages.join(few, "path", "left_semi"), piece, block_pages))
-
-
-def _join_at_once(pages: DataFrame, piece: Column) -> DataFrame:
-    return pages.groupBy("path").agg(ordered_text("page_no", piece).alias("text"))
+    return _join_by_block(pages, piece, block_pages)
 
 
 def _join_by_block(pages: DataFrame, piece: Column, block_pages: int) -> DataFrame:

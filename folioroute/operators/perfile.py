@@ -52,11 +52,13 @@ def success_count(results: DataFrame) -> DataFrame:
 
 
 def result_status(results: DataFrame) -> DataFrame:
-    """Status and message a file ends with: failed only if its job raised."""
-    return results.select(
-        "path",
-        F.when(F.col("ok"), F.lit(K.DONE)).otherwise(K.FAILED).alias("status"),
-        F.when(F.col("ok"), F.lit(K.DONE_MESSAGE))
-        .otherwise(F.concat(F.lit(K.FAILED_MESSAGE_PREFIX), F.coalesce("error", F.lit(""))))
-        .alias("message"),
+    """The results with the status and message a file ends with: failed only if
+    its job raised. Columns are added in place, so the function runs once."""
+    return results.withColumns(
+        {
+            "status": F.when(F.col("ok"), F.lit(K.DONE)).otherwise(K.FAILED),
+            "message": F.when(F.col("ok"), F.lit(K.DONE_MESSAGE)).otherwise(
+                F.concat(F.lit(K.FAILED_MESSAGE_PREFIX), F.coalesce("error", F.lit("")))
+            ),
+        }
     )

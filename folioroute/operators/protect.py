@@ -17,8 +17,8 @@ def protect_content(matched: DataFrame, rules: RuleSet, content: str = "content"
     """Encrypt ``content`` of rows whose ``rule_id`` encrypts (AES-256, GCM).
 
     The user password opens ``content``; ``owner_key`` holds the user key
-    sealed with the owner password, so that one opens it too. Rows of other
-    rules keep their bytes. Passwords do not leave the plan.
+    sealed with the owner password, so that one opens it too; it is null for a
+    rule without an owner password. Rows of other rules keep their bytes. Passwords do not leave the plan.
     """
     rows = attach_rule(matched, rules, "user_pass", "owner_pass", "encrypt")
     user_key = _key(F.col("user_pass"))
@@ -28,7 +28,8 @@ def protect_content(matched: DataFrame, rules: RuleSet, content: str = "content"
         {
             content: F.when(sealed, F.aes_encrypt(data, user_key, F.lit("GCM"))).otherwise(data),
             "owner_key": F.when(
-                sealed, F.aes_encrypt(user_key, _key(F.col("owner_pass")), F.lit("GCM"))
+                sealed & (F.col("owner_pass") != ""),
+                F.aes_encrypt(user_key, _key(F.col("owner_pass")), F.lit("GCM")),
             ),
             "protected": sealed,
         }

@@ -19,6 +19,7 @@ from folioroute.session import run_dir, spread
 from folioroute.sinks import writers
 from folioroute.sources import extract as E
 from folioroute.sources.files import open_filesystem, plain_path, scan_files
+from folioroute.sources.tables import read_log, read_status
 from folioroute.sources.rules import make_rules, normalize_rules, read_rules
 from folioroute.streaming import monitor, router
 
@@ -59,6 +60,15 @@ LEGACY_RULES = [
     dict(pattern=r"src", name="again", target="中介", occurrence=1),
 ]
 
+# Constructs of the legacy dialect that Java or Python read differently.
+LEGACY_DIALECT_RULES = [
+    dict(pattern=r"[a-z-[aeiou]]{5}", name="consonants", target="內容", occurrence=1),
+    dict(pattern=r"[a&&b]t", name="ampersand", target="內容", occurrence=3),
+    dict(pattern=r"(?'n'th)e", name="named", target="內容", occurrence=4),
+    dict(pattern=r"[[u]n", name="bracket", target="內容", occurrence=2),
+    dict(pattern=r"a{,2}", name="braces", target="內容", occurrence=0),
+]
+
 # Constructs that Java reads differently from the rule dialect.
 DIALECT_RULES = [
     dict(pattern=r"\d{3}-\d+", name="digits", occurrence=1),
@@ -204,6 +214,22 @@ def route_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.route(files(spark, sf_dir), make_rules(LEGACY_RULES, legacy=True))
 
 
+def route_legacy_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.route(files(spark, sf_dir), make_rules(LEGACY_DIALECT_RULES, legacy=True))
+
+
+def route_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of which some hold broken bytes: their name still counts."""
+    broken = F.substring_index(X.file_stem("path"), "_", -1).cast("long") % 3 == 0
+    contents = files(spark, sf_dir).select(
+        "path", F.when(broken, F.unhex(F.lit("C328"))).otherwise(F.col("text").cast("binary")).alias("content")
+    )
+    read = E.extracted_documents(E.extract(spread(contents, "path"), [E.text_reader]), remove_spaces=False)
+    rules = make_rules([r for r in RULES if r["name"] in ("lucky", "english_like")])
+    routed = routing.route(read, rules)
+    return routed.select("path", "rule_id", F.col("error").isNotNull().alias("unreadable"))
+
+
 def route_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(files(spark, sf_dir), "path")
     rules = make_rules(DIALECT_RULES)
@@ -248,14 +274,13 @@ def running_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    routed = routing.route(files(spark, sf_dir), make_rules(RULES))
-    sizes = routed.select(
-        F.lit(True).alias("ok"),
-        F.col("rule_id").isNotNull().alias("matched"),
-        F.lit(0.0).alias("start_time"),
-        F.length("path").cast("double").alias("end_time"),
+    ended = status(spark, sf_dir).select(
+        (F.col("status") != K.FAILED).alias("ok"),
+        (F.col("status") == K.DONE).alias("matched"),
+        "start_time",
+        "end_time",
     )
-    return S.run_summary(sizes)
+    return S.run_summary(ended)
 
 
 def _origin_rules(spark: SparkSession, sf_dir: str, target: str, header: bool) -> str:
@@ -263,13 +288,18 @@ def _origin_rules(spark: SparkSession, sf_dir: str, target: str, header: bool) -
     origin = F.concat("lang", "source")
     found = _table(spark, sf_dir, "documents").select(origin.alias("pattern")).distinct()
     empty = F.lit(None).cast("string")
+    pad = " " if header else ""  # legacy fields may be padded
     rows = found.select(
-        "pattern", F.concat(F.lit("from "), "pattern").alias("name"),
-        F.lit(target).alias("target"), F.lit("1").alias("n"),
+        F.concat(F.lit(pad), "pattern", F.lit(pad)).alias("pattern"),
+        F.concat(F.lit(pad + "from "), "pattern").alias("name"),
+        F.lit(target + pad).alias("target"), F.lit(pad + "1").alias("n"),
         empty.alias("user"), empty.alias("owner"),
     )
     out = run_dir(spark, "rules")
-    rows.repartition(1).sortWithinPartitions("pattern").write.option("header", header).csv(out)
+    # Several part files, in order by their names.
+    parts = rows.repartitionByRange(3, "pattern").sortWithinPartitions("pattern")
+    keep = dict(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    parts.write.options(header=header, **keep).csv(out)
     return out
 
 
@@ -463,9 +493,7 @@ def map_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         return len(row["text"])
 
     docs = spread(files(spark, sf_dir).select("path", "text"), "path")
-    results = perfile.map_files(docs, measure, "long")
-    ended = perfile.result_status(results.select("path", "ok", "error"))
-    return results.join(ended, "path")
+    return perfile.result_status(perfile.map_files(docs, measure, "long"))
 
 
 def text_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -475,7 +503,8 @@ def text_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def protect_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = make_rules(RULES)
+    """One rule sets both passwords, one the user's only: no owner opens that."""
+    rules = make_rules([{**r, "user_pass": "open-me"} if r["name"] == "romance" else r for r in RULES])
     docs = routing.as_documents(spread(files(spark, sf_dir), "path"))
     matched = matching.first_match(docs, rules).select(
         "path", "rule_id", F.col("text").cast("binary").alias("content")
@@ -487,6 +516,7 @@ def protect_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         "path",
         "rule_id",
         "protected",
+        F.col("owner_key").isNotNull().alias("has_owner"),
         F.col("user_text").cast("string").alias("user_text"),
         F.col("owner_text").cast("string").alias("owner_text"),
     )
@@ -586,6 +616,20 @@ def status_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read_export(spark, out, K.STATUS_EXPORT_HEADER)
 
 
+def status_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status written as a table, read back and counted."""
+    out = run_dir(spark, "status")
+    status(spark, sf_dir).write.parquet(out)
+    return S.status_counts(read_status(spark, out))
+
+
+def log_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log written as a table, read back and cut to its errors."""
+    out = run_dir(spark, "log")
+    log(spark, sf_dir).select("timestamp", "level", "thread", "message").write.parquet(out)
+    return S.errors_only(read_log(spark, out))
+
+
 def log_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = run_dir(spark, "log-csv")
     writers.export_log(log(spark, sf_dir), out)
@@ -607,15 +651,16 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams -------------------------------------------------------------------------
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    source = spark.readStream.schema(_SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet")
-    return source.parquet(sf_dir)
+def _stream(spark: SparkSession, sf_dir: str, name: str, home: str, by: str) -> DataFrame:
+    """A table that arrives in four batches; rows of one ``by`` arrive together."""
+    _table(spark, sf_dir, name).repartition(4, by).write.parquet(f"{home}/arriving")
+    source = spark.readStream.schema(_SCHEMAS[name]).option("maxFilesPerTrigger", 1)
+    return source.parquet(f"{home}/arriving")
 
 
 def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = run_dir(spark, "monitor")
-    events = updates_of(_stream(spark, sf_dir, "events"))
+    events = updates_of(_stream(spark, sf_dir, "events", home, by="event_id"))
     monitor.monitor_status(
         events, f"{home}/log", f"{home}/checkpoint", every=None
     ).awaitTermination()
@@ -624,7 +669,7 @@ def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = run_dir(spark, "router")
-    docs = _stream(spark, sf_dir, "documents").select(
+    docs = _stream(spark, sf_dir, "documents", home, by="source").select(
         F.concat(
             F.lit("/in/"), "source", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")
         ).alias("path"),
@@ -642,7 +687,8 @@ QUERIES = {
     for query in (
         route_first_match, route_counts, route_many_rules, route_exact, route_dialect, match_matrix,
         manifest, manifest_copy_mode, manifest_families, name_exhausted, legacy_claim,
-        running_metadata, run_summary, split_then_route, route_from_file, route_legacy_file, route_folder,
+        running_metadata, run_summary, route_legacy_dialect, route_unreadable, status_table, log_table,
+        split_then_route, route_from_file, route_legacy_file, route_folder,
         scan_top_level, document_text, page_counts, chunk_text,
         chunk_names, chunk_counts, chunk_sink, page_markers, split_markers, preview_pages,
         preview_stripped, preview_first, path_parts, page_text, page_meta, text_fallback,

@@ -52,6 +52,15 @@ EXACT = [
 ]
 
 
+LEGACY_DIALECT = [
+    (0, "consonants", "len(regexp_extract_all(text, '[b-df-hj-np-tv-z]{5}'))", 1),
+    (1, "ampersand", "len(regexp_extract_all(text, '[a&b]t'))", 3),
+    (2, "named", "len(regexp_extract_all(text, 'the'))", 4),
+    (3, "bracket", r"len(regexp_extract_all(text, '[\[u]n'))", 2),
+    (4, "braces", r"len(regexp_extract_all(text, 'a\{,2\}'))", 0),
+]
+
+
 def _case(rules, column: int, operator: str = ">=") -> str:
     def value(rule):
         v = rule[column]
@@ -290,6 +299,21 @@ SELECT coalesce({_case(CANONICAL, 1)}, 'none') AS name, count(*) AS files FROM f
     "route_many_rules": _many(),
     "route_exact": f"""WITH {FILES}
 SELECT path, {_case(EXACT, 0, "=")}::INTEGER AS rule_id FROM files""",
+    "route_legacy_dialect": f"""WITH {FILES}
+SELECT path, {_case(LEGACY_DIALECT, 0, "=")}::INTEGER AS rule_id FROM files""",
+    "route_unreadable": f"""WITH {FILES},
+read AS (SELECT *, regexp_extract(stem, '[0-9]+')::BIGINT % 3 = 0 AS unreadable FROM files)
+SELECT path, unreadable,
+       CASE WHEN len(regexp_extract_all(stem, '7')) >= 2 THEN 0
+            WHEN NOT unreadable AND len(regexp_extract_all(text, '(?s)the.*?and')) >= 3 THEN 1 END::INTEGER AS rule_id
+FROM read""",
+    "status_table": f"""WITH {STATUS}
+SELECT count(*) FILTER ({_STATE} = 'pending') AS pending, count(*) FILTER ({_STATE} = 'queued') AS queued,
+       count(*) FILTER (status = 1) AS processing, count(*) FILTER (status = 2) AS completed,
+       count(*) FILTER (status = 3) AS failed, count(*) AS total
+FROM status""",
+    "log_table": f"""WITH {LOG}
+SELECT timestamp, level, thread, message FROM log WHERE level = '错误'""",
     "route_dialect": _matrix(DIALECT),
     "match_matrix": _matrix(CANONICAL),
     "manifest": _manifest(CANONICAL),
@@ -304,11 +328,11 @@ hits AS (
   FROM web)
 SELECT path, hits, (2 + sum(hits) OVER (ORDER BY path ROWS UNBOUNDED PRECEDING))::BIGINT AS running_hits
 FROM hits""",
-    "run_summary": f"""WITH {FILES},
-routed AS (SELECT path, {_case(CANONICAL, 0)} AS rule_id FROM files),
+    "run_summary": f"""WITH {STATUS},
 total AS (
-  SELECT count(*) AS searched, count(*) AS succeeded, count(rule_id) AS matched,
-         max(length(path))::DOUBLE AS seconds FROM routed)
+  SELECT count(*) AS searched, count(*) FILTER (status <> 3) AS succeeded,
+         count(*) FILTER (status = 2) AS matched,
+         max(end_time) - min(start_time) AS seconds FROM status)
 SELECT *, {_duration("seconds")} AS elapsed FROM total""",
     "route_from_file": f"""WITH {_ORIGIN}
 SELECT f.path, h.rule_id, 'from ' || r.pattern AS name
@@ -402,7 +426,8 @@ SELECT regexp_replace(coalesce(p.target_path, p.path), '\\.pdf$', '_ocr.txt') AS
 FROM files f JOIN placed p ON p.path = f.path WHERE f.text <> ''""",
     "protect_roundtrip": f"""WITH {FILES},
 routed AS (SELECT path, text, {_case(CANONICAL, 0)}::INTEGER AS rule_id FROM files)
-SELECT path, rule_id, coalesce(rule_id = 1, false) AS protected, text AS user_text, text AS owner_text
+SELECT path, rule_id, coalesce(rule_id IN (1, 8), false) AS protected, coalesce(rule_id = 1, false) AS has_owner,
+       text AS user_text, CASE WHEN rule_id IS DISTINCT FROM 8 THEN text END AS owner_text
 FROM routed""",
     "rule_rows": """WITH raw AS (
   SELECT *, CASE event_type WHEN 'view' THEN '' WHEN 'click' THEN ''

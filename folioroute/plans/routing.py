@@ -48,26 +48,24 @@ def route(files: DataFrame, rules: RuleSet) -> DataFrame:
     """``path`` and ``rule_id`` (null if no rule fits) of every file.
 
     One pass over the files; the text stays in the stage that reads it. Files
-    with an ``error`` from extraction are not matched and marked ``failed``.
+    that could not be read have an empty text and no metadata, and all rules are
+    tried on them; their ``error`` is kept.
     """
     files = spread(files, "path")
-    found = matching.first_match_column(rules)
-    if "error" not in files.columns:
-        return as_documents(files, rules).select("path", found.alias("rule_id"))
-    ok = F.col("error").isNull()
-    return as_documents(files, rules, keep=("error",)).select(
-        "path", F.when(ok, found).alias("rule_id"), (~ok).alias("failed")
-    )
+    found = matching.first_match_column(rules).alias("rule_id")
+    keep = ("error",) if "error" in files.columns else ()
+    return as_documents(files, rules, keep=keep).select("path", found, *keep)
 
 
 def outcome_column(error: Column | None = None) -> Column:
-    """What became of a file, from its ``rule_id`` and ``slot``."""
-    result = (
-        F.when(F.col("rule_id").isNull(), "unmatched")
+    """What became of a file, from its ``rule_id`` and ``slot``; a file that could
+    not be read and that no rule fits is an error."""
+    nothing = F.lit("unmatched") if error is None else F.when(error.isNull(), "unmatched").otherwise("error")
+    return (
+        F.when(F.col("rule_id").isNull(), nothing)
         .when(F.col("slot").isNull(), "name_exhausted")
         .otherwise("matched")
     )
-    return result if error is None else F.when(error, "error").otherwise(result)
 
 
 def build_manifest(
@@ -82,7 +80,7 @@ def build_manifest(
     ``inventory`` lists the files that exist (default: the routed files
     themselves). ``directory`` overrides the directory targets go to. Passwords
     are not part of the manifest; they stay with the rule. An ``error`` column
-    of the files marks those whose extraction failed.
+    of the files tells those that could not be read.
     """
     existing = files if inventory is None else inventory
     return manifest_of(route(files, rules), rules, existing, copy_mode, directory)
@@ -101,14 +99,14 @@ def manifest_of(
     existing = None if inventory is None else inventory.select("path")
     live = {r.name for r in matching.live_rules(rules)}
     named = naming.assign_names(claims, [n for n in rules.names() if n in live], existing)
-    failed = F.col("failed") if "failed" in routed.columns else None
+    error = F.col("error") if "error" in routed.columns else None
     placed = F.col("slot").isNotNull()
     action = F.when(F.col("encrypt"), "encrypt").otherwise("copy" if copy_mode else "rename")
     return named.select(
         "path",
         F.when(placed, naming.target_path("dir", "name", "slot")).alias("target_path"),
         F.when(placed, action).alias("action"),
-        outcome_column(failed).alias("outcome"),
+        outcome_column(error).alias("outcome"),
         "rule_id",
         F.coalesce("encrypt", F.lit(False)).alias("encrypt"),
         # A finished job counts as done whether or not the file found a name.

@@ -10,16 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-# Below this many bytes per core a scan is smaller than half a default file
-# split, so cores would idle if the input came as one or two splits.
-_SPREAD_BYTES_PER_CORE = 64 * 1024 * 1024
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir`` of the
-    session, or a temporary folder when the session names none (tests)."""
+    session. A local session that names none gets a temporary folder; any other
+    is refused, since its executors would not see that folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="folioroute-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -57,24 +56,14 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Size of the input as the optimizer estimates it, if it can be asked."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
-        return None
-
+def spread(df: DataFrame, *keys: str, partitions: int | None = None) -> DataFrame:
+    """Deal rows out to ``partitions`` tasks before costly per-row work.
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal a small input out to all cores before costly per-row work.
-
-    A large input already has a split per core and more and is left alone:
-    no text is shuffled there. The decision uses the optimizer's estimate.
+    Off by default: a large input has a split per core and more, and no text
+    should be shuffled there. Sessions that work on small single files set
+    ``folioroute.partitions``; streams are never dealt out.
     """
-    if df.isStreaming:
-        return df
-    size = estimated_bytes(df)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if size is None or size > cores * _SPREAD_BYTES_PER_CORE:
+    wanted = partitions or int(df.sparkSession.conf.get("folioroute.partitions", "0"))
+    if df.isStreaming or not wanted:
         return df
-    return df.repartition(cores, *keys)
+    return df.repartition(wanted, *keys)

@@ -114,30 +114,6 @@ def text_reader() -> Reader:
     return read
 
 
-def pymupdf_reader() -> Reader:
-    """PDF through PyMuPDF, if the executors have it."""
-    import fitz
-
-    def read(content: bytes):
-        with fitz.open(stream=content, filetype="pdf") as document:
-            return [page.get_text() for page in document], dict(document.metadata or {})
-
-    return read
-
-
-def pypdf_reader() -> Reader:
-    """PDF through pypdf, if the executors have it."""
-    import io
-
-    from pypdf import PdfReader
-
-    def read(content: bytes):
-        document = PdfReader(io.BytesIO(content))
-        return [page.extract_text() for page in document.pages], dict(document.metadata or {})
-
-    return read
-
-
 # --- markup in a table ----------------------------------------------------------
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 import pyarrow.fs as pafs
@@ -51,7 +53,8 @@ def open_filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     if path.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
     if "://" in path:
-        return pafs.FileSystem.from_uri(path)
+        # Spark's names of this store are not known to the file systems used here.
+        return pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1).replace("s3n://", "s3://", 1))
     return pafs.LocalFileSystem(), path
 
 
@@ -62,17 +65,48 @@ def _walk(folder: str, depth: int | None) -> Iterator[pd.DataFrame]:
     prefix = "" if folder.startswith("file:") else folder.removesuffix(start)
     waiting = [start]
     while waiting:
-        found = system.get_file_info(pafs.FileSelector(waiting.pop()))
         rows = []
-        for info in found:
-            is_dir = info.type == pafs.FileType.Directory
+        for path, is_dir, size, modified in _entries(system, waiting.pop()):
             if is_dir and depth is None:
-                waiting.append(info.path)
+                waiting.append(path)
             else:
-                rows.append((prefix + info.path, is_dir, info.size, info.mtime))
+                rows.append((prefix + path, is_dir, size, modified))
+            if len(rows) == 10_000:
+                yield _listed(rows)
+                rows = []
         if rows:
-            frame = pd.DataFrame(rows, columns=["path", "is_dir", "length", "modified"])
-            yield frame.assign(length=frame.length.astype("Int64"))
+            yield _listed(rows)
+
+
+def _listed(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=["path", "is_dir", "length", "modified"])
+    return frame.assign(length=frame.length.astype("Int64"))
+
+
+def _entries(system: pafs.FileSystem, folder: str) -> Iterator[tuple]:
+    """Entries of one folder: path, whether to descend, size, time.
+
+    A local folder is read entry by entry and its links to folders are not
+    followed; a folder that may not be read has no entries, and the rest goes on.
+    """
+    if isinstance(system, pafs.LocalFileSystem):
+        try:
+            with os.scandir(folder) as found:
+                for entry in found:
+                    if entry.is_dir():
+                        if not entry.is_symlink():
+                            yield entry.path, True, None, None
+                        continue
+                    try:
+                        facts = entry.stat()
+                    except OSError:
+                        continue
+                    yield entry.path, False, facts.st_size, datetime.fromtimestamp(facts.st_mtime, timezone.utc)
+        except PermissionError:
+            return
+        return
+    for info in system.get_file_info(pafs.FileSelector(folder)):
+        yield info.path, info.type == pafs.FileType.Directory, info.size, info.mtime
 
 
 def scan_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:

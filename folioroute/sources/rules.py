@@ -18,9 +18,6 @@ from folioroute.functions.patterns import Pattern, compile_legacy_pattern, compi
 from folioroute.functions.text import strip
 from folioroute.session import local_frame
 
-# A rule table becomes part of the plan, so it has to stay a table of rules.
-MAX_RULES = 20_000
-
 RAW_FIELDS = ["pattern", "name", "target", "occurrence", "user_pass", "owner_pass"]
 
 RULE_SCHEMA = T.StructType(
@@ -60,8 +57,6 @@ class RuleSet:
     _patterns: dict[str, Pattern] = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
-        if len(self.rules) > MAX_RULES:
-            raise ValueError(f"{len(self.rules)} rules; at most {MAX_RULES} fit into a plan")
         compile_one = compile_legacy_pattern if self.legacy else compile_pattern
         for rule in self.rules:
             if rule.pattern not in self._patterns:
@@ -131,37 +126,41 @@ def read_rules(
     dialect skips the first row, takes ``encrypt`` for the whole run and
     rejects an occurrence that is no number.
     """
-    raw = read_rule_rows(spark, path, header=header or legacy)
+    raw = read_rule_rows(spark, path, header=header or legacy, legacy=legacy)
     rows = normalize_rules(raw, legacy, encrypt, default_user_pass, default_owner_pass)
-    found = rows.orderBy("position").limit(MAX_RULES + 1).collect()
-    rules = [
-        Rule(i, r.pattern, r.name, r.target, r.min_hits, r.user_pass, r.owner_pass, r.encrypt)
-        for i, r in enumerate(found)
-    ]
+    rules = []
+    for r in rows.orderBy("file", "position").collect():
+        if r.user_pass is None or r.owner_pass is None:
+            break  # a password with a bad escape ends the reading; earlier rules stay
+        rules.append(Rule(len(rules), r.pattern, r.name, r.target, r.min_hits, r.user_pass, r.owner_pass, r.encrypt))
     return RuleSet(rules, legacy)
 
 
-def read_rule_rows(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
-    """The six text columns of each complete row and its ``position``.
+def read_rule_rows(spark: SparkSession, path: str, header: bool = False, legacy: bool = False) -> DataFrame:
+    """The six text columns of each complete row, its ``file`` and ``position``.
 
-    A rule file is small. It is taken as one text, because Spark's CSV reader
+    Rows are ordered by file name, then position; a header is skipped in every
+    file. Legacy files lose blank lines before that, and blanks around fields. A
+    rule file is small. It is taken as one text, because Spark's CSV reader
     cannot tell a missing last column from an empty one.
     """
     fields = ", ".join(f"{name} string" for name in RAW_FIELDS)
-    whole = spark.read.text(path, wholetext=True)
-    return whole.mapInPandas(_row_parser(header), f"position int, {fields}")
+    whole = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
+    return whole.mapInPandas(_row_parser(header, legacy), f"file string, position int, {fields}")
 
 
-def _row_parser(header: bool):
-    columns, wanted = ["position", *RAW_FIELDS], len(RAW_FIELDS)
+def _row_parser(header: bool, legacy: bool = False):
+    columns, wanted = ["file", "position", *RAW_FIELDS], len(RAW_FIELDS)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for text in batch["value"]:
-                lines = io.StringIO(text.removeprefix("\ufeff").replace("\r\n", "\n"))
-                rows = list(csv.reader(lines))[1 if header else 0 :]
-                complete = [row[:wanted] for row in rows if len(row) >= wanted]
-                yield pd.DataFrame([(i, *row) for i, row in enumerate(complete)], columns=columns)
+            for text, file in zip(batch["value"], batch["file"]):
+                plain = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
+                rows = list(csv.reader(io.StringIO(plain)))
+                if legacy:
+                    rows = [[field.strip() for field in row] for row in rows if "".join(row).strip()]
+                complete = [row[:wanted] for row in rows[1 if header else 0 :] if len(row) >= wanted]
+                yield pd.DataFrame([(file, i, *row) for i, row in enumerate(complete)], columns=columns)
 
     return parse
 
@@ -177,7 +176,13 @@ def normalize_rules(
     others = [c for c in raw.columns if c not in RAW_FIELDS]
 
     def password(name: str, default: str) -> Column:
-        return F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit(default)).alias(name)
+        given = F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit(default))
+        if not legacy:  # an escape that cannot be decoded stays visible as null
+            given = F.when(raw_literal(name) & F.col(name).isNull(), F.lit(None)).otherwise(given)
+        return given.alias(name)
+
+    def raw_literal(name: str) -> Column:
+        return F.coalesce(F.col(f"_raw_{name}").startswith("b'"), F.lit(False))
 
     if legacy:
         number = F.col("occurrence")
@@ -192,6 +197,8 @@ def normalize_rules(
             F.lit(encrypt).alias("encrypt"),
         )
     clean = raw.select(*others, *[strip(F.col(c)).alias(c) for c in RAW_FIELDS]).withColumns(
+        {"_raw_user_pass": F.col("user_pass"), "_raw_owner_pass": F.col("owner_pass")}
+    ).withColumns(
         {
             "user_pass": decode_byte_literal(F.col("user_pass")),
             "owner_pass": decode_byte_literal(F.col("owner_pass")),
@@ -202,18 +209,44 @@ def normalize_rules(
         *others, "pattern", "name", "target",
         F.when(
             F.col("occurrence").rlike(r"\A[+-]?[0-9]+\z"),
-            F.coalesce(F.col("occurrence").try_cast("int"), F.lit(2**31 - 1)),
-        ).otherwise(1).alias("min_hits"),
+            F.coalesce(F.col("occurrence").try_cast("int"), _beyond(F.col("occurrence"))),
+        )
+        # Digits of other scripts and underscores between digits are numbers too.
+        .when(
+            F.col("occurrence").rlike(r"\A[+-]?\p{Nd}+(?:_\p{Nd}+)*\z"),
+            _number_reader()(F.coalesce("occurrence", F.lit(""))),
+        )
+        .otherwise(1).alias("min_hits"),
         password("user_pass", default_user_pass),
         password("owner_pass", default_owner_pass),
         has_password.alias("encrypt"),
     )
 
 
+def _beyond(number: Column) -> Column:
+    """The nearest threshold to a number beyond the integers: its sign decides."""
+    return F.when(number.startswith("-"), -(2**31)).otherwise(2**31 - 1)
+
+
+def _number_reader():
+    @F.pandas_udf("int")
+    def read(values: pd.Series) -> pd.Series:
+        def one(value: str) -> int:
+            try:
+                return max(-(2**31), min(2**31 - 1, int(value)))
+            except ValueError:
+                return 1
+
+        return values.map(one)
+
+    return read
+
+
 def decode_byte_literal(value: Column) -> Column:
-    """``b'...'`` to the text between the quotes with its escapes decoded."""
+    """``b'...'`` to the text between the quotes with its escapes decoded; null
+    where an escape is broken. A lone ``b'`` is a literal of nothing."""
     inner = F.regexp_extract(value, r"(?s)\Ab'(.*)'\z", 1)
-    is_literal = value.rlike(r"(?s)\Ab'.*'\z")
+    is_literal = value.rlike(r"(?s)\Ab'.*'\z") | (value == "b'")
     # Escapes and non-ASCII text need the full decoder; plain passwords do not.
     plain = inner.rlike(r"\A[\x00-\x7F&&[^\\]]*\z")
     return (
@@ -226,6 +259,12 @@ def decode_byte_literal(value: Column) -> Column:
 def _escape_decoder():
     @F.pandas_udf("string")
     def decode(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: codecs.decode(v.encode("utf-8"), "unicode_escape"))
+        def one(value: str) -> str | None:
+            try:
+                return codecs.decode(value.encode("utf-8"), "unicode_escape")
+            except UnicodeDecodeError:
+                return None
+
+        return values.map(one)
 
     return decode

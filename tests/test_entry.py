@@ -7,9 +7,10 @@ import pytest
 
 import __spark_entry__ as entry
 from folioroute.plans import catalogue as C
+from folioroute.plans.oracle import ORACLE
 
 TABLES = "documents pages conversations events".split()
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES = C.QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +29,7 @@ def plain(value):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", QUERIES)

@@ -143,3 +143,19 @@ def test_html(spark):
     frame = spark.createDataFrame([(html,)], "h string")
     row = frame.select(E.html_text("h"), E.html_title("h")).first()
     assert tuple(row) == ("onetwo", "T &amp; U")
+
+
+def test_links_to_folders_are_not_followed(spark, tmp_path):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    for name in ("in/a.pdf", "in/deep/b.PDF"):
+        (tmp_path / name).write_bytes(b"x")
+    (tmp_path / "in" / "deep" / "loop").symlink_to(tmp_path / "in", target_is_directory=True)
+    (tmp_path / "in" / "c.pdf").symlink_to(tmp_path / "in" / "a.pdf")
+    found = listed_below(spark, f"{tmp_path}/in")
+    assert found == ["/a.pdf", "/c.pdf", "/deep/b.PDF"]
+
+
+def listed_below(spark, root):
+    from folioroute.sources.files import list_files
+
+    return sorted(r.path.removeprefix(root) for r in list_files(spark, root).collect())

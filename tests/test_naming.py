@@ -80,13 +80,15 @@ def test_one_hot_name(spark):
 
 def test_manifest_outcomes(spark):
     files = spark.createDataFrame(
-        [("/in/a.pdf", "hit", None), ("/in/b.pdf", "miss", None), ("/in/c.pdf", "hit", "unreadable"),
-         ("/in/d.pdf", "secret", None)],
+        [("/in/a.pdf", "hit", None), ("/in/b.pdf", "miss", None), ("/in/c.pdf", "", "unreadable"),
+         ("/in/d.pdf", "secret", None), ("/in/e9.pdf", "", "unreadable")],
         "path string, text string, error string",
     )
-    rules = make_rules([dict(pattern="hit", name="n"), dict(pattern="secret", name="s", user_pass="u")])
+    rules = make_rules([dict(pattern="hit", name="n"), dict(pattern="secret", name="s", user_pass="u"), dict(pattern="9", name="f", target="檔名")])
     rows = {r.path: r for r in routing.build_manifest(files, rules, copy_mode=True).collect()}
     assert [rows[f"/in/{x}.pdf"].outcome for x in "abcd"] == ["matched", "unmatched", "error", "matched"]
+    # The name of an unreadable file still counts.
+    assert rows["/in/e9.pdf"].outcome == "matched" and rows["/in/e9.pdf"].target_path == "/in/f.pdf"
     assert [rows[f"/in/{x}.pdf"].action for x in "abcd"] == ["copy", None, None, "encrypt"]
     assert rows["/in/a.pdf"].target_path == "/in/n.pdf"
     # Whatever the outcome, the job itself did not fail.

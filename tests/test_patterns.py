@@ -121,3 +121,33 @@ def test_legacy_dialect(spark):
     assert counts(r"\d") == [0, 0, 1]
     assert counts("end$") == [0, 0, 0]
     assert counts("(?i)END.$") == [0, 1, 0]
+
+
+LEGACY = {
+    "[a-z-[aeiou]]": ("abcde", 3), "[a&&b]": ("a&b", 3), "[[a]": ("[a]", 2), "a{,2}": ("xa{,2}y aa", 1),
+    "(?'n'a)b": ("abab", 2), r"(?<n>a)\k<n>": ("aaab", 1), r"\p{Lu}": ("aBÉ", 2), "a.b": ("a\nb a-b", 1),
+    "(?:ab|c)+": ("abccab x", 1),
+}
+
+
+def test_legacy_dialect_counts(spark):
+    for source, (text, count) in LEGACY.items():
+        pattern = P.compile_legacy_pattern(source)
+        frame = spark.createDataFrame([(text,)], "t string")
+        row = frame.select(P.hit_count(F.col("t"), pattern).alias("n"), P.has_hit(F.col("t"), pattern).alias("h")).first()
+        assert (row.n, row.h) == (count, True), source
+
+
+@pytest.mark.parametrize(
+    "compile_one, source, text, count",
+    [
+        (P.compile_legacy_pattern, "(ab|c)*d", "abc" * 60_000 + "d", 1),
+        (P.compile_pattern, "(?:[^x]y)*e", "ay😀y" * 20_000 + "e", 1),
+        (P.compile_pattern, r"(?:\wy)+e", "ay𝒜y" * 20_000 + "e", 1),
+        (P.compile_pattern, "(?:ay)+e", "ay" * 100_000 + "e", 1),
+    ],
+)
+def test_long_repeats_do_not_exhaust_the_stack(spark, compile_one, source, text, count):
+    frame = spark.createDataFrame([(text,)], "t string")
+    pattern = compile_one(source)
+    assert frame.select(P.hit_count(F.col("t"), pattern)).first()[0] == count

@@ -2,7 +2,6 @@
 
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from folioroute.operators import legacy, matching, pages
@@ -16,24 +15,18 @@ def plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.fixture
-def big(monkeypatch):
-    """As if the input were large: nothing is dealt out first."""
-    monkeypatch.setattr("folioroute.session._SPREAD_BYTES_PER_CORE", 0)
-
-
-def test_routing_is_one_pass_without_shuffle_or_python(spark, sf001, big):
+def test_routing_is_one_pass_without_shuffle_or_python(spark, sf001):
     text = plan(C.route_first_match(spark, sf001))
     assert "Exchange hash" not in text and "Python" not in text and "SortMergeJoin" not in text
     assert text.count("FileScan") == 1
 
 
-def test_routing_by_many_rules_has_no_join_at_all(spark, sf001, big):
+def test_routing_by_many_rules_has_no_join_at_all(spark, sf001):
     text = plan(C.route_many_rules(spark, sf001))
     assert "Join" not in text and "Exchange" not in text and "from_json" not in text
 
 
-def test_matches_are_counted_once_and_unfolded_without_the_text(spark, sf001, big):
+def test_matches_are_counted_once_and_unfolded_without_the_text(spark, sf001):
     text = plan(C.match_matrix(spark, sf001))
     assert "Join" not in text and "Exchange" not in text
     generate = next(line for line in text.splitlines() if "Generate" in line)
@@ -42,14 +35,14 @@ def test_matches_are_counted_once_and_unfolded_without_the_text(spark, sf001, bi
     assert "regexp" not in scan
 
 
-def test_columns_no_rule_needs_are_not_read(spark, sf001, big):
+def test_columns_no_rule_needs_are_not_read(spark, sf001):
     files = C.files(spark, sf001)
     text = plan(routing.route(files, make_rules([dict(pattern="7", name="x", target="檔名")])))
     schema = re.search(r"ReadSchema: (\S+)", text)[1]
     assert "text" not in schema and "lang" not in schema
 
 
-def test_no_text_in_any_shuffle_of_the_manifest(spark, sf001, big):
+def test_no_text_in_any_shuffle_of_the_manifest(spark, sf001):
     frame = C.manifest(spark, sf001)
     text = plan(frame)
     exchanges = [i for i, line in enumerate(text.splitlines()) if "Exchange hash" in line]
@@ -65,7 +58,7 @@ def test_no_cross_join_in_any_query(spark, sf001):
         assert "CartesianProduct" not in text and "NestedLoop" not in text, name
 
 
-def test_claims_are_cut_before_the_shuffle(spark, sf001, big):
+def test_claims_are_cut_before_the_shuffle(spark, sf001):
     text = plan(C.legacy_claim(spark, sf001))
     assert text.count("WindowGroupLimit") == 4
 
@@ -97,3 +90,13 @@ def test_large_rule_tables_stay_out_of_generated_code(spark):
     docs = spark.createDataFrame([("a", "- w77"), ("b", "")], "path string, text string")
     rows = matching.first_match(docs, make_rules(entries)).collect()
     assert [r.rule_id for r in rows] == [7, None]  # w77 contains w7
+
+
+def test_building_a_plan_starts_no_job(spark, sf001):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "no job expected")
+    for name in ("route_first_match", "route_many_rules", "manifest", "document_text", "page_markers", "status_counts",
+                 "merge_status", "match_matrix", "map_files", "text_sidecars", "protect_roundtrip"):
+        C.QUERIES[name](spark, sf001)
+        assert not tracker.getJobIdsForGroup("building"), name
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

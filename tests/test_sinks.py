@@ -71,9 +71,9 @@ def test_chunk_and_manifest_sinks(spark, tmp_path):
 def test_protected_content(spark):
     rules = make_rules(
         [dict(pattern="a", name="x", user_pass="user", owner_pass="owner"), dict(pattern="b", name="y"),
-         dict(pattern="c", name="z", owner_pass="only-owner")]
+         dict(pattern="c", name="z", owner_pass="only-owner"), dict(pattern="d", name="u", user_pass="only-user")]
     )
-    rows = spark.createDataFrame([(0, b"zero"), (1, b"one"), (2, b"two"), (None, b"none")], "rule_id int, content binary")
+    rows = spark.createDataFrame([(0, b"zero"), (1, b"one"), (2, b"two"), (3, b"three"), (None, b"none")], "rule_id int, content binary")
     stored = protect.protect_content(rows, rules)
     stored.write.format("noop").mode("overwrite").save()
     assert stored.columns == ["rule_id", "content", "owner_key", "protected"]
@@ -87,7 +87,9 @@ def test_protected_content(spark):
     assert opened("user")[0] == b"zero" and opened("user")[2] is None
     assert opened("owner", owner=True)[0] == b"zero" and opened("owner")[0] is None
     assert opened("only-owner", owner=True)[2] == b"two" and opened("")[2] == b"two"
-    assert opened("wrong") == {0: None, 1: b"one", 2: None, None: b"none"}
+    assert opened("wrong") == {0: None, 1: b"one", 2: None, 3: None, None: b"none"}
+    # Without an owner password nobody opens a file as its owner.
+    assert opened("only-user")[3] == b"three" and opened("", owner=True)[3] is None
 
 
 def test_function_per_file(spark):
@@ -97,7 +99,14 @@ def test_function_per_file(spark):
     assert got == {"a": (True, 5), "b": (False, None), "c": (True, 2)}
     assert results.where("path = 'b'").first().error == "integer division or modulo by zero"
     assert tuple(perfile.success_count(results).first()) == (2, 3)
-    ended = {r.path: (r.status, r.message) for r in perfile.result_status(results).collect()}
+    calls = spark.sparkContext.accumulator(0)
+
+    def divide(row):
+        calls.add(1)
+        return 10 // row["n"]
+
+    ended = {r.path: (r.status, r.message) for r in perfile.result_status(perfile.map_files(files, divide, "int")).collect()}
+    assert calls.value == 3
     assert ended["a"] == (2, K.DONE_MESSAGE)
     assert ended["b"] == (3, K.FAILED_MESSAGE_PREFIX + "integer division or modulo by zero")
 

@@ -7,20 +7,22 @@ from folioroute.sources.tables import STATUS_SCHEMA
 UPDATE = "path string, seq long, status int, message string, thread long, ts double"
 
 
-def one_by_one(updates, caller):
-    """Updates applied to a status table in their order."""
-    table = {}
-    for path, _, status, message, thread, ts in sorted(updates, key=lambda u: u[1]):
-        row = table.setdefault(path, dict(status=0, message="", thread=None, start=None, end=None))
-        row["status"] = status
-        if message is not None:
-            row["message"] = message
-        row["thread"] = caller if thread is None else thread
-        if status == 1 and row["start"] is None:
-            row["start"] = ts
-        if status in (2, 3):
-            row["end"] = ts
-    return {p: tuple(r.values()) for p, r in table.items()}
+# path, seq, status, message, thread, ts
+WORKED = [
+    ("a", 1, 0, "waiting", None, 5.0), ("a", 2, 1, None, 7, 6.0), ("a", 3, 1, "again", None, 8.0), ("a", 4, 2, "done", 7, 9.0),
+    ("b", 1, 3, "bad", None, 4.0), ("b", 2, 1, None, 3, 5.0), ("b", 3, 3, "", 2, 6.0),
+    ("c", 1, 9, None, None, 1.0),
+    ("d", 1, 1, "x", None, 2.0), ("d", 2, 0, None, 4, 3.0),
+    ("e", 1, 2, "early", 1, 1.5), ("e", 2, 2, None, None, 2.5),
+]
+# status, message, thread, start, end; 77 updates where no thread is given
+FOLDED = {
+    "a": (2, "done", 7, 6.0, 9.0),
+    "b": (3, "", 2, 5.0, 6.0),
+    "c": (9, "", 77, None, None),
+    "d": (0, "x", 4, 2.0, None),
+    "e": (2, "early", 77, None, 2.5),
+}
 
 
 def random_updates(seed, paths=20, number=400):
@@ -36,26 +38,31 @@ def as_rows(frame):
     return {r.path: (r.status, r.message, r.thread, r.start_time, r.end_time) for r in frame.collect()}
 
 
-def test_fold_equals_updates_one_by_one(spark):
+def test_fold_of_worked_updates(spark):
+    frame = spark.createDataFrame(WORKED, UPDATE)
+    assert as_rows(S.latest_status(frame.repartition(5), 77)) == FOLDED
+    assert as_rows(S.latest_status(frame, None))["c"] == (9, "", None, None, None)
+    for cut in range(5):
+        before = S.latest_status(frame.where(f"seq < {cut}"), 77)
+        merged = S.merge_status(before, S.fold_updates(frame.where(f"seq >= {cut}"), 77))
+        assert as_rows(merged) == FOLDED
+
+
+def test_fold_does_not_depend_on_the_order_of_rows(spark):
     for seed in range(3):
         updates = random_updates(seed)
-        frame = spark.createDataFrame(updates, UPDATE).repartition(5)
-        assert as_rows(S.latest_status(frame, 77)) == one_by_one(updates, 77)
+        first = as_rows(S.latest_status(spark.createDataFrame(updates, UPDATE), 77))
+        random.Random(seed + 50).shuffle(updates)
+        assert as_rows(S.latest_status(spark.createDataFrame(updates, UPDATE).repartition(5), 77)) == first
 
 
 def test_hot_path(spark):
     updates = [("hot" if i % 3 else f"p{i % 9}", i, i % 4, None, i % 2 or None, float(i)) for i in range(3000)]
     frame = spark.createDataFrame(updates, UPDATE).repartition(8)
-    assert as_rows(S.latest_status(frame)) == one_by_one(updates, 0)
-    assert as_rows(S.latest_status(frame, None)) == one_by_one(updates, None)
-
-
-def test_merge_equals_folding_everything(spark):
-    updates = random_updates(11)
-    frame = spark.createDataFrame(updates, UPDATE)
-    before = S.latest_status(frame.where("seq < 150"), 5)
-    merged = S.merge_status(before, S.fold_updates(frame.where("seq >= 150"), 5))
-    assert as_rows(merged) == one_by_one(updates, 5)
+    assert as_rows(S.latest_status(frame)) == {
+        "hot": (3, "", 1, 1.0, 2999.0), "p0": (1, "", 1, 9.0, 2979.0),
+        "p3": (3, "", 1, 21.0, 2991.0), "p6": (2, "", 0, 33.0, 2994.0),
+    }
 
 
 def test_insert_missing_once(spark):
