@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioroute import constants as K
 from folioroute.functions import patterns as P
 from folioroute.functions import text as X
 from folioroute.operators import matching, naming
@@ -16,30 +17,34 @@ from folioroute.sources.rules import RuleSet
 
 
 def running_total(rows: DataFrame, value: Column, order: str = "path", name: str = "running") -> DataFrame:
-    """Running sum over all rows in the order of a unique column.
+    """Running sum of one value; see ``running_totals``."""
+    return running_totals(rows, {name: value}, order)
+
+
+def running_totals(rows: DataFrame, values: dict[str, Column], order: str = "path") -> DataFrame:
+    """Running sums over all rows in the order of a unique column.
 
     A plain window without partitions would pass everything through one task.
     Here the rows are split into ranges of the order column, each range sums
     up on its own, and the totals of the ranges before it are added: one row
     per range.
     """
-    ranged = rows.withColumn("_value", value).repartitionByRange(F.col(order))
+    ranged = rows.withColumns({f"_{n}": v for n, v in values.items()}).repartitionByRange(F.col(order))
     # Range limits come from a sample; both uses below have to see the same.
     parts = reliable(ranged.withColumn("_range", F.spark_partition_id()))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        parts.groupBy("_range").agg(F.sum("_value").alias("_sum"))
-        .select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+        parts.groupBy("_range").agg(*[F.sum(f"_{n}").alias(f"_sum_{n}") for n in values])
+        .select("_range", *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in values])
     )
     inside = (
         Window.partitionBy("_range").orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        parts.withColumn("_inside", F.sum("_value").over(inside))
+        parts.withColumns({f"_inside_{n}": F.sum(f"_{n}").over(inside) for n in values})
         .join(offsets, "_range")
-        .withColumn(name, F.col("_before") + F.col("_inside"))
-        .drop("_range", "_value", "_inside", "_before")
+        .select(*rows.columns, *[(F.col(f"_before_{n}") + F.col(f"_inside_{n}")).alias(n) for n in values])
     )
 
 
@@ -63,7 +68,30 @@ def running_metadata_hits(
     )
 
 
-def claim_names(docs: DataFrame, rules: RuleSet, inventory: DataFrame | None = None) -> DataFrame:
+def run_matches(docs: DataFrame, rules: RuleSet, seed: str = "") -> DataFrame:
+    """``path, rule_id`` of every rule that fits in a whole run of the older
+    dialect: content rules by the file's own text, metadata rules by the
+    metadata of all files up to it, after ``seed``."""
+    content = RuleSet([r for r in rules if r.target == K.TARGET_CONTENT], legacy=True)
+    facts = {f"total_{r.rule_id}": r for r in rules if r.target == K.LEGACY_TARGET_METADATA}
+    found = [matching.match_all(docs, content).select("path", "rule_id")] if len(content) else []
+    if facts:
+        hits = {n: P.hit_count(F.col("metadata"), rules.pattern(r)).cast("long") for n, r in facts.items()}
+        counted = docs.select("path", *[h.alias(f"own_{n}") for n, h in hits.items()])
+        totals = running_totals(counted, {n: F.col(f"own_{n}") for n in facts})
+        fits = [
+            F.when(F.col(n) + P.hit_count(F.lit(seed), rules.pattern(r)) == r.min_hits, F.lit(r.rule_id))
+            for n, r in facts.items()
+        ]
+        found.append(totals.select("path", F.explode(F.array_compact(F.array(*fits))).alias("rule_id")))
+    if not found:
+        return docs.select("path", F.lit(None).cast("int").alias("rule_id")).where(F.lit(False))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
+def claim_names(
+    docs: DataFrame, rules: RuleSet, inventory: DataFrame | None = None, matches: DataFrame | None = None
+) -> DataFrame:
     """Each name goes to one file: in path order a file takes its first
     fitting rule whose name is free. Returns the placed files, ``path,
     rule_id, name``.
@@ -74,7 +102,7 @@ def claim_names(docs: DataFrame, rules: RuleSet, inventory: DataFrame | None = N
     kept before the order is settled, whatever the number of files.
     """
     names = rules.names()
-    matches = matching.attach_rule(matching.match_all(docs, rules), rules, "name")
+    matches = matching.attach_rule(matching.match_all(docs, rules) if matches is None else matches, rules, "name")
     if inventory is not None:
         slots = naming.taken_slots(inventory, names).where("slot = 0").select("name").distinct()
         matches = matches.join(slots, "name", "left_anti")
@@ -112,9 +140,15 @@ def _claim_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def claim_manifest(
-    docs: DataFrame, rules: RuleSet, directory: str, inventory: DataFrame | None = None
+    docs: DataFrame,
+    rules: RuleSet,
+    directory: str,
+    inventory: DataFrame | None = None,
+    matches: DataFrame | None = None,
 ) -> DataFrame:
-    """Placed files with their target in the one directory of the run."""
-    placed = claim_names(docs, rules, inventory)
+    """Placed files with their target in the one directory of the run. ``matches``
+    (by default each file on its own) are what ``run_matches`` finds, for a run
+    whose metadata goes on from file to file."""
+    placed = claim_names(docs, rules, inventory, matches)
     target = X.join_path(F.lit(directory), F.concat("name", F.lit(".pdf")))
     return placed.select("path", "rule_id", target.alias("target_path"))

@@ -266,6 +266,13 @@ def legacy_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legacy.claim_manifest(docs, rules, "/out")
 
 
+def legacy_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run of the older dialect: metadata goes on from file to file."""
+    rules = make_rules(LEGACY_RULES, legacy=True)
+    docs = routing.as_documents(spread(files(spark, sf_dir), "path"), rules)
+    return legacy.claim_manifest(docs, rules, "/out", matches=legacy.run_matches(docs, rules))
+
+
 def running_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     web = web_files(spark, sf_dir)
     facts = E.metadata_entries(title=E.html_title("html"), url="url")
@@ -497,9 +504,19 @@ def map_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = files(spark, sf_dir)
-    placed = routing.build_manifest(docs, make_rules(RULES))
-    return writers.text_sidecars(docs.select("path", "text"), placed)
+    """Contents of an odd size stand for scans: no reader finds text in them."""
+
+    def reader():
+        return lambda content: ([] if len(content) % 2 else [content.decode("utf-8")], {})
+
+    def recognizer():
+        return lambda content: [content.decode("utf-8")]
+
+    contents = files(spark, sf_dir).select("path", F.col("text").cast("binary").alias("content"))
+    read = E.extract(spread(contents, "path"), [reader], recognizer, want_metadata=False)
+    docs = E.extracted_documents(read, remove_spaces=False)
+    placed = routing.build_manifest(docs, make_rules([r for r in RULES if r["target"] != K.TARGET_METADATA]))
+    return writers.text_sidecars(docs, placed)
 
 
 def protect_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -686,7 +703,7 @@ QUERIES = {
     query.__name__: query
     for query in (
         route_first_match, route_counts, route_many_rules, route_exact, route_dialect, match_matrix,
-        manifest, manifest_copy_mode, manifest_families, name_exhausted, legacy_claim,
+        manifest, manifest_copy_mode, manifest_families, name_exhausted, legacy_claim, legacy_run,
         running_metadata, run_summary, route_legacy_dialect, route_unreadable, status_table, log_table,
         split_then_route, route_from_file, route_legacy_file, route_folder,
         scan_top_level, document_text, page_counts, chunk_text,

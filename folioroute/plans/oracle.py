@@ -133,14 +133,18 @@ SELECT n.path,
 FROM named n LEFT JOIN step s ON s.path = n.path"""
 
 
-def _claim() -> str:
-    fits = ", ".join(f"CASE WHEN {r[2]} = {r[3]} THEN {r[0]} END" for r in EXACT)
+def _claim(running: bool = False) -> str:
+    # In a whole run the metadata of a file follows that of all files before it.
+    totals = {r[0]: f"sum({r[2]}) OVER (ORDER BY path)" for r in EXACT if running and "metadata" in r[2]}
+    hits = {r[0]: f"total_{r[0]}" if r[0] in totals else r[2] for r in EXACT}
+    columns = "".join(f", {t} AS total_{i}" for i, t in totals.items())
+    fits = ", ".join(f"CASE WHEN {hits[r[0]]} = {r[3]} THEN {r[0]} END" for r in EXACT)
     names = " ".join(f"WHEN {r[0]} THEN '{r[1]}'" for r in EXACT)
     return f"""WITH RECURSIVE {FILES},
 fits AS MATERIALIZED (
   SELECT path, list_filter([{fits}], lambda x: x IS NOT NULL) AS ids,
          row_number() OVER (ORDER BY path) AS rn
-  FROM files),
+  FROM (SELECT *{columns} FROM files)),
 step AS (
   SELECT 0::BIGINT AS rn, []::INTEGER[] AS taken, NULL::VARCHAR AS path, NULL::INTEGER AS pick
   UNION ALL
@@ -321,6 +325,7 @@ SELECT timestamp, level, thread, message FROM log WHERE level = '错误'""",
     "manifest_families": _families(),
     "name_exhausted": _manifest(CANONICAL, directory="'/out'"),
     "legacy_claim": _claim(),
+    "legacy_run": _claim(running=True),
     "running_metadata": f"""WITH {WEB},
 hits AS (
   SELECT path, len(regexp_extract_all(
@@ -420,10 +425,11 @@ SELECT path, NOT contains(text, '@') AS ok,
        CASE WHEN contains(text, '@') THEN 3 ELSE 2 END::INTEGER AS status,
        CASE WHEN contains(text, '@') THEN '處理文件時出錯: address found' ELSE '處理完成' END AS message
 FROM files""",
-    "text_sidecars": f"""WITH placed AS ({_manifest(CANONICAL)}),
+    "text_sidecars": f"""WITH placed AS ({_manifest(FOLDER)}),
 {FILES}
-SELECT regexp_replace(coalesce(p.target_path, p.path), '\\.pdf$', '_ocr.txt') AS sidecar_path, f.text
-FROM files f JOIN placed p ON p.path = f.path WHERE f.text <> ''""",
+SELECT regexp_replace(coalesce(p.target_path, p.path), '\\.pdf$', '_ocr.txt') AS sidecar_path,
+       '===== 第1頁 =====' || chr(10) || f.text || chr(10) AS text
+FROM files f JOIN placed p ON p.path = f.path WHERE strlen(f.text) % 2 = 1""",
     "protect_roundtrip": f"""WITH {FILES},
 routed AS (SELECT path, text, {_case(CANONICAL, 0)}::INTEGER AS rule_id FROM files)
 SELECT path, rule_id, coalesce(rule_id IN (1, 8), false) AS protected, coalesce(rule_id = 1, false) AS has_owner,

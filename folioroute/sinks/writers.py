@@ -50,8 +50,13 @@ def sidecar_path(path) -> Column:
 
 def text_sidecars(texts: DataFrame, manifest: DataFrame) -> DataFrame:
     """``sidecar_path, text``: recognized texts beside the new file, or beside
-    the old one if it was not placed. Empty texts have none."""
+    the old one if it was not placed. Empty texts have none.
+
+    Where the texts say whether they were ``recognized``, the others are left out
+    before anything is moved."""
     targets = manifest.select("path", "target_path")
+    if "recognized" in texts.columns:
+        texts = texts.where("recognized")
     return (
         texts.where("text <> ''")
         .join(targets, "path", "left")

@@ -94,12 +94,12 @@ def _read_one(content, readers, recognize, force_ocr, want_pages, want_metadata)
 
 def extracted_documents(extracted: DataFrame, remove_spaces: bool = True) -> DataFrame:
     """One row per file with its page texts joined: ``path, text, metadata,
-    error``. Recognized pages get their headings, and lose their spaces unless
+    error, recognized``. Recognized pages get their headings, and lose their spaces unless
     those are to be kept."""
     clean = X.strip_spaces if remove_spaces else (lambda text: text)
     framed = F.transform("pages", lambda text, i: X.page_marker(i + 1, clean(text)))
     text = F.when(F.col("recognized"), F.array_join(framed, "")).otherwise(F.array_join("pages", ""))
-    return extracted.select("path", F.coalesce(text, F.lit("")).alias("text"), "metadata", "error")
+    return extracted.select("path", F.coalesce(text, F.lit("")).alias("text"), "metadata", "error", "recognized")
 
 
 # --- readers -------------------------------------------------------------------
