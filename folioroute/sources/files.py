@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from folioroute.functions import text as X
 
 PDF_GLOB = "*.[pP][dD][fF]"
+# A Spark value ends below 2 GB; Arrow batches of contents are closed at this size.
+_LARGEST_FILE = 2**31 - 1024
+_BATCH_BYTES = 32 * 1024 * 1024
+# Stores that tasks can list themselves; others are listed by Spark's own source.
+_LISTABLE = ("file", "hdfs", "s3", "s3a", "s3n", "gs", "gcs")
 _LISTING = "path string, is_dir boolean, length long, modified timestamp"
 
 
@@ -25,6 +30,8 @@ def list_files(
     Executors do the listing. The first levels are unfolded one by one and
     dealt out again, then each task walks the folders it was given.
     """
+    if not _listable(root):
+        return _spark_listing(spark, root, recursive).select("path", "length", "modified")
     tasks = spark.sparkContext.defaultParallelism
     entries = spark.createDataFrame([(root, True, None, None)], _LISTING)
     entries = entries.mapInPandas(_lister(1), _LISTING)
@@ -34,6 +41,17 @@ def list_files(
     return entries.where(~F.col("is_dir") & X.is_pdf("path")).select("path", "length", "modified")
 
 
+def _listable(root: str) -> bool:
+    return "://" not in root or root.split("://", 1)[0] in _LISTABLE
+
+
+def _spark_listing(spark: SparkSession, root: str, recursive: bool) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", PDF_GLOB)
+    if recursive:
+        reader = reader.option("recursiveFileLookup", True)
+    return reader.load(root).withColumnRenamed("modificationTime", "modified")
+
+
 def _lister(depth: int | None):
     """Replace folders by their entries, one level or all the way down."""
 
@@ -112,29 +130,40 @@ def _entries(system: pafs.FileSystem, folder: str) -> Iterator[tuple]:
 def scan_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """PDF files with their bytes: ``path, length, modified, content``.
 
-    Spark's file sources leave out empty files and names that begin with a dot
-    or an underscore. Those few are read from the listing.
+    The listing is the only inventory, so empty files and names that begin with
+    a dot or an underscore are there too. It is dealt out by path, and every
+    task reads its files into batches of bounded size. A file beyond the size of
+    a Spark value, or one that cannot be opened, has null content.
     """
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", PDF_GLOB)
-    if recursive:
-        reader = reader.option("recursiveFileLookup", True)
-    full = reader.load(root).select(
-        plain_path("path").alias("path"), "length",
-        F.col("modificationTime").alias("modified"), "content",
-    )
-    listed = list_files(spark, root, recursive).withColumn("path", plain_path("path"))
-    left_out = listed.join(full.select("path"), "path", "left_anti").select(
-        "path", "length", "modified"
-    )
-    return full.unionByName(left_out.mapInPandas(_read_bytes, full.schema))
+    listed = list_files(spark, root, recursive)
+    if not _listable(root):
+        return _spark_listing(spark, root, recursive).select("path", "length", "modified", "content")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = "path string, length long, modified timestamp, content binary"
+    spread = listed.withColumn("path", plain_path("path")).repartition(tasks, "path")
+    return spread.mapInPandas(_read_bytes, schema)
 
 
 def _read_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["path", "length", "modified", "content"]
     for batch in batches:
-        for row in batch.to_dict("records"):
-            system, path = open_filesystem(row["path"])
-            with system.open_input_stream(path) as stream:
-                yield pd.DataFrame([{**row, "content": stream.read()}])
+        held, size = [], 0
+        for row in batch.itertuples(index=False):
+            content = None
+            if row.length is None or pd.isna(row.length) or row.length < _LARGEST_FILE:
+                try:
+                    system, path = open_filesystem(row.path)
+                    with system.open_input_stream(path) as stream:
+                        content = stream.read()
+                except OSError:
+                    pass
+            held.append((row.path, row.length, row.modified, content))
+            size += len(content or b"")
+            if size >= _BATCH_BYTES:
+                yield pd.DataFrame(held, columns=columns)
+                held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=columns)
 
 
 def plain_path(path) -> Column:
