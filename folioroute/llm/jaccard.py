@@ -26,7 +26,7 @@ from folioroute.llm.common import connected, schema_with, slices, stored
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 3, 4
 MINIMA = 4
 #: Shingles counted together in a task, and the least count there worth reporting.
-COUNTED, OFTEN = 2_000_000, 6
+COUNTED, OFTEN = 4_000_000, 3
 #: A shingle is frequent from this many reports on, and this share of documents.
 FREQUENT, SHARE = 64, 0.00025
 #: The most frequent shingles that are put last; more only cost time, not links.
@@ -249,12 +249,12 @@ def _verify(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame
     return spread.mapInArrow(run, schema)
 
 
-def _tiles(rows: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) from members (shingle, id, component, n, bits) that share a shingle.
+def _tiles(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) from members (shingle, id, component, n) that share a shingle.
 
     A band holds sizes within a factor of 4/3; a pair's bands differ by one at
     most, so members go to their own band and the next as tiles. Large tiles are
-    cut into pieces, and each two pieces meet once.
+    cut into pieces, and each two pieces meet once. Bitmaps (id, bits) join last.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(DENOMINATOR / NUMERATOR))) + F.lit(1e-9)).cast("int")
     banded = rows.withColumn("own", band).withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
@@ -266,8 +266,9 @@ def _tiles(rows: DataFrame) -> DataFrame:
     placed = banded.join(sizes, ["shingle", "band"]).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select(
         "shingle", "band", F.least("piece", "other").alias("left"), F.greatest("piece", "other").alias("right"),
-        "piece", "own", "id", "component", "n", "bits",
-    )
+        "piece", "own", "id", "component", "n",
+    ).join(bits, "id")
+    spread = spread.select("shingle", "band", "left", "right", "piece", "own", "id", "component", "n", "bits")
     kind = rows.schema["id"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
     arrow = to_arrow_schema(schema)
@@ -351,8 +352,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     )
     one_each = stored(members.groupBy("size", "first", "second").agg(F.min("shingle").alias("shingle")).select("shingle"), "tiles")
     bits = base.select(F.col(key).alias("id"), "bits")
-    tiled = meeting.join(one_each, "shingle").join(bits, "id")
-    more = stored(_verify(stored(_tiles(tiled), "pairs"), known, key, text), "more-links")
+    pairs = stored(_tiles(meeting.join(one_each, "shingle"), bits), "pairs")
+    more = stored(_verify(pairs, known, key, text), "more-links")
 
     whole = connected(links.union(more)).withColumnsRenamed({"id": "c_id", "component": "c_component"})
     classes = firsts.join(whole, F.col("id") == F.col("c_id"), "left").select(
