@@ -122,7 +122,7 @@ def compile_legacy_pattern(source: str) -> Pattern:
             re.compile(restated)
             tree = _sre.parse(restated)
     except Exception:
-        return Pattern(restated, valid=True, flags=0, java=None, counts_agree=False, engine="regex")
+        return _by_other_engine(restated)
     flags = tree.state.flags
     try:
         java = (_WHOLE_CHARACTER if _may_start_inside(tree, flags) else "") + _sequence(tree, flags)
@@ -139,13 +139,28 @@ def compile_legacy_pattern(source: str) -> Pattern:
     )
 
 
+def _by_other_engine(source: str) -> Pattern:
+    """A pattern for the engine that knows Unicode properties; what it cannot read
+    either (balancing groups, say) never fires."""
+    try:
+        import_module("regex").compile(source)
+    except Exception:
+        return Pattern(source, valid=False)
+    return Pattern(source, valid=True, flags=0, counts_agree=False, engine="regex")
+
+
+# Escapes of the older dialect that Python spells otherwise.
+_LEGACY_ESCAPES = {r"\Z": r"(?=\n?\Z)", r"\z": r"\Z", r"\e": r"\x1b"}
+
+
 def _restate_legacy(source: str) -> str:
     """Group names, plain braces and class subtraction in Python's spelling."""
     out, at = [], 0
     while at < len(source):
         if source[at] == "\\":
             named = re.compile(r"\\k[<'](\w+)[>']").match(source, at)
-            out.append(f"(?P={named[1]})" if named else source[at : at + 2])
+            escape = source[at : at + 2]
+            out.append(f"(?P={named[1]})" if named else _LEGACY_ESCAPES.get(escape, escape))
             at = named.end() if named else at + 2
         elif named := re.compile(r"\(\?(?:<([A-Za-z_]\w*)>|'([A-Za-z_]\w*)')").match(source, at):
             out.append(f"(?P<{named[1] or named[2]}>")

@@ -126,7 +126,7 @@ def test_legacy_dialect(spark):
 LEGACY = {
     "[a-z-[aeiou]]": ("abcde", 3), "[a&&b]": ("a&b", 3), "[[a]": ("[a]", 2), "a{,2}": ("xa{,2}y aa", 1),
     "(?'n'a)b": ("abab", 2), r"(?<n>a)\k<n>": ("aaab", 1), r"\p{Lu}": ("aBÉ", 2), "a.b": ("a\nb a-b", 1),
-    "(?:ab|c)+": ("abccab x", 1),
+    "(?:ab|c)+": ("abccab x", 1), r"b\Z": ("ab\n", 1),
 }
 
 
@@ -138,6 +138,12 @@ def test_legacy_dialect_counts(spark):
         assert (row.n, row.h) == (count, True), source
 
 
+def test_legacy_patterns_no_engine_reads_never_fire(texts):
+    for source in ["(", "(?<a-b>x)", r"b\z(?n)"]:
+        pattern = P.compile_legacy_pattern(source)
+        assert texts.where(P.has_hit(F.col("t"), pattern)).count() == 0
+
+
 @pytest.mark.parametrize(
     "compile_one, source, text, count",
     [
