@@ -1,27 +1,35 @@
 """Routing a folder that keeps receiving files.
 
-Matching is stateless. Names depend on what was given out before, so each
-batch settles its names against the manifest of the earlier batches. A batch
-writes its own folder, replaces it when repeated, and leaves out files that an
-earlier batch has routed.
+Matching is stateless. Names depend on what was given out before in the same
+directory, so each batch settles its names against the manifest of the earlier
+batches. The manifest is laid out by a hash of the directory, and a batch reads
+only the buckets of its own directories. A batch writes its own folder, replaces
+it when repeated, and leaves out files that an earlier batch has routed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from folioroute.functions import text as X
 from folioroute.plans import routing
 from folioroute.sources.files import PDF_GLOB
 from folioroute.sources.rules import RuleSet
 
 MANIFEST_SCHEMA = (
     "path string, target_path string, action string, outcome string, rule_id int, "
-    "encrypt boolean, ref_status int, batch_id int"
+    "encrypt boolean, ref_status int, batch_id int, bucket int"
 )
+BUCKETS = 64
+
+
+def _bucket() -> Column:
+    """Part of the manifest that holds a file's directory, old and new path alike."""
+    return F.pmod(F.xxhash64(X.dir_name("path")), F.lit(BUCKETS)).cast("int")
 
 
 def stream_files(spark: SparkSession, root: str) -> DataFrame:
@@ -54,7 +62,8 @@ def route_stream(
 
     def settle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        earlier = read_manifest(spark, manifest, before=batch_id)
+        touched = [r[0] for r in batch.select(_bucket().alias("bucket")).distinct().collect()]
+        earlier = read_manifest(spark, manifest, before=batch_id, buckets=touched)
         docs = batch if prepare is None else prepare(batch)
         routed = routing.route(docs, rules)
         known = batch.select("path")
@@ -66,16 +75,23 @@ def route_stream(
                 earlier.where("target_path is not null").select(F.col("target_path").alias("path"))
             )
         rows = routing.manifest_of(routed, rules, known, copy_mode)
-        rows.write.mode("overwrite").parquet(f"{manifest}/batch_id={batch_id}")
+        placed = rows.withColumn("bucket", _bucket()).repartition(BUCKETS, "bucket")
+        placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{manifest}/batch_id={batch_id}")
 
     writer = files.writeStream.foreachBatch(settle).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if every is None else {"processingTime": every}
     return writer.trigger(**trigger).start()
 
 
-def read_manifest(spark: SparkSession, manifest: str, before: int | None = None) -> DataFrame | None:
-    """Manifest written so far; None if there is none."""
+def read_manifest(
+    spark: SparkSession, manifest: str, before: int | None = None, buckets: list[int] | None = None
+) -> DataFrame | None:
+    """Manifest written so far, of the given buckets or all; None if there is none."""
     if before == 0:
         return None
     rows = spark.read.schema(MANIFEST_SCHEMA).parquet(manifest)
-    return rows if before is None else rows.where(F.col("batch_id") < before)
+    if before is not None:
+        rows = rows.where(F.col("batch_id") < before)
+    if buckets is not None:
+        rows = rows.where(F.col("bucket").isin(buckets))
+    return rows.drop("bucket")
