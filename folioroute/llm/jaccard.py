@@ -1,8 +1,7 @@
 """N-gram Jaccard join: exact links of documents by distinct word shingles.
 
-Sets of equal digest are one class. Classes are first linked to the smallest id
-that shares one of a few minimum hashes with them, which joins up most groups of
-copies. What is left is found without loss: under one order of all shingles,
+Sets of equal digest are one class. Classes are first linked to some that share
+one of a few minimum hashes with them, which joins up most groups of copies. What is left is found without loss: under one order of all shingles,
 frequent ones last, two sets that link share one of their first
 ``n - ceil(0.75 n) + 1``. Classes that share such a shingle but not a component
 meet in tiles of neighbouring sizes. There, hashed bitmaps bound the overlap from
@@ -24,11 +23,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from folioroute.llm.common import connected, schema_with, slices, stored
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 3, 4
-MINIMA = 4
+MINIMA = 6
 #: Shingles counted together in a task, and the least count there worth reporting.
-COUNTED, OFTEN = 4_000_000, 3
+COUNTED, OFTEN = 4_000_000, 2
 #: A shingle is frequent from this many reports on, and this share of documents.
-FREQUENT, SHARE = 64, 0.00025
+FREQUENT, SHARE = 32, 0.0001
 #: The most frequent shingles that are put last; more only cost time, not links.
 MOST_FREQUENT = 1_000_000
 #: Members of a tile.
@@ -328,9 +327,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     base = sketches.where((F.col("n") > 0) & F.col(key).isNotNull())
     firsts = stored(base.groupBy("n", "one", "two").agg(F.min(key).alias("id"), F.first("minima").alias("minima")), "classes")
 
-    # Link every class to the smallest id among those with a minimum hash in common.
+    # Link every class to one of those with a minimum hash in common, another one
+    # for each hash: copies of one text need not all be near any single copy.
     minima = firsts.select("id", F.posexplode("minima").alias("which", "least"))
-    pivots = minima.groupBy("which", "least").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a <> last").drop("last")
+    pivots = minima.groupBy("which", "least").agg(
+        F.min_by("id", F.xxhash64("id", "which")).alias("a"), F.min("id").alias("low"), F.max("id").alias("high")
+    ).where("low <> high").drop("low", "high")
     near = stored(minima.join(pivots, ["which", "least"]).where("id <> a").select("a", F.col("id").alias("b")).distinct(), "pairs")
     links = stored(_verify(near, known, key, text), "links")
     groups = connected(links).withColumnRenamed("id", "g")
