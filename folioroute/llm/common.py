@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Texts of one call of a batch function hold about this many bytes together.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -63,6 +63,15 @@ def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.Record
         yield batch.slice(start)
 
 
+def parts_of(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Whole rows in parts of about SLICE_BYTES by their column ``text``."""
+    for batch in batches:
+        step = max(1, batch.num_rows * SLICE_BYTES // max(batch.column(text).nbytes, 1))
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+        pa.default_memory_pool().release_unused()
+
+
 def map_texts(
     docs: DataFrame,
     make: Callable[[], Callable[[list], list]],
@@ -89,6 +98,7 @@ def map_texts(
                     for m, f in zip(made, list(arrow)[1:])
                 ]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow[0].type), *arrays], schema=arrow)
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
 

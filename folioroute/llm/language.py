@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioroute.llm.common import SLICE_BYTES, map_texts
+from folioroute.llm.common import map_texts, parts_of
 
 WINDOW, DEPTH, WIDTHS, FILTERS = 256, 8, (2, 3, 4, 5), 12
 WIDEST = max(WIDTHS)
@@ -215,13 +215,9 @@ def keep(docs: DataFrame, net: Network | None, least: float, text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = _work(net)
-        for batch in batches:
-            texts = batch.column(at)
-            step = max(1, batch.num_rows * SLICE_BYTES // max(texts.nbytes, 1))
-            for start in range(0, batch.num_rows, step):
-                part = batch.slice(start, step)
-                names, scores = work(part.column(at).to_pylist())
-                good = [n != UNKNOWN and s >= least for n, s in zip(names, scores)]
-                yield part.filter(pa.array(good, pa.bool_()))
+        for part in parts_of(batches, at):
+            names, scores = work(part.column(at).to_pylist())
+            good = [n != UNKNOWN and s >= least for n, s in zip(names, scores)]
+            yield part.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

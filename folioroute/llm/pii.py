@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioroute.llm.common import map_texts, stored
+from folioroute.llm.common import map_texts, parts_of, stored
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("ssn", "local", "iban", "spelled", "person")
@@ -331,7 +331,7 @@ def mask_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches, at):
             old = batch.column(at).to_pylist()
             new = [t if t is None else mask_text(t, accepted) for t in old]
             columns = batch.columns

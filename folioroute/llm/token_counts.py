@@ -17,7 +17,7 @@ from folioroute.llm.common import map_texts
 
 VOCABULARY = "word_bpe_49k.json"
 #: Runs in each of the two generations a task remembers, and bytes of runs handed to the library at once.
-CACHE, BATCH_BYTES = 300_000, 1_000_000
+CACHE, BATCH_BYTES = 200_000, 1_000_000
 
 
 def balanced(runs: list[str], size: int = BATCH_BYTES) -> list[list[str]]:
