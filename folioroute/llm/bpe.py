@@ -27,7 +27,7 @@ from folioroute.llm.common import map_texts, safe_segments
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Distinct pre-tokens in each of the two generations a task remembers.
-CACHE = 120_000
+CACHE = 80_000
 
 LETTER, NUMBER, OTHER, SPACES, LAST_SPACE, BLANK, SHORT, LONG, RESET = range(9)
 START, IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_SPACES, JOINED, ONE_MORE, TWO_MORE = range(8)

@@ -32,6 +32,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand rows to Python workers 1,000 at a time where the session has Spark's 10,000.
+
+    A batch is held by the JVM and the worker at once, so long texts would fill
+    both. Only the size of batches changes, never a result.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write a slim result to the shared folder and read it back.
 
@@ -39,6 +50,7 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     branch that reads them sees the same ones.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -85,6 +97,7 @@ def map_texts(
     (null stays None) to one list or Arrow array per output column. Only the key
     and the text are read, so other columns may have any name.
     """
+    small_batches(docs.sparkSession)
     schema = schema_with(docs, key, columns)
     arrow = to_arrow_schema(schema)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioroute.llm.common import map_texts, parts_of
+from folioroute.llm.common import map_texts, parts_of, small_batches
 
 WINDOW, DEPTH, WIDTHS, FILTERS = 256, 8, (2, 3, 4, 5), 12
 WIDEST = max(WIDTHS)
@@ -211,6 +211,7 @@ def keep(docs: DataFrame, net: Network | None, least: float, text: str = "text")
     """
     if net is None:
         return docs
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
