@@ -325,6 +325,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     known = docs.where(F.col(key).isNotNull())
     sketches = stored(_sketches(docs, key, text, _frequent(docs, key, text)), "sketches")
     base = sketches.where((F.col("n") > 0) & F.col(key).isNotNull())
+    # One row per document: an id that stands twice would cancel out of the sets of members below.
+    if not base.groupBy(key).count().where("count > 1").isEmpty():
+        base = stored(base.dropDuplicates([key, "n", "one", "two"]), "documents")
     firsts = stored(base.groupBy("n", "one", "two").agg(F.min(key).alias("id"), F.first("minima").alias("minima")), "classes")
 
     # Link every class to one of those with a minimum hash in common, another one

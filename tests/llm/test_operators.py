@@ -234,6 +234,34 @@ def test_jaccard_groups_near_the_threshold(spark, monkeypatch):
     assert got == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+@pytest.mark.parametrize("times", [(2,), (1, 2, 3, 4)])
+def test_jaccard_repeated_rows(spark, monkeypatch, times):
+    """Every row twice, or some rows several times, where the minimum hashes lead to no link."""
+    verify, calls = jaccard._verify, []
+
+    def unrelated(pairs, *rest):
+        calls.append(1)
+        return verify(pairs.where("false") if len(calls) == 1 else pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_verify", unrelated)
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(8)]
+    rows = []
+    for group in range(30):
+        body = [f"g{group}w{i}" for i in range(rng.choice([30, 60]))]
+        for _ in range(rng.choice([1, 2, 2, 3])):
+            words = body.copy()
+            words[rng.randrange(len(words))] = f"e{rng.randrange(99)}"
+            rows.append((len(rows), " ".join(words + (passage if rng.random() < 0.5 else []))))
+    many = [r for r in rows for _ in range(rng.choice(times))]
+    frame = spark.createDataFrame(many, "doc_id bigint, text string")
+    sets = word_sets(rows)
+    want = brute_components(sets)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame).collect()]
+    assert len(calls) == 2 and any(want[i] != i for i in want)
+    assert sorted(got) == sorted((i, len(sets[i]), want[i]) for i, _ in many)
+
+
 def test_jaccard_edges(edges, none):
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(edges).collect())
     assert got == [(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 2, 5), (6, 2, 5), (6, 2, 5), (7, 1, 7), (8, 2, 8), (9, 1, 9), (10, 1, 10)]
