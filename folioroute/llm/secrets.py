@@ -41,11 +41,12 @@ PLACEHOLDERS = {
     "undefined", "required", "optional", "string", "your_password", "xxx", "todo",
 }
 
+# Nothing is capped. Possessive parts keep the lexer linear: what each repeats excludes what follows it.
 _PAIR = re.compile(
-    r"""(?P<q>["']?)(?P<name>(?<![A-Za-z0-9_.-])[A-Za-z_][A-Za-z0-9_.-]{0,127})(?P=q)"""
-    r"""[\x20\t]{0,64}(?::=|=>|=(?!=)|:(?!:))[\x20\t]{0,64}"""
-    r"""(?:"(?P<double>(?:[^"\\\n]|\\.){0,4096})"|'(?P<single>(?:[^'\\\n]|\\.){0,4096})'"""
-    r"""|(?P<bare>[A-Za-z0-9_+/.=~$-]{1,4096}))"""
+    r"""(?P<q>["']?)(?P<name>(?<![A-Za-z0-9_.-])[A-Za-z_][A-Za-z0-9_.-]*+)(?P=q)"""
+    r"""[\x20\t]*+(?::=|=>|=(?!=)|:(?!:))[\x20\t]*+"""
+    r"""(?:"(?P<double>[^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'(?P<single>[^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'"""
+    r"""|(?P<bare>[A-Za-z0-9_+/.=~$-]++))"""
 )
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*\Z")
@@ -64,11 +65,10 @@ def literal_score(literal: str) -> float:
     """How much a literal looks like a secret: length, variety, kinds of characters."""
     if len(literal) < 6 or literal.lower() in PLACEHOLDERS or any(c in literal for c in " \t${}<>"):
         return 0.0
-    sample = literal[:512]
-    counts = Counter(sample)
-    entropy = -sum(n / len(sample) * math.log2(n / len(sample)) for n in counts.values())
-    kinds = sum(any(test(c) for c in sample) for test in (str.islower, str.isupper, str.isdigit))
-    mixed = kinds + any(not c.isalnum() for c in sample)
+    counts = Counter(literal)
+    entropy = -sum(n / len(literal) * math.log2(n / len(literal)) for n in counts.values())
+    kinds = sum(any(test(c) for c in counts) for test in (str.islower, str.isupper, str.isdigit))
+    mixed = kinds + any(not c.isalnum() for c in counts)
     return min(1.0, entropy / 4) * min(1.0, len(literal) / 12) * (0.5 + 0.25 * min(mixed, 2))
 
 
@@ -86,6 +86,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def lexed_spans(text: str) -> list[tuple[str, int, int]]:
     """Literals of sensitive names, and literals that reach one through other names."""
     constants: dict[str, tuple[str, int, int]] = {}
+    scores: dict[int, float] = {}
     out = []
     for m in _PAIR.finditer(text):
         group = "double" if m["double"] is not None else "single" if m["single"] is not None else "bare"
@@ -98,7 +99,12 @@ def lexed_spans(text: str) -> list[tuple[str, int, int]]:
             elif value.isalpha():
                 continue
         constants[m["name"]] = (value, start, end)
-        if name_score(m["name"]) * literal_score(value) >= THRESHOLD:
+        sensitive = name_score(m["name"])
+        if sensitive < THRESHOLD:
+            continue
+        if start not in scores:
+            scores[start] = literal_score(value)
+        if sensitive * scores[start] >= THRESHOLD:
             out.append((kind, start, end))
     return list(dict.fromkeys(out))
 

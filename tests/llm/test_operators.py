@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from itertools import combinations
 
@@ -171,6 +172,26 @@ def test_secrets_assignments_and_constants():
     assert [(k, text[a:b]) for k, a, b in secrets.lexed_spans(text)] == [("literal", "Zk39x0aPq12"), ("propagated", "q8W3e1r5T7")]
 
 
+def test_secrets_of_any_length():
+    """Quoted and bare literals of 10,000 characters, long names, wide gaps, uniform heads; in linear time."""
+    rng = random.Random(6)
+    key = "".join(rng.choice("abcdefghXYZ0123456789+/") for _ in range(10_000))
+    head = "a" * 2000 + key
+    escaped = r"\"x\\" * 3000 + key
+    long_name = "n" * 300 + "_password"
+    for value in (key, head, escaped):
+        for quote in ('"', "'", "") if value is not escaped else ('"',):
+            text = f"; private_key = {quote}{value}{quote}\nnext"
+            assert [(k, text[a:b]) for k, a, b in secrets.lexed_spans(text)] == [("literal", value)]
+    for text in (f'{long_name} = "Zk39x0aPq12"', 'db_pass' + " " * 500 + "=" + "\t " * 500 + '"Zk39x0aPq12"'):
+        assert [text[a:b] for _, a, b in secrets.lexed_spans(text)] == ["Zk39x0aPq12"]
+    start = time.process_time()
+    for part in ("a", "a.", "a ", "a=", 'a="', "a='\\", "\"'", "a:\t", "aA", '"a" ', "a=\"\\\""):
+        secrets.lexed_spans(part * 200_000)
+    secrets.lexed_spans(f'seed="{key * 50}"\n' + "password=seed\n" * 20_000)
+    assert time.process_time() - start < 30
+
+
 # n-gram Jaccard join
 
 
