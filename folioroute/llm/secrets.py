@@ -50,6 +50,19 @@ _PAIR = re.compile(
 )
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*\Z")
+#: Literals that stand for a value as a whole, and bare variables.
+_WHOLE = re.compile(
+    r"""\s*+(?:\$\{[^{}]*+\}|\{\{[^{}]*+\}\}|\{[A-Za-z_][A-Za-z0-9_.]*+\}|<[^<>]*+>|\$[A-Z_][A-Z0-9_]*+)\s*+"""
+)
+_VARIABLE = re.compile(r"\$[A-Za-z_][A-Za-z0-9_]*+\Z")
+#: Configuration lines that hold one word: NAME=word, name: word and, below a [section], name = word.
+_LINE = re.compile(
+    r"""^[\x20\t]*+(?:export[\x20\t]++|-[\x20\t]++)?(["']?)[A-Za-z_][A-Za-z0-9_.-]*+\1"""
+    r"""(?:=|:[\x20\t]++|(?P<spaced>[\x20\t]*+[=:][\x20\t]*+))(?P<word>[A-Za-z]++)"""
+    r"""[\x20\t]*+(?:(?<=[\x20\t])[#;].*+)?\r?$""",
+    re.MULTILINE,
+)
+_SECTION = re.compile(r"^[\x20\t]*+\[[^\[\]\n]++\][\x20\t]*+\r?$", re.MULTILINE)
 #: Least product of name and literal scores.
 THRESHOLD = 0.35
 
@@ -62,8 +75,11 @@ def name_score(name: str) -> float:
 
 
 def literal_score(literal: str) -> float:
-    """How much a literal looks like a secret: length, variety, kinds of characters."""
-    if len(literal) < 6 or literal.lower() in PLACEHOLDERS or any(c in literal for c in " \t${}<>"):
+    """How much a literal looks like a secret: length, variety, kinds of characters.
+
+    Any character may stand in it; only whole placeholders are ruled out.
+    """
+    if len(literal) < 6 or literal.strip().lower() in PLACEHOLDERS or _WHOLE.fullmatch(literal):
         return 0.0
     counts = Counter(literal)
     entropy = -sum(n / len(literal) * math.log2(n / len(literal)) for n in counts.values())
@@ -83,10 +99,18 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def configured_words(text: str) -> set[int]:
+    """Where the bare words of configuration lines begin."""
+    sections = _SECTION.search(text)
+    below = sections.end() if sections else len(text)
+    return {m.start("word") for m in _LINE.finditer(text) if m["spaced"] is None or m.start() > below}
+
+
 def lexed_spans(text: str) -> list[tuple[str, int, int]]:
     """Literals of sensitive names, and literals that reach one through other names."""
     constants: dict[str, tuple[str, int, int]] = {}
     scores: dict[int, float] = {}
+    configured: set[int] | None = None
     out = []
     for m in _PAIR.finditer(text):
         group = "double" if m["double"] is not None else "single" if m["single"] is not None else "bare"
@@ -97,7 +121,13 @@ def lexed_spans(text: str) -> list[tuple[str, int, int]]:
                 value, start, end = constants[value]
                 kind = "propagated"
             elif value.isalpha():
-                continue
+                configured = configured_words(text) if configured is None else configured
+                if start not in configured:
+                    constants.pop(m["name"], None)
+                    continue
+        elif group == "bare" and _VARIABLE.match(value):
+            constants.pop(m["name"], None)
+            continue
         constants[m["name"]] = (value, start, end)
         sensitive = name_score(m["name"])
         if sensitive < THRESHOLD:
