@@ -8,10 +8,12 @@ benchmark window; personal data is masked; what is left is encoded.
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioroute.llm import bpe, decontaminate, jaccard, language, pii
 from folioroute.llm.common import stored
@@ -35,20 +37,35 @@ def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return language.keep(docs, language.fit(docs), LEAST_SCORE)
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """One string per id and text, in the order of ids, then of the text's digest; null without an id."""
+    doc_id = docs["doc_id"].cast("string")
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        doc_id = F.lpad((docs["doc_id"].cast("decimal(20,0)") + F.lit(Decimal(2**63))).cast("string"), 20, "0")
+    return F.concat(doc_id, F.lit("\0"), F.lpad(F.hex(F.xxhash64(docs["text"])), 16, "0"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near duplicates; of rows that repeat an id, one.
+    """The smallest id of each group of near duplicates; of rows equal in id and text, one.
 
-    Documents without words or without an id belong to no group and stay.
+    Texts that share an id are documents of their own, in the order of their
+    digests. Documents without words or without an id belong to no group and
+    stay. Of rows equal in id and text, the first by its other columns as JSON stays.
     """
-    groups = stored(jaccard.jaccard_components(docs), "groups")
-    later = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    repeated = stored(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    none = repeated.isEmpty()
+    texts = docs.join(repeated, "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("is"))
+    several = not none and not texts.groupBy("doc_id").agg(F.min("is").alias("low"), F.max("is").alias("high")).where("low <> high").isEmpty()
+    row = _row_key(docs) if several else docs["doc_id"]
+    groups = stored(jaccard.jaccard_components(docs.select(row.alias("row"), "text"), "row"), "groups")
+    later = groups.where("component_id <> row").select("row").distinct()
     few = F.broadcast(later) if later.count() <= BROADCAST_ROWS else later
-    kept = docs.join(few, "doc_id", "left_anti").select(*docs.columns)
-    repeated = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
+    kept = docs.join(few, row == few["row"], "left_anti").select(*docs.columns)
+    if none:
         return kept
-    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(again.select(*docs.columns))
+    whole = F.struct(*docs.columns)
+    again = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min_by(whole, F.to_json(whole)).alias("first"))
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(again.select("first.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

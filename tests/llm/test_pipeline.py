@@ -90,6 +90,19 @@ def test_stages_on_edges(spark):
     assert sorted(r.doc_id or 0 for r in kept.select("doc_id").collect()) == [0, 0, 1, 2, 3, 4, 5, 7, 8, 9, 10]
 
 
+def test_duplicates_by_id_and_text(spark):
+    """Texts that share an id are told apart; only rows equal in both are one."""
+    body = [f"w{i}" for i in range(60)]
+    copies = [" ".join([*body[:-1], f"e{i}"]) for i in range(3)]
+    kept = [(-7, copies[0]), (2, "a text of its own"), (3, "one text of three"), (3, "another text of three"), (4, ""), (4, " "), (4, None), (5, "the same text twice")]
+    kept += [(None, copies[0]), (None, copies[0])]
+    rows = [*kept, (1, copies[1]), (2, copies[2]), (5, "the same text twice")]
+    docs = spark.createDataFrame([(*r, f"s{n}") for n, r in enumerate(rows)], "doc_id bigint, text string, row string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(kept, key=str)
+    assert [r.row for r in got if r.doc_id == 5] == ["s12"]
+
+
 def test_all_are_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
