@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +85,36 @@ def parts_of(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.Record
         pa.default_memory_pool().release_unused()
 
 
+def range_sorted(df: DataFrame, keys: list[str], purpose: str) -> DataFrame:
+    """The rows in the order of ``keys``, written with their place: ``part`` and, from 0 in each part, ``row``.
+
+    Parts are ranges of the order, so (part, row) ascends with it; rows equal in
+    all keys share a part. Once written, the places stay as they are whatever is lost.
+    """
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return stored(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumns({"part": F.spark_partition_id(), "row": row}), purpose)
+
+
+def grouped_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Table]:
+    """Rows of sorted batches, cut where the first ``width`` columns (integers, not null) change."""
+    held: list[pa.RecordBatch] = []
+    mark = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([np.asarray(batch.column(i)) for i in range(width)], 1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            now = tuple(keys[start])
+            if held and now != mark:
+                yield pa.Table.from_batches(held)
+                held = []
+            mark = now
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def map_texts(
     docs: DataFrame,
     make: Callable[[], Callable[[list], list]],

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioroute.llm import bpe, decontaminate, embeddings, jaccard, language, licenses, pii, quality, secrets, token_counts
+from folioroute.llm import bpe, decontaminate, embeddings, jaccard, language, licenses, merkle, neighbours, pii, quality, secrets, spelling, token_counts
 from folioroute.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -62,6 +62,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, labels))
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_byte_bpe": op2_byte_bpe,
@@ -73,4 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
+    "op11_neighbours": op11_neighbours,
+    "op12_merkle": op12_merkle,
+    "op13_spelling": op13_spelling,
 }
