@@ -57,14 +57,14 @@ def test_neighbours_recall_and_scores(spark, monkeypatch, leaf):
 
 
 def test_neighbours_copies_pieces_and_edges(spark, monkeypatch):
-    """A certain test finds all: copies, ties, repeated ids, unusable rows, other lengths, clashing columns."""
+    """A certain test finds all: copies, ties (of sums without rounding), repeated ids, unusable rows, other lengths, clashing columns."""
     monkeypatch.setattr(neighbours, "LEAF", 30)
     monkeypatch.setattr(neighbours, "PIECE", 12)
     monkeypatch.setattr(neighbours, "QUERIES", 3)
     rng = np.random.default_rng(7)
     same = [0.5, -0.25, 0.125]
-    rows = [(i, same) for i in range(0, 90)] + [(i, rng.normal(size=3).round(2).tolist()) for i in range(90, 300)]
-    rows += [(i, rng.normal(size=2).tolist()) for i in range(300, 345)] + rows[100:130] + [(100, same), (120, [3.0, 1.0, 2.0]), (340, [9.0])]
+    rows = [(i, same) for i in range(0, 90)] + [(i, (rng.integers(-16, 17, 3) / 16).tolist()) for i in range(90, 300)]
+    rows += [(i, (rng.integers(-16, 17, 2) / 16).tolist()) for i in range(300, 345)] + rows[100:130] + [(100, same), (120, [3.0, 1.0, 2.0]), (340, [9.0])]
     bad = [(400, None), (420, []), (440, [0.0, 0.0, 0.0]), (460, [1.0, None, 1.0]), (480, [1.0, float("nan"), 1.0]), (500, [float("inf"), 1.0, 1.0]), (None, same)]
     schema = "vec_id long, embedding array<double>, label int, uid string, leaf string, score string"
     table = spark.createDataFrame([(*r, 1, "u", "l", "s") for r in rows + bad], schema)
