@@ -26,7 +26,7 @@ from folioroute.session import local_frame, reliable
 
 _SLOTS = K.SLOTS_PER_NAME
 _NUMBERED = r"(?s)\A(.*)_([1-9][0-9]?)\z"
-_REST = -1  # piece of those still in the race
+IN_RACE = _REST = -1  # piece of those still in the race
 
 
 def target_file(name, slot) -> Column:
@@ -41,6 +41,17 @@ def target_path(directory, name, slot) -> Column:
     return X.join_path(directory, target_file(name, slot))
 
 
+def readings(file) -> list[Column]:
+    """What a file name stands on, as (name, slot): slot 0 of its stem, and a numbered
+    slot of what is before the number. The slot is null where there is no such reading."""
+    stem = F.nullif(F.regexp_extract(X._col(file), r"(?s)\A(.*)\.pdf\z", 1), F.lit(""))
+    number = F.nullif(F.regexp_extract(stem, _NUMBERED, 2), F.lit("")).cast("int")
+    return [
+        F.struct(stem.alias("name"), F.when(stem.isNotNull(), F.lit(0)).alias("slot")),
+        F.struct(F.regexp_extract(stem, _NUMBERED, 1).alias("name"), number.alias("slot")),
+    ]
+
+
 def taken_slots(inventory: DataFrame, names: list[str]) -> DataFrame:
     """Slots of the given names that exist: ``dir``, ``name``, ``slot``.
 
@@ -48,19 +59,10 @@ def taken_slots(inventory: DataFrame, names: list[str]) -> DataFrame:
     only files that carry one of the names remain.
     """
     spark = inventory.sparkSession
-    stem = F.regexp_extract(X.base_name("path"), r"(?s)\A(.*)\.pdf\z", 1)
-    readings = F.array(
-        F.struct(F.col("_stem").alias("name"), F.lit(0).alias("slot")),
-        F.struct(
-            F.regexp_extract("_stem", _NUMBERED, 1).alias("name"),
-            F.nullif(F.regexp_extract("_stem", _NUMBERED, 2), F.lit("")).cast("int").alias("slot"),
-        ),
-    )
     wanted = local_frame(spark, [(n,) for n in names], "name string")
     return (
-        inventory.select(X.dir_name("path").alias("dir"), stem.alias("_stem"))
-        .where("_stem <> ''")
-        .select("dir", F.explode(readings).alias("_r"))
+        inventory.select(X.dir_name("path").alias("dir"), X.base_name("path").alias("_file"))
+        .select("dir", F.explode(F.array(*readings("_file"))).alias("_r"))
         .select("dir", "_r.name", "_r.slot")
         .where("slot is not null")
         .join(wanted, "name", "left_semi")

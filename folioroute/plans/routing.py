@@ -99,7 +99,12 @@ def manifest_of(
     existing = None if inventory is None else inventory.select("path")
     live = {r.name for r in matching.live_rules(rules)}
     named = naming.assign_names(claims, [n for n in rules.names() if n in live], existing)
-    error = F.col("error") if "error" in routed.columns else None
+    return placed_manifest(named, copy_mode)
+
+
+def placed_manifest(named: DataFrame, copy_mode: bool = False) -> DataFrame:
+    """Manifest rows of files with ``dir, name, slot, rule_id, encrypt`` and maybe ``error``."""
+    error = F.col("error") if "error" in named.columns else None
     placed = F.col("slot").isNotNull()
     action = F.when(F.col("encrypt"), "encrypt").otherwise("copy" if copy_mode else "rename")
     return named.select(

@@ -1,5 +1,9 @@
+import random
+import re
 import shutil
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from folioroute.operators import status as S
@@ -88,3 +92,79 @@ def test_stream_matching_is_stateless(spark, tmp_path):
     query = routed.writeStream.format("memory").queryName("routed").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("routed").select(F.col("rule_id")).first()[0] == 0
+
+
+def names_in_turn(batches, names, existing):
+    """A plain loop over batches of (path, name): target per path, None without one."""
+    taken, given = set(existing), {}
+    for batch in batches:
+        fresh = {path: name for path, name in batch if path not in given}
+        taken |= set(fresh)
+        for path in sorted(fresh):
+            home, name = path.rsplit("/", 1)[0], fresh[path]
+            tries = [f"{home}/{name}_{k}.pdf" if k else f"{home}/{name}.pdf" for k in range(100)] if name else []
+            given[path] = next((t for t in tries if t not in taken), None)
+            taken.add(given[path])
+    return given
+
+
+@pytest.mark.parametrize("held", [3, 100_000])
+def test_names_over_batches_and_restarts_equal_a_plain_loop(spark, tmp_path, monkeypatch, held):
+    """Overlapping names, a name that most files want, seeded listing, files that stand on names; a restart per batch."""
+    monkeypatch.setattr(router, "HELD_ROWS", held)
+    rnd = random.Random(held)
+    entries = [dict(pattern=f"<{n}>", name=n) for n in ("x", "x_1", "x_1_2", "y", "z")]
+    rules = make_rules(entries)
+    schema = "path string, text string"
+    existing = ["/a/x.pdf", "/a/y_7.pdf", "/b/x_1.pdf", "/b/x_1_2.pdf", "/b/other.pdf", "/a/z_99.pdf"]
+    listing = spark.createDataFrame([(p,) for p in existing], "path string")
+    batches, number = [], 0
+    for size in (40, 260, 5, 60):
+        batch = []
+        for _ in range(size):
+            number += 1
+            stem = rnd.choice(["x", "x_1", "x_3", "y_2", "z"]) if rnd.random() < 0.05 else f"f{rnd.random():.6f}-{number}"
+            batch.append((f"/{rnd.choice('ab')}/{stem}.pdf", rnd.choice(["z"] * 8 + ["x", "x_1", "x_1_2", "y", None])))
+        batches.append(list(dict(batch).items()))
+    batches[2] += batches[0][:5]
+    for rows in batches:
+        text = [(p, "" if n is None else f"<{n}>") for p, n in rows]
+        spark.createDataFrame(text, schema).repartition(3).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        router.route_stream(stream, rules, f"{tmp_path}/m", f"{tmp_path}/cp", inventory=listing).awaitTermination()
+    got = {r.path: r.target_path for r in router.read_manifest(spark, f"{tmp_path}/m").collect()}
+    want = names_in_turn(batches, entries, existing)
+    assert got == want
+    assert sum(t is None for t in want.values()) > 30
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) is None
+
+
+def test_a_batch_reads_no_earlier_manifest(spark, tmp_path):
+    schema = "path string, text string"
+    for i in range(2):
+        spark.createDataFrame([(f"/in/{i}.pdf", "hit")], schema).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        query = router.route_stream(stream, make_rules(RULES), f"{tmp_path}/m", f"{tmp_path}/cp")
+        query.awaitTermination()
+    plan = query._jsq.explainInternal(True)
+    assert re.search(r"/in", plan) and f"{tmp_path}/m" not in plan
+    rows = router.read_manifest(spark, f"{tmp_path}/m").collect()
+    assert {r.batch_id: r.target_path for r in rows} == {0: "/in/x.pdf", 1: "/in/x_1.pdf"}
+
+
+def test_slot_map_equals_a_set_of_files():
+    rnd = random.Random(4)
+    for _ in range(200):
+        names = set(rnd.sample(["x", "x_1", "x_1_2", "x_12", "y", "y_0", "y_100"], 4))
+        slots, files = router.SlotMap(names, {}), set()
+        for _ in range(rnd.randrange(160)):
+            name = rnd.choice(sorted(names))
+            if rnd.random() < 0.2:
+                k = rnd.randrange(100)
+                slots.mark(name, k)
+                files.add(f"{name}_{k}" if k else name)
+            else:
+                want = next((k for k in range(100) if (f"{name}_{k}" if k else name) not in files), None)
+                assert slots.claim(name) == want
+                if want is not None:
+                    files.add(f"{name}_{want}" if want else name)
