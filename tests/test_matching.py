@@ -94,6 +94,8 @@ def test_few_and_many_rules_agree(spark, monkeypatch, legacy):
         return one, sorted(tuple(r) for r in M.match_all(docs, rules).collect())
 
     walked = run()
+    monkeypatch.setattr(M, "AUTOMATON_RULES", 20)
+    assert run() == walked
     monkeypatch.setattr(M, "EXPRESSION_RULES", 1000)
     assert run() == walked
     flags = 0 if legacy else re.DOTALL
@@ -130,3 +132,31 @@ def test_attach_rule_keeps_unmatched(docs):
     rules = make_rules([rule("two", name="found")])
     rows = M.attach_rule(M.first_match(docs, rules), rules, "name").collect()
     assert sorted((r.path, r.name) for r in rows)[1] == ("/in/b.pdf", None)
+
+
+@pytest.mark.parametrize("size, legacy", [(240, False), (240, True), (5000, True)])
+def test_automaton_equals_the_walk(spark, monkeypatch, size, legacy):
+    """Long tables: the same first matches and the same counts as testing every rule on every text."""
+    rnd = random.Random(size)
+    syllables = ["ab", "ba", "cé", "d.", "e1", "日本", "🙂x", "''", "-\\n", "zz"]
+    word = lambda least: "".join(rnd.choice(syllables) for _ in range(rnd.randint(least, 4)))
+    shapes = ["{}", r"\b{}", "{}+", "(?:{})|q", "(?i){}", "[ab]{{2}}{}", "x{}.*y", "(?={})"]
+    targets = ["內容", "內容", "檔名", "中介" if legacy else "元數據"]
+    entries = [
+        rule(rnd.choice(shapes).format(re.escape(word(1))), rnd.choice(targets), rnd.choice([0, 1, 1, 2, 3]), f"n{i}")
+        for i in range(size)
+    ]
+    rows = [(f"/in/{i}-{word(0)}.pdf".replace("\n", ""), "".join(word(0) for _ in range(rnd.randint(0, 12))), word(0)) for i in range(40)]
+    docs = routing.as_documents(spark.createDataFrame(rows, "path string, text string, metadata string")).cache()
+    rules = make_rules(entries, legacy)
+
+    def run():
+        one = {r.path: r.rule_id for r in M.first_match(docs, rules).collect()}
+        return one, sorted(tuple(r) for r in M.match_all(docs, rules).collect())
+
+    by_automaton = run()
+    plan = M.match_all(docs, rules)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") <= 1 + sum(not rules.pattern(r).runs_in_jvm for r in M.live_rules(rules))
+    monkeypatch.setattr(M, "AUTOMATON_RULES", size)
+    assert run() == by_automaton
+    assert len(by_automaton[1]) > 40
