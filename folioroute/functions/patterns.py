@@ -427,6 +427,82 @@ def _has_no_case(code: int) -> bool:
     return code < 128 and char.lower() == char.upper()
 
 
+# --- where matches cannot be -------------------------------------------------
+
+
+_CATEGORIES = {
+    "CATEGORY_DIGIT": r"\d", "CATEGORY_NOT_DIGIT": r"\D", "CATEGORY_SPACE": r"\s",
+    "CATEGORY_NOT_SPACE": r"\S", "CATEGORY_WORD": r"\w", "CATEGORY_NOT_WORD": r"\W",
+}
+
+
+def divider(pattern: Pattern) -> str | None:
+    """A regular expression for single characters that no match can hold or look at
+    beyond its ends, other than as a neighbour; None if there may be none.
+
+    Text between two such characters can be searched on its own, as long as the
+    characters stand at its ends.
+    """
+    if not pattern.valid or not (pattern.never_empty or pattern.literal) or pattern.engine != "re":
+        return None
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        tree = _sre.parse(pattern.source, pattern.flags)
+    atoms = sorted(set(_atoms(tree, tree.state.flags)))
+    return f"(?s)(?!{'|'.join(atoms)})."
+
+
+def _atoms(tree, flags: int):
+    """Single characters and classes that a pattern is made of, as expressions."""
+
+    def spelled(body: str) -> str:
+        on = "".join(c for c, f in (("i", re.IGNORECASE), ("a", re.ASCII), ("s", re.DOTALL)) if flags & f)
+        return f"(?{on}:{body})" if on else f"(?-s:{body})" if body == "." else body
+
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            yield spelled(re.escape(chr(arg)))
+        elif name == "NOT_LITERAL":
+            yield spelled(f"[^{re.escape(chr(arg))}]")
+        elif name == "ANY":
+            yield spelled(".")
+        elif name == "IN":
+            yield spelled(_class_text(arg))
+        elif name == "AT":
+            if str(arg) == "AT_END":  # also stands before a line feed that ends the text
+                yield r"\n"
+        elif name == "SUBPATTERN":
+            yield from _atoms(arg[3], (flags | arg[1]) & ~arg[2])
+        elif name == "BRANCH":
+            for branch in arg[1]:
+                yield from _atoms(branch, flags)
+        elif name in ("ASSERT", "ASSERT_NOT"):
+            yield from _atoms(arg[1], flags)
+        elif name == "GROUPREF_EXISTS":
+            yield from _atoms(arg[1], flags)
+            yield from _atoms(arg[2] or [], flags)
+        elif name == "ATOMIC_GROUP":
+            yield from _atoms(arg, flags)
+        elif name.endswith("_REPEAT"):
+            yield from _atoms(arg[2], flags)
+
+
+def _class_text(items) -> str:
+    out = "["
+    for op, arg in items:
+        name = str(op)
+        if name == "NEGATE":
+            out += "^"
+        elif name == "LITERAL":
+            out += re.escape(chr(arg))
+        elif name == "RANGE":
+            out += f"{re.escape(chr(arg[0]))}-{re.escape(chr(arg[1]))}"
+        else:
+            out += _CATEGORIES[str(arg)]
+    return out + "]"
+
+
 # --- columns ---------------------------------------------------------------
 
 

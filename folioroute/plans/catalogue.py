@@ -280,6 +280,14 @@ def running_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legacy.running_metadata_hits(described, "th", seed="the other")
 
 
+def running_metadata_across(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits that begin at the end of one file's metadata and end in the next one's."""
+    web = web_files(spark, sf_dir)
+    facts = E.metadata_entries(title=E.html_title("html"), url="url")
+    described = web.select("path", X.concat_metadata(facts).alias("metadata"))
+    return legacy.running_metadata_hits(described, "[0-9a-z][A-Z][a-z]+", seed="the other")
+
+
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     ended = status(spark, sf_dir).select(
         (F.col("status") != K.FAILED).alias("ok"),
@@ -704,7 +712,7 @@ QUERIES = {
     for query in (
         route_first_match, route_counts, route_many_rules, route_exact, route_dialect, match_matrix,
         manifest, manifest_copy_mode, manifest_families, name_exhausted, legacy_claim, legacy_run,
-        running_metadata, run_summary, route_legacy_dialect, route_unreadable, status_table, log_table,
+        running_metadata, running_metadata_across, run_summary, route_legacy_dialect, route_unreadable, status_table, log_table,
         split_then_route, route_from_file, route_legacy_file, route_folder,
         scan_top_level, document_text, page_counts, chunk_text,
         chunk_names, chunk_counts, chunk_sink, page_markers, split_markers, preview_pages,

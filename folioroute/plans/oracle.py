@@ -333,6 +333,15 @@ hits AS (
   FROM web)
 SELECT path, hits, (2 + sum(hits) OVER (ORDER BY path ROWS UNBOUNDED PRECEDING))::BIGINT AS running_hits
 FROM hits""",
+    "running_metadata_across": f"""WITH {WEB},
+described AS (
+  SELECT path, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) || url AS metadata FROM web),
+joined AS (
+  SELECT path, metadata, string_agg(metadata, '') OVER (ORDER BY path ROWS UNBOUNDED PRECEDING) AS so_far
+  FROM described)
+SELECT path, len(regexp_extract_all(metadata, '[0-9a-z][A-Z][a-z]+'))::INTEGER AS hits,
+       len(regexp_extract_all('the other' || so_far, '[0-9a-z][A-Z][a-z]+'))::BIGINT AS running_hits
+FROM joined""",
     "run_summary": f"""WITH {STATUS},
 total AS (
   SELECT count(*) AS searched, count(*) FILTER (status <> 3) AS succeeded,
