@@ -687,11 +687,22 @@ def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = run_dir(spark, "monitor")
     events = updates_of(_stream(spark, sf_dir, "events", home, by="event_id"))
     monitor.monitor_status(
-        events, f"{home}/log", f"{home}/checkpoint", every=None
+        events, f"{home}/log", f"{home}/checkpoint", every=None, compact_every=3
     ).awaitTermination()
     return monitor.current_status(spark, f"{home}/log")
 
 
+def stream_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts per state after the log of a stream was compacted twice and moved to a fresh one."""
+    home = run_dir(spark, "compacted")
+    events = updates_of(_stream(spark, sf_dir, "events", home, by="event_id"))
+    monitor.monitor_status(
+        events, f"{home}/log", f"{home}/checkpoint", every=None, compact_every=2
+    ).awaitTermination()
+    monitor.compact(spark, f"{home}/log", f"{home}/fresh")
+    return S.status_counts(monitor.current_status(spark, f"{home}/fresh"))
+
+
 def stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = run_dir(spark, "router")
     docs = _stream(spark, sf_dir, "documents", home, by="source").select(
@@ -720,6 +731,6 @@ QUERIES = {
         ocr_flatten, extract_pages, map_files, text_sidecars, protect_roundtrip, rule_rows,
         status_latest, status_counts, simple_status_counts, all_done, progress, insert_missing,
         merge_status, status_lookup, pending_limit, recent_errors, state_sample, display_states,
-        status_export, status_csv, log_csv, durations, stream_status, stream_route,
+        status_export, status_csv, log_csv, durations, stream_status, stream_compacted, stream_route,
     )
 }

@@ -518,5 +518,10 @@ SELECT path, {_duration("whole")} AS whole, {_duration("whole / (updates * 50)")
        {_duration("whole / (updates * 3000)")} AS shortest
 FROM spans""",
     "stream_status": f"WITH {STATUS} SELECT * FROM status",
+    "stream_compacted": f"""WITH {STATUS}
+SELECT count(*) FILTER ({_STATE} = 'pending') AS pending, count(*) FILTER ({_STATE} = 'queued') AS queued,
+       count(*) FILTER (status = 1) AS processing, count(*) FILTER (status = 2) AS completed,
+       count(*) FILTER (status = 3) AS failed, count(*) AS total
+FROM status""",
     "stream_route": _manifest(CANONICAL),
 }

@@ -27,12 +27,21 @@ def test_monitor_follows_the_batch_fold(spark, tmp_path):
         part = updates[start:stop]
         spark.createDataFrame(part, UPDATE).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(UPDATE).parquet(source)
-        monitor.monitor_status(stream, log, checkpoint, every=None, caller_thread=0).awaitTermination()
+        monitor.monitor_status(stream, log, checkpoint, every=None, caller_thread=0, compact_every=2).awaitTermination()
         want = S.latest_status(spark.createDataFrame(updates[:stop], UPDATE), 0)
         assert as_rows(monitor.current_status(spark, log)) == as_rows(want)
     monitor.compact(spark, log, f"{tmp_path}/compact")
     assert as_rows(monitor.current_status(spark, f"{tmp_path}/compact")) == as_rows(want)
     assert S.status_counts(monitor.current_status(spark, log)).first().total == 7
+    # Three batches: the snapshot of the first two and the third one's changes are read, nothing else.
+    files = {re.search(r"/log/(\w+/[^/]+)", f)[1] for f in monitor.current_status(spark, log).inputFiles()}
+    assert monitor.newest_snapshot(spark, log) == 1 and files == {"snapshots/upto=1", "changes/after=1"}
+    # A repeated batch leaves the same table.
+    for kind in ("commits/2", "commits/.2.crc"):
+        (tmp_path / "cp" / kind).unlink(missing_ok=True)
+    stream = spark.readStream.schema(UPDATE).parquet(source)
+    monitor.monitor_status(stream, log, checkpoint, every=None, caller_thread=0, compact_every=2).awaitTermination()
+    assert as_rows(monitor.current_status(spark, log)) == as_rows(want)
 
 
 RULES = [dict(pattern="hit", name="x"), dict(pattern="other", name="y")]
