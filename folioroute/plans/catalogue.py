@@ -350,12 +350,27 @@ def _below(column: str, home: str):
     return F.replace(F.col(column), plain_path(F.lit(home)), F.lit("")).alias(column)
 
 
+def _with_facts(docs: DataFrame) -> DataFrame:
+    """``path, text``: metadata as ``key=value`` fields in a first line, then the text."""
+    facts = F.transform("metadata", lambda entry: F.concat(entry["key"], F.lit("="), entry["value"]))
+    return docs.select("path", F.concat(F.array_join(facts, "\t"), F.lit("\n"), "text").alias("text"))
+
+
+def facts_reader():
+    """Reads what ``_with_facts`` lays out."""
+
+    def read(content: bytes):
+        head, _, text = content.decode("utf-8").partition("\n")
+        return [text], dict(field.split("=", 1) for field in head.split("\t"))
+
+    return read
+
+
 def route_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents laid out as files in a folder, then found, read and routed."""
     home = run_dir(spark, "folder")
-    _lay_out(files(spark, sf_dir), home)
-    rules = make_rules([rule for rule in RULES if rule["target"] != K.TARGET_METADATA])
-    placed = routing.folder_manifest(spark, home, rules, [E.text_reader])
+    _lay_out(_with_facts(files(spark, sf_dir)), home)
+    placed = routing.folder_manifest(spark, home, make_rules(RULES), [facts_reader])
     return placed.select(
         _below("path", home), _below("target_path", home), "action", "outcome", "rule_id", "encrypt", "ref_status"
     )
@@ -511,20 +526,46 @@ def map_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perfile.result_status(perfile.map_files(docs, measure, "long"))
 
 
-def text_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contents of an odd size stand for scans: no reader finds text in them."""
+def _recognized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents and their manifest, where texts of an odd size stand for scans: no
+    reader finds text in them, though it finds the metadata."""
 
     def reader():
-        return lambda content: ([] if len(content) % 2 else [content.decode("utf-8")], {})
+        read = facts_reader()
+
+        def scan_or_text(content):
+            (text,), facts = read(content)
+            return ([] if len(text.encode("utf-8")) % 2 else [text]), facts
+
+        return scan_or_text
 
     def recognizer():
-        return lambda content: [content.decode("utf-8")]
+        read = facts_reader()
+        return lambda content: read(content)[0]
 
-    contents = files(spark, sf_dir).select("path", F.col("text").cast("binary").alias("content"))
-    read = E.extract(spread(contents, "path"), [reader], recognizer, want_metadata=False)
+    laid_out = _with_facts(files(spark, sf_dir)).select("path", F.col("text").cast("binary").alias("content"))
+    read = E.extract(spread(laid_out, "path"), [reader], recognizer)
     docs = E.extracted_documents(read, remove_spaces=False)
-    placed = routing.build_manifest(docs, make_rules([r for r in RULES if r["target"] != K.TARGET_METADATA]))
-    return writers.text_sidecars(docs, placed)
+    return docs, routing.build_manifest(docs, make_rules(RULES))
+
+
+def text_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writers.text_sidecars(*_recognized(spark, sf_dir))
+
+
+def sidecar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file per recognized text, written twice over, listed and read again."""
+    home = run_dir(spark, "sidecars")
+    docs, placed = _recognized(spark, sf_dir)
+    for _ in range(2):
+        writers.write_sidecar_files(docs, placed, home)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(home)
+    content = F.col("content").cast("string")
+    return found.select(
+        F.replace(plain_path(F.col("path")), plain_path(F.lit(home)), F.lit("")).alias("sidecar_path"),
+        F.startswith(content, F.lit(K.BYTE_ORDER_MARK)).alias("marked"),
+        F.replace(content, F.lit(K.BYTE_ORDER_MARK), F.lit("")).alias("text"),
+    )
 
 
 def protect_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -728,7 +769,7 @@ QUERIES = {
         scan_top_level, document_text, page_counts, chunk_text,
         chunk_names, chunk_counts, chunk_sink, page_markers, split_markers, preview_pages,
         preview_stripped, preview_first, path_parts, page_text, page_meta, text_fallback,
-        ocr_flatten, extract_pages, map_files, text_sidecars, protect_roundtrip, rule_rows,
+        ocr_flatten, extract_pages, map_files, text_sidecars, sidecar_files, protect_roundtrip, rule_rows,
         status_latest, status_counts, simple_status_counts, all_done, progress, insert_missing,
         merge_status, status_lookup, pending_limit, recent_errors, state_sample, display_states,
         status_export, status_csv, log_csv, durations, stream_status, stream_compacted, stream_route,

@@ -29,8 +29,6 @@ CANONICAL = [
     (6, "german_like", r"len(regexp_extract_all(text, '(?s)der '))", 2, False),
     (8, "romance", r"len(regexp_extract_all(text, '(?s) la '))", 1, False),
 ]
-# The same without the metadata rule, renumbered: files in a folder have none.
-FOLDER = [(i, *r[1:]) for i, r in zip((0, 1, 2, 3, 4, 5, 7), CANONICAL[:3] + CANONICAL[4:])]
 TAKEN = [
     (0, "doc", r"len(regexp_extract_all(text, '(?s)the.*?and'))", 1, False),
     (1, "paper", r"len(regexp_extract_all(text, '(?s) la '))", 1, False),
@@ -357,7 +355,7 @@ SELECT f.path, h.rule_id, 'from ' || r.pattern AS name, h.rule_id IS NOT NULL AS
 FROM files f LEFT JOIN hits h ON h.metadata = f.metadata LEFT JOIN rules r ON r.rule_id = h.rule_id""",
     "scan_top_level": """SELECT '/doc_' || doc_id || '.PDF' AS path, strlen(text)::BIGINT AS length, text
 FROM documents WHERE lang = 'en'""",
-    "route_folder": _manifest(FOLDER),
+    "route_folder": _manifest(CANONICAL),
     "split_then_route": _manifest(CANONICAL, source=_named(CANONICAL).replace(FILES, _CHUNK_FILES)),
     "document_text": f"""WITH {PAGED}
 SELECT path, string_agg(text, '' ORDER BY page_no) AS text FROM paged GROUP BY path""",
@@ -434,10 +432,15 @@ SELECT path, NOT contains(text, '@') AS ok,
        CASE WHEN contains(text, '@') THEN 3 ELSE 2 END::INTEGER AS status,
        CASE WHEN contains(text, '@') THEN '處理文件時出錯: address found' ELSE '處理完成' END AS message
 FROM files""",
-    "text_sidecars": f"""WITH placed AS ({_manifest(FOLDER)}),
+    "text_sidecars": f"""WITH placed AS ({_manifest(CANONICAL)}),
 {FILES}
 SELECT regexp_replace(coalesce(p.target_path, p.path), '\\.pdf$', '_ocr.txt') AS sidecar_path,
        '===== 第1頁 =====' || chr(10) || f.text || chr(10) AS text
+FROM files f JOIN placed p ON p.path = f.path WHERE strlen(f.text) % 2 = 1""",
+    "sidecar_files": f"""WITH placed AS ({_manifest(CANONICAL)}),
+{FILES}
+SELECT regexp_replace(coalesce(p.target_path, p.path), '\\.pdf$', '_ocr.txt') AS sidecar_path,
+       '===== 第1頁 =====' || chr(10) || f.text || chr(10) AS text, true AS marked
 FROM files f JOIN placed p ON p.path = f.path WHERE strlen(f.text) % 2 = 1""",
     "protect_roundtrip": f"""WITH {FILES},
 routed AS (SELECT path, text, {_case(CANONICAL, 0)}::INTEGER AS rule_id FROM files)

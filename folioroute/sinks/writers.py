@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from folioroute import constants as K
 from folioroute.functions import text as X
 from folioroute.operators import status as S
+from folioroute.sinks.sidecars import SidecarFiles
 
 
 def _write_csv(rows: DataFrame, path: str, byte_order_mark: bool, mode: str) -> None:
@@ -68,6 +69,15 @@ def write_text_sidecars(texts: DataFrame, manifest: DataFrame, path: str, mode:
     text_sidecars(texts, manifest).write.mode(mode).parquet(path)
 
 
+def write_sidecar_files(texts: DataFrame, manifest: DataFrame, root: str = "") -> None:
+    """One text file with a byte order mark per recognized text, beside its document;
+    ``root`` goes before all paths. A repeated run replaces its files."""
+    spark = texts.sparkSession
+    spark.dataSource.register(SidecarFiles)
+    rows = text_sidecars(texts, manifest)
+    rows.write.format(SidecarFiles.name()).mode("append").save(root)
+
+
 def write_manifest(manifest: DataFrame, path: str, mode: str = "error") -> None:
     manifest.write.mode(mode).parquet(path)
 

@@ -132,3 +132,18 @@ def test_result_types(spark, kind):
     value = "text" if kind == "string" else {"a": 1, "b": "x"}
     row = perfile.map_files(files, lambda r: value, kind).first()
     assert (row.result if kind == "string" else row.result.asDict()) == value
+
+
+def test_sidecar_files_are_whole_or_not_there(spark, tmp_path):
+    """One marked file per text; a failed run leaves no halves, a repeated one the same files."""
+    texts = spark.createDataFrame([("/in/a.pdf", "één"), ("/in/sub/b.pdf", "two\r\n"), ("/in/c.pdf", "")], "path string, text string")
+    manifest = spark.createDataFrame([("/in/a.pdf", "/in/new.pdf"), ("/in/sub/b.pdf", None)], "path string, target_path string")
+    for _ in range(2):
+        W.write_sidecar_files(texts, manifest, str(tmp_path))
+    found = {str(p.relative_to(tmp_path)): p.read_bytes() for p in tmp_path.rglob("*") if p.is_file()}
+    assert found == {"in/new_ocr.txt": b"\xef\xbb\xbf" + "één".encode(), "in/sub/b_ocr.txt": b"\xef\xbb\xbftwo\r\n"}
+    (tmp_path / "in" / "sub" / "d_ocr.txt").mkdir()  # nothing can be moved there
+    more = spark.createDataFrame([("/in/sub/d.pdf", "x"), ("/in/sub/b.pdf", "new")], "path string, text string").coalesce(1)
+    with pytest.raises(Exception, match="d_ocr.txt"):
+        W.write_sidecar_files(more, manifest, str(tmp_path))
+    assert not list(tmp_path.rglob("*.part"))
