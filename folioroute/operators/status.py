@@ -83,6 +83,26 @@ def insert_missing(status: DataFrame, paths: DataFrame) -> DataFrame:
     return status.select(*STATUS_COLUMNS).unionByName(missing_rows(status, paths))
 
 
+def merge_small(status: DataFrame, changes: DataFrame) -> DataFrame:
+    """``merge_status`` for few changes to a large table.
+
+    The table is only probed: where Spark can broadcast the changes, no row of it
+    is shuffled. What the changes add is found by the paths they did meet.
+    """
+    old, new = status.alias("o"), changes.alias("n")
+    kept = old.join(new, F.col("o.path") == F.col("n.path"), "left").select(
+        F.col("o.path").alias("path"),
+        F.coalesce("n.status", "o.status").alias("status"),
+        F.coalesce("n.message", "o.message", F.lit("")).alias("message"),
+        F.coalesce("n.thread", "o.thread").alias("thread"),
+        F.coalesce("o.start_time", "n.start_time").alias("start_time"),
+        F.coalesce("n.end_time", "o.end_time").alias("end_time"),
+    )
+    met = status.select("path").join(changes.select("path"), "path", "left_semi")
+    added = changes.join(met, "path", "left_anti").withColumn("message", F.coalesce("message", F.lit("")))
+    return kept.unionByName(added.select(*kept.columns))
+
+
 def merge_status(status: DataFrame, changes: DataFrame) -> DataFrame:
     """Status table after ``fold_updates`` of new updates.
 

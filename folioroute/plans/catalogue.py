@@ -15,10 +15,11 @@ from folioroute.functions import text as X
 from folioroute.operators import legacy, matching, pages, perfile, protect
 from folioroute.operators import status as S
 from folioroute.plans import routing
-from folioroute.session import run_dir, spread
+from folioroute.session import reliable, run_dir, spread
+from folioroute.sinks import status_table as stored_status
 from folioroute.sinks import writers
 from folioroute.sources import extract as E
-from folioroute.sources.files import open_filesystem, plain_path, scan_files
+from folioroute.sources.files import list_files, open_filesystem, plain_path, rescan_files, scan_files
 from folioroute.sources.tables import read_log, read_status
 from folioroute.sources.rules import make_rules, normalize_rules, read_rules
 from folioroute.streaming import monitor, router
@@ -376,6 +377,35 @@ def route_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rescan_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder is listed, then files are changed and added, and some are gone; the
+    second scan opens what is new or changed."""
+    home = run_dir(spark, "rescan")
+    docs = _table(spark, sf_dir, "documents")
+    name = F.concat(F.lit("/"), F.pmod("doc_id", F.lit(5)).cast("string"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    late, gone, edited = (F.col("doc_id") % k == 0 for k in (11, 13, 7))
+    docs = docs.select(name.alias("path"), "text", late.alias("late"), gone.alias("gone"), edited.alias("edited"))
+    _lay_out(docs.where("not late and not gone"), home)
+    # Files that have gone are known from the stored listing only.
+    lost = docs.where("gone").select(F.concat(F.lit(home), "path").alias("path"), F.lit(1).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modified"))
+    before = reliable(list_files(spark, home).select(plain_path("path").alias("path"), "length", "modified").unionByName(lost))
+    _lay_out(docs.where("late and not gone"), home)
+    _lay_out(docs.where("edited and not late and not gone").withColumn("text", F.concat("text", F.lit("!"))), home)
+    found = rescan_files(spark, home, before)
+    return found.select(_below("path", home), "state", F.col("content").cast("string").alias("text"))
+
+
+def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents laid out as files, read by ranges of three pages."""
+    home = run_dir(spark, "ranges")
+    ordered = F.array_sort(F.collect_list(F.struct("page_no", "text")))
+    whole = paged(spark, sf_dir).groupBy("path").agg(ordered.alias("pages"))
+    text = F.array_join(F.transform("pages", lambda page: page["text"]), "\f")
+    _lay_out(whole.select("path", text.alias("text")), home)
+    read = E.extract_page_ranges(list_files(spark, home), E.text_pages, 3)
+    return read.select(_below("path", home), "page_no", "text", F.col("error").isNotNull().alias("unreadable"))
+
+
 def scan_top_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents laid out in two levels; only the upper one is listed."""
     home = run_dir(spark, "levels")
@@ -642,6 +672,18 @@ def merge_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.merge_status(before, changes)
 
 
+def merge_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on a stored table, merged in two parts of which one is repeated."""
+    early = F.col("status").isin(K.WAITING, K.RUNNING)
+    table = run_dir(spark, "status-table")
+    stored_status.write_status_table(S.latest_status(updates(spark, sf_dir).where(early)), table, 16)
+    changes = S.fold_updates(updates(spark, sf_dir).where(~early))
+    part = F.pmod(F.xxhash64("path"), F.lit(16)) < 5
+    for some in (part, ~part, part):
+        stored_status.merge_into_status_table(spark, table, changes.where(some), 16)
+    return stored_status.read_status_table(spark, table)
+
+
 def status_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.status_of(status(spark, sf_dir), "/jobs/file_7.pdf")
 
@@ -765,13 +807,13 @@ QUERIES = {
         route_first_match, route_counts, route_many_rules, route_exact, route_dialect, match_matrix,
         manifest, manifest_copy_mode, manifest_families, name_exhausted, legacy_claim, legacy_run,
         running_metadata, running_metadata_across, run_summary, route_legacy_dialect, route_unreadable, status_table, log_table,
-        split_then_route, route_from_file, route_legacy_file, route_folder,
+        split_then_route, route_from_file, route_legacy_file, route_folder, rescan_folder, page_ranges,
         scan_top_level, document_text, page_counts, chunk_text,
         chunk_names, chunk_counts, chunk_sink, page_markers, split_markers, preview_pages,
         preview_stripped, preview_first, path_parts, page_text, page_meta, text_fallback,
         ocr_flatten, extract_pages, map_files, text_sidecars, sidecar_files, protect_roundtrip, rule_rows,
         status_latest, status_counts, simple_status_counts, all_done, progress, insert_missing,
-        merge_status, status_lookup, pending_limit, recent_errors, state_sample, display_states,
+        merge_status, merge_stored, status_lookup, pending_limit, recent_errors, state_sample, display_states,
         status_export, status_csv, log_csv, durations, stream_status, stream_compacted, stream_route,
     )
 }

@@ -355,6 +355,11 @@ SELECT f.path, h.rule_id, 'from ' || r.pattern AS name, h.rule_id IS NOT NULL AS
 FROM files f LEFT JOIN hits h ON h.metadata = f.metadata LEFT JOIN rules r ON r.rule_id = h.rule_id""",
     "scan_top_level": """SELECT '/doc_' || doc_id || '.PDF' AS path, strlen(text)::BIGINT AS length, text
 FROM documents WHERE lang = 'en'""",
+    "rescan_folder": """SELECT '/' || doc_id % 5 || '/doc_' || doc_id || '.pdf' AS path,
+       CASE WHEN doc_id % 13 = 0 THEN 'gone' WHEN doc_id % 11 = 0 THEN 'new' WHEN doc_id % 7 = 0 THEN 'changed' ELSE 'same' END AS state,
+       CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN text WHEN doc_id % 7 = 0 THEN text || '!' END AS text
+FROM documents""",
+    "page_ranges": f"WITH {PAGED} SELECT path, page_no, text, false AS unreadable FROM paged",
     "route_folder": _manifest(CANONICAL),
     "split_then_route": _manifest(CANONICAL, source=_named(CANONICAL).replace(FILES, _CHUNK_FILES)),
     "document_text": f"""WITH {PAGED}
@@ -487,6 +492,13 @@ WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.path = wanted.path)""",
     "merge_status": f"""WITH {UPDATES},
 o AS ({_fold("status IN (0, 1)")}),
 n AS ({_fold("status IN (2, 3)", message="{}")})
+SELECT coalesce(n.path, o.path) AS path, coalesce(n.status, o.status) AS status,
+       coalesce(n.message, o.message, '') AS message, coalesce(n.thread, o.thread) AS thread,
+       coalesce(o.start_time, n.start_time) AS start_time, coalesce(n.end_time, o.end_time) AS end_time
+FROM o FULL JOIN n ON o.path = n.path""",
+    "merge_stored": f"""WITH {UPDATES},
+o AS ({_fold("status IN (0, 1)")}),
+n AS ({_fold("status IN (2, 3)", message="{}")})
 SELECT coalesce(n.path, o.path) AS path, coalesce(n.status, o.status) AS status,
        coalesce(n.message, o.message, '') AS message, coalesce(n.thread, o.thread) AS thread,
        coalesce(o.start_time, n.start_time) AS start_time, coalesce(n.end_time, o.end_time) AS end_time

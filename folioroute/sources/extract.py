@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioroute.functions import text as X
+from folioroute.sources.files import open_filesystem
 
 Reader = Callable[[bytes], tuple[list[str], dict]]
 METADATA_TYPE = "array<struct<key:string,value:string>>"
@@ -52,6 +53,57 @@ def extract(
     return files.select("path", "content").mapInPandas(run, _EXTRACTED)
 
 
+def extract_page_ranges(files: DataFrame, opener: Callable[[], Callable], pages: int = 200) -> DataFrame:
+    """``path, page_no, text, error`` of all pages of files with ``path``, by ranges of pages.
+
+    ``opener`` builds, once per task, a function from a seekable stream to a
+    document with ``len`` and ``pages(first, last)``, counted from 1. Each file is
+    opened once to count its pages; its ranges are then dealt out as tasks of
+    equal weight, each of which opens the file itself and reads its own pages.
+    So a document of 50,000 pages is many tasks, and no row holds more than a page.
+    A file, or a range, that cannot be read gives one row with its error and,
+    for a range, its first page.
+    """
+
+    def opened(path: str):
+        system, plain = open_filesystem(path)
+        return system.open_input_file(plain)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = opener()
+        for batch in batches:
+            rows = []
+            for path in batch["path"]:
+                try:
+                    with opened(path) as stream:
+                        rows.append((path, len(read(stream)), None))
+                except Exception as problem:
+                    rows.append((path, None, str(problem) or type(problem).__name__))
+            yield pd.DataFrame(rows, columns=["path", "n", "error"]).astype({"n": "Int64"})
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = opener()
+        columns = ["path", "page_no", "text", "error"]
+        for batch in batches:
+            for path, first, last, error in zip(batch["path"], batch["first"], batch["last"], batch["error"]):
+                rows = [(path, None, None, error)]
+                if error is None:
+                    try:
+                        with opened(path) as stream:
+                            texts = read(stream).pages(int(first), int(last))
+                        rows = [(path, first + i, text or "", None) for i, text in enumerate(texts)]
+                    except Exception as problem:
+                        rows = [(path, first, None, str(problem) or type(problem).__name__)]
+                yield pd.DataFrame(rows, columns=columns).astype({"page_no": "Int64"})
+
+    counted = files.select("path").mapInPandas(count, "path string, n long, error string")
+    starts = F.when(F.col("n") > 0, F.sequence(F.lit(1).cast("long"), F.col("n"), F.lit(pages).cast("long")))
+    ranges = counted.where("error IS NOT NULL OR n > 0").select("path", "n", "error", F.explode_outer(starts).alias("first"))
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = ranges.select("path", "first", F.least("n", F.col("first") + (pages - 1)).alias("last"), "error").repartition(tasks, "path", "first")
+    return dealt.mapInPandas(take, "path string, page_no int, text string, error string")
+
+
 def _read_one(content, readers, recognize, force_ocr, want_pages, want_metadata):
     pages: list[str] = []
     metadata: list[dict] | None = None
@@ -105,6 +157,24 @@ def extracted_documents(extracted: DataFrame, remove_spaces: bool = True) -> Dat
 # --- readers -------------------------------------------------------------------
 
 
+class _FormFeedText:
+    """A plain text document with a form feed between pages."""
+
+    def __init__(self, stream):
+        self.texts = stream.read().decode("utf-8").split("\f")
+
+    def __len__(self) -> int:
+        return len(self.texts)
+
+    def pages(self, first: int, last: int) -> list[str]:
+        return self.texts[first - 1 : last]
+
+
+def text_pages():
+    """Opener for ``extract_page_ranges``: plain UTF-8 text, a form feed between pages."""
+    return _FormFeedText
+
+
 def text_reader() -> Reader:
     """Plain UTF-8 text, a form feed between pages, no metadata."""
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioroute.functions import text as X
+from folioroute.session import reliable
 
 PDF_GLOB = "*.[pP][dD][fF]"
 # A Spark value ends below 2 GB; Arrow batches of contents are closed at this size.
@@ -135,15 +136,48 @@ def scan_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFr
     task reads its files into batches of bounded size. A file beyond the size of
     a Spark value, or one that cannot be opened, has null content.
     """
-    listed = list_files(spark, root, recursive)
     if not _listable(root):
         return _spark_listing(spark, root, recursive).select("path", "length", "modified", "content")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return read_listed(list_files(spark, root, recursive))
+
+
+def read_listed(listed: DataFrame) -> DataFrame:
+    """The files of a listing with their bytes, dealt out by path."""
+    tasks = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = "path string, length long, modified timestamp, content binary"
-    spread = listed.withColumn("path", plain_path("path")).repartition(tasks, "path")
+    spread = listed.select(plain_path("path").alias("path"), "length", "modified").repartition(tasks, "path")
     return spread.mapInPandas(_read_bytes, schema)
 
 
+def compare_listings(before: DataFrame, now: DataFrame) -> DataFrame:
+    """``path, state, length, modified`` of all files of two listings: ``new``,
+    ``changed`` (in length or time), ``same`` or ``gone``; with the newer facts."""
+    old, new = before.alias("o"), now.alias("n")
+    alike = F.col("o.length").eqNullSafe(F.col("n.length")) & F.col("o.modified").eqNullSafe(F.col("n.modified"))
+    state = (
+        F.when(F.col("o.path").isNull(), "new").when(F.col("n.path").isNull(), "gone")
+        .when(alike, "same").otherwise("changed")
+    )
+    facts = [F.when(F.col("n.path").isNull(), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in ("length", "modified")]
+    return old.join(new, F.col("o.path") == F.col("n.path"), "full_outer").select(F.coalesce("n.path", "o.path").alias("path"), state.alias("state"), *facts)
+
+
+def rescan_files(spark: SparkSession, root: str, before: DataFrame, recursive: bool = True) -> DataFrame:
+    """What became of a folder since a stored listing: ``path, state, length, modified,
+    content``. Only new and changed files are opened; the others have null content.
+
+    ``before`` is what ``list_files`` gave, as it was stored then.
+    """
+    states = reliable(compare_listings(before, list_files(spark, root, recursive)))
+    fresh = F.col("state").isin("new", "changed")
+    opened = read_listed(states.where(fresh))
+    known = states.select(plain_path("path").alias("path"), "state")
+    return (
+        opened.join(known, "path").select("path", "state", "length", "modified", "content")
+        .unionByName(states.where(~fresh).withColumn("path", plain_path("path")), allowMissingColumns=True)
+    )
+
+
 def _read_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = ["path", "length", "modified", "content"]
     for batch in batches:

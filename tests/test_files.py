@@ -3,6 +3,7 @@ import sys
 
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from folioroute.functions import text as X
 from folioroute.operators import pages as G
@@ -159,3 +160,47 @@ def listed_below(spark, root):
     from folioroute.sources.files import list_files
 
     return sorted(r.path.removeprefix(root) for r in list_files(spark, root).collect())
+
+
+def test_page_ranges_are_tasks_of_their_own(spark, tmp_path):
+    """A long document is read by many tasks; errors stay with their file or range."""
+    (tmp_path / "long.pdf").write_text("\f".join(f"page {i}" for i in range(1, 5001)))
+    (tmp_path / "one.pdf").write_text("alone")
+    (tmp_path / "empty.pdf").write_bytes(b"")
+    (tmp_path / "broken.pdf").write_bytes(b"\xc3\x28")
+
+    class Picky:
+        def __init__(self, stream):
+            self.pages_of = E.text_pages()(stream)
+
+        def __len__(self):
+            return len(self.pages_of)
+
+        def pages(self, first, last):
+            if first == 401:
+                raise ValueError("no such pages")
+            return self.pages_of.pages(first, last)
+
+    files = S.list_files(spark, str(tmp_path))
+    read = E.extract_page_ranges(files, lambda: Picky, pages=100)
+    rows = read.withColumn("task", F.spark_partition_id()).collect()
+    long = [r for r in rows if r.path.endswith("long.pdf")]
+    assert len({r.task for r in long}) > 4
+    assert {r.page_no: r.text for r in long if r.error is None} == {i: f"page {i}" for i in range(1, 5001) if not 401 <= i <= 500}
+    assert [(r.page_no, r.error) for r in long if r.error] == [(401, "no such pages")]
+    rest = {r.path.rsplit("/", 1)[1]: (r.page_no, r.text, r.error is None) for r in rows if not r.path.endswith("long.pdf")}
+    assert rest == {"one.pdf": (1, "alone", True), "empty.pdf": (1, "", True), "broken.pdf": (None, None, False)}
+
+
+def test_rescan_opens_new_and_changed_files_only(spark, tmp_path):
+    for name in ("a", "b", "c"):
+        (tmp_path / f"{name}.pdf").write_text(name)
+    before = spark.createDataFrame(S.list_files(spark, str(tmp_path)).collect(), "path string, length long, modified timestamp")
+    (tmp_path / "b.pdf").write_text("bb")
+    (tmp_path / "d.pdf").write_text("d")
+    lost = before.where("path like '%c.pdf'").withColumn("path", F.replace("path", F.lit("c.pdf"), F.lit("z.pdf")))
+    found = S.rescan_files(spark, str(tmp_path), before.union(lost)).collect()
+    got = {r.path.rsplit("/", 1)[1]: (r.state, r.content and bytes(r.content)) for r in found}
+    assert got == {
+        "a.pdf": ("same", None), "b.pdf": ("changed", b"bb"), "c.pdf": ("same", None), "d.pdf": ("new", b"d"), "z.pdf": ("gone", None),
+    }

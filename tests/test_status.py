@@ -2,6 +2,7 @@ import random
 
 from folioroute import constants as K
 from folioroute.operators import status as S
+from folioroute.sinks import status_table as stored
 from folioroute.sources.tables import STATUS_SCHEMA
 
 UPDATE = "path string, seq long, status int, message string, thread long, ts double"
@@ -139,3 +140,24 @@ def test_export_rows(spark):
     assert S.export_rows(frame).columns == K.STATUS_EXPORT_HEADER
     assert tuple(rows[0]) == ("a", "已完成", "ok", "5", "1970-01-01 00:00:01", "")
     assert tuple(rows[1]) == ("b", "9", None, None, "", "")
+
+
+def test_stored_table_merges_only_touched_folders(spark, tmp_path):
+    """Merges equal the join of whole tables; folders without changed paths keep their files; a merge repeats safely."""
+    columns = "path string, status int, message string, thread long, start_time double, end_time double"
+    old = [(f"p{i}", i % 4, f"m{i}", i % 3 or None, float(i) if i % 2 else None, None) for i in range(300)]
+    new = [(f"p{i}", 3, None if i % 2 else "late", None, 7.0, 9.0) for i in range(0, 40, 10)] + [("q1", 1, None, 5, 1.0, None)]
+    before, changes = spark.createDataFrame(old, columns), spark.createDataFrame(new, columns)
+    table = f"{tmp_path}/table"
+    stored.write_status_table(before, table, 32)
+    files = lambda: {str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*.parquet") if p.is_file()}
+    first = files()
+    want = sorted(map(tuple, S.merge_status(before, changes).collect()))
+    assert sorted(map(tuple, S.merge_small(before, changes).collect())) == want
+    for _ in range(2):
+        stored.merge_into_status_table(spark, table, changes, 32)
+        assert sorted(map(tuple, stored.read_status_table(spark, table).collect())) == want
+    kept = first & files()
+    assert len(kept) >= 32 - len(new) and first - kept
+    plan = stored.merged_buckets(spark, table, changes.hint("broadcast"), 32)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan and "Exchange hash" not in plan
