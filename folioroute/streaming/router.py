@@ -37,8 +37,11 @@ MANIFEST_SCHEMA = (
 PIECES = 64
 # Rows a task holds back to find the first claimants of its names.
 HELD_ROWS = 100_000
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# A batch then commits what it has changed, not the whole store.
+_STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 _SLOTS = K.SLOTS_PER_NAME
 _KEYS = ("dir", "family", "piece")
 
@@ -274,15 +277,17 @@ def route_stream(
     writer = rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if every is None else {"processingTime": every}
     conf = files.sparkSession.conf
-    before = conf.get(_PROVIDER, None)
-    conf.set(_PROVIDER, _ROCKSDB)
+    before = {name: conf.get(name, None) for name in _STATE_STORE}
+    for name, value in _STATE_STORE.items():
+        conf.set(name, value)
     try:
         return writer.trigger(**trigger).start()  # the query keeps a copy of the settings
     finally:
-        if before is None:
-            conf.unset(_PROVIDER)
-        else:
-            conf.set(_PROVIDER, before)
+        for name, value in before.items():
+            if value is None:
+                conf.unset(name)
+            else:
+                conf.set(name, value)
 
 
 def read_manifest(spark: SparkSession, manifest: str) -> DataFrame:
