@@ -6,6 +6,9 @@ documents (turn + 1 = page), pages for raw files, events for status updates.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,8 +110,6 @@ _SCHEMAS = {
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Times in the tables are zone-less; they are read and shown as UTC.
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -801,19 +802,36 @@ def stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return router.read_manifest(spark, f"{home}/manifest").drop("batch_id")
 
 
+def _in_utc(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Times in the tables are zone-less and shown as UTC. Expressions take the zone of
+    the session when they are put together, so the session has its own again after."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        before = spark.conf.get("spark.sql.session.timeZone")
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        try:
+            return query(spark, sf_dir)
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", before)
+
+    return run
+
+
 QUERIES = {
-    query.__name__: query
+    query.__name__: _in_utc(query)
     for query in (
         route_first_match, route_counts, route_many_rules, route_exact, route_dialect, match_matrix,
         manifest, manifest_copy_mode, manifest_families, name_exhausted, legacy_claim, legacy_run,
-        running_metadata, running_metadata_across, run_summary, route_legacy_dialect, route_unreadable, status_table, log_table,
-        split_then_route, route_from_file, route_legacy_file, route_folder, rescan_folder, page_ranges,
+        running_metadata, running_metadata_across, run_summary, route_legacy_dialect, route_unreadable,
+        status_table, log_table, split_then_route, route_from_file, route_legacy_file, route_folder, rescan_folder, page_ranges,
         scan_top_level, document_text, page_counts, chunk_text,
         chunk_names, chunk_counts, chunk_sink, page_markers, split_markers, preview_pages,
         preview_stripped, preview_first, path_parts, page_text, page_meta, text_fallback,
         ocr_flatten, extract_pages, map_files, text_sidecars, sidecar_files, protect_roundtrip, rule_rows,
         status_latest, status_counts, simple_status_counts, all_done, progress, insert_missing,
-        merge_status, merge_stored, status_lookup, pending_limit, recent_errors, state_sample, display_states,
-        status_export, status_csv, log_csv, durations, stream_status, stream_compacted, stream_route,
+        merge_status, merge_stored, status_lookup, pending_limit, recent_errors, state_sample,
+        display_states, status_export, status_csv, log_csv, durations, stream_status, stream_compacted,
+        stream_route,
     )
 }

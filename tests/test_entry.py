@@ -57,3 +57,15 @@ def test_known_numbers(spark, sf01):
     )
     states = C.simple_status_counts(spark, sf01).first().asDict()
     assert states == dict(pending=31, processing=59, completed=30, failed=30, total=150)
+
+
+def test_queries_leave_the_session_zone_alone(spark, sf001):
+    """Times are shown as UTC in a session of any zone, and the zone stays the session's."""
+    names = ("status_export", "log_table", "status_table", "display_states")
+    want = {n: sorted(map(str, C.QUERIES[n](spark, sf001).collect())) for n in names}
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Taipei")
+    try:
+        assert {n: sorted(map(str, C.QUERIES[n](spark, sf001).collect())) for n in names} == want
+        assert spark.conf.get("spark.sql.session.timeZone") == "Asia/Taipei"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
