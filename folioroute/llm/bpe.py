@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from folioroute.llm.common import map_texts, safe_segments
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Distinct pre-tokens in each of the two generations a task remembers.
-CACHE = 80_000
+#: Distinct pre-tokens in each of the two generations a task remembers, by default and
+#: where nothing else needs the memory. The size affects the time only.
+CACHE, WIDE_CACHE = 80_000, 250_000
 
 LETTER, NUMBER, OTHER, SPACES, LAST_SPACE, BLANK, SHORT, LONG, RESET = range(9)
 START, IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_SPACES, JOINED, ONE_MORE, TWO_MORE = range(8)
@@ -282,7 +283,8 @@ def vocabulary(path: str) -> dict[bytes, int]:
 class Codec:
     """Encoder and decoder of one task."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
+        self.cache = cache
         self.ranks = vocabulary(path)
         self.merge = Merger(self.ranks)
         self.known: dict[bytes, tuple[int, ...]] = {}
@@ -300,7 +302,7 @@ class Codec:
         pieces, owned = pretokens(texts)
         known = self.known
         new = set(pieces).difference(known)
-        if len(known) + len(new) > CACHE:
+        if len(known) + len(new) > self.cache:
             self.earlier, known = known, {}
             self.known, new = known, set(pieces)
         again = new.intersection(self.earlier)
@@ -332,8 +334,8 @@ class Codec:
         return self.blob[source].tobytes()
 
 
-def _work(path: str) -> Callable[[list], list]:
-    codec = Codec(path)
+def _work(path: str, cache: int) -> Callable[[list], list]:
+    codec = Codec(path, cache)
 
     def run(texts: list) -> list:
         segments, owner = [], []
@@ -357,7 +359,7 @@ def _work(path: str) -> Callable[[list], list]:
     return run
 
 
-def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", cache: int = CACHE) -> DataFrame:
     """Ids, byte offsets and decoded bytes of every whole text.
 
     One row per input row: the key, ``ids`` array<int>, ``starts`` array<int>
@@ -366,7 +368,7 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     any length are cut at places where a pre-token always begins.
     """
     return map_texts(
-        docs, lambda: _work(path), "ids array<int>, starts array<int>, decoded binary", key, text
+        docs, lambda: _work(path, cache), "ids array<int>, starts array<int>, decoded binary", key, text
     )
 
 

@@ -24,7 +24,7 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path(bpe.RANKS)))
+    return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path(bpe.RANKS), cache=bpe.WIDE_CACHE))
 
 
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
