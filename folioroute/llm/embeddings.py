@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from folioroute.llm.common import connected, stored
+from folioroute.llm.jaccard import _grouped
 
 COSINE, RECALL, LEAST = 0.93, 0.9995, 2
 #: Vectors wanted in the tail of a line for the largest label, and members of a tile.
@@ -188,12 +189,15 @@ def near_duplicates(
     One row per input row. Equal vectors of a label are one class that is compared
     once; its members link to each other. Vectors without a label, null, zero, or
     with null or non-finite components, link with nothing, and so do vectors of
-    different lengths. Every vector is indexed.
+    different lengths and rows without a key. Rows that share a key but not their
+    vector are vectors of their own. Every vector is indexed.
     """
     rows = vectors.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(embedding).alias("embedding"))
     rows = rows.withColumn("usable", usable("embedding", "label") & F.col("key").isNotNull())
     classes = stored(
-        rows.where("usable").groupBy("label", "embedding").agg(F.min("key").alias("id"), F.count("*").alias("weight")), "vector-classes"
+        rows.where("usable").groupBy("label", "embedding").agg(F.min("key").alias("least"), F.count("*").alias("weight"))
+        # Classes have ids of their own: keys may repeat.
+        .withColumn("id", F.monotonically_increasing_id()), "vector-classes",
     )
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     plan = calibrate(largest, cosine)
@@ -215,8 +219,6 @@ def near_duplicates(
     by = [*tile, "left", "right"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from folioroute.llm.jaccard import _grouped
-
         for group in _grouped(batches, len(by)):
             out = tile_links(group, plan, cosine) if len(group) > 1 else []
             if out:
@@ -225,13 +227,15 @@ def near_duplicates(
     made = stored(spread.repartition(*by).sortWithinPartitions(*by, "id").mapInArrow(run, schema), "vector-links")
     counts = made.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "counted")
     whole = connected(made.where("b IS NOT NULL")).withColumnRenamed("id", "joined")
+    placed = classes.join(whole, classes["id"] == whole["joined"], "left").select(
+        "id", "label", "embedding", "weight", "least", F.coalesce("component", "id").alias("group")
+    )
+    smallest = placed.groupBy("group").agg(F.min("least").alias("component_id"))
     known = (
-        classes.join(counts, classes["id"] == counts["counted"], "left")
-        .join(whole, classes["id"] == whole["joined"], "left")
+        placed.join(smallest, "group").join(counts, F.col("id") == F.col("counted"), "left")
         .select(
             F.col("label").alias("c_label"), F.col("embedding").alias("c_embedding"),
-            (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-            F.coalesce("component", "id").alias("component_id"),
+            (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id",
         )
     )
     same = F.col("usable") & (F.col("label") == F.col("c_label")) & (F.col("embedding") == F.col("c_embedding"))
