@@ -204,10 +204,12 @@ def connected(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
         )
         small = stored(small, "small-star")
         # A star forest: every node has one link, to a root that has none of its own.
-        several = small.groupBy("u").count().where("count > 1").limit(1)
-        chained = small.join(small.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1)
+        ends = small.select(F.col("u").alias("node"), F.lit(1).alias("links"), F.lit(0).alias("root")).union(
+            small.select(F.col("v").alias("node"), F.lit(0).alias("links"), F.lit(1).alias("root"))
+        )
+        counted = ends.groupBy("node").agg(F.sum("links").alias("links"), F.max("root").alias("root"))
         edges = small
-        if several.isEmpty() and chained.isEmpty():
+        if counted.where("links > 1 OR (links > 0 AND root > 0)").isEmpty():
             break
     stars = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stars.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
