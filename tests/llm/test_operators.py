@@ -298,10 +298,46 @@ def test_jaccard_repeated_rows(spark, monkeypatch, times):
     sets = word_sets(rows)
     want = brute_components(sets)
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame).collect()]
-    assert len(calls) == 2 and any(want[i] != i for i in want)
+    assert len(calls) == 3 and any(want[i] != i for i in want)
     assert sorted(got) == sorted((i, len(sets[i]), want[i]) for i, _ in many)
 
 
+@pytest.mark.parametrize("tile", [3, 512])
+def test_jaccard_two_texts_of_one_id(spark, monkeypatch, tile):
+    """Texts that share an id are documents of their own; null ids belong to no group."""
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    rng = random.Random(tile)
+    bodies = [[f"b{k}w{i}" for i in range(40)] for k in range(12)]
+    rows = []
+    for i in range(90):
+        words = rng.choice(bodies).copy()
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(40)] = f"e{rng.randrange(9)}"
+        rows.append((i % 30 if i % 17 else None, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = word_sets(list(enumerate(t for _, t in rows)))
+    alike = brute_components({n: s for n, s in sets.items() if rows[n][0] is not None})
+    least: dict = {}
+    for n, group in alike.items():
+        least[group] = min(least.get(group, 99), rows[n][0])
+    want = sorted((str(i), len(sets[n]), str(None if i is None else least[alike[n]])) for n, (i, _) in enumerate(rows))
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.jaccard_components(frame).collect())
+    assert got == want
+
+
+def test_bounds_never_fall_below_the_overlap():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        pool = rng.integers(0, 2**63, 2000, dtype=np.uint64)
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, 1500))) for _ in range(2))
+        x, y = (np.frombuffer(jaccard.bitmap(v), np.uint8) for v in (a, b))
+        size = min(len(x), len(y))
+        x, y = (jaccard.folded(v, size).view(np.uint64) for v in (x, y))
+        both = len(np.intersect1d(a, b))
+        assert jaccard.most_common(len(a), x, np.array([len(b)]), y[None])[0] >= both
+        assert jaccard.possible(len(a), len(b), both) == jaccard.linked(a, b)
+
+
 def test_jaccard_edges(edges, none):
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(edges).collect())
     assert got == [(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 2, 5), (6, 2, 5), (6, 2, 5), (7, 1, 7), (8, 2, 8), (9, 1, 9), (10, 1, 10)]
@@ -518,6 +554,28 @@ def test_embeddings_edges(spark):
     assert embeddings.near_duplicates(made.limit(0)).count() == 0
 
 
+def test_embeddings_two_vectors_of_one_id(spark):
+    """Vectors that share an id are vectors of their own; rows without an id link with nothing."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(12, 16))
+    rows = []
+    for i in range(120):
+        vector = base[rng.integers(12)] + rng.normal(size=16) * rng.choice([0, 0.05])
+        rows.append((int(i % 40) if i % 13 else None, vector.tolist(), int(i % 2)))
+    numbered = [(n, v, label) for n, (i, v, label) in enumerate(rows) if i is not None]
+    links = brute_links(numbered)
+    least: dict = {}
+    for n, (_, group, _) in links.items():
+        least[group] = min(least.get(group, 99), rows[n][0])
+    want = sorted(
+        str((i, links[n][0], least[links[n][1]]) if i is not None else (None, 0, None)) for n, (i, _, _) in enumerate(rows)
+    )
+    made = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = embeddings.near_duplicates(made).collect()
+    assert sorted(str((r.vec_id, r.n_links, r.component_id)) for r in got) == want
+    assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got)
+
+
 # registered queries
 
 
