@@ -53,7 +53,8 @@ def _buckets(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         if size in SIZES:
             mixed = running * _MIX
             mixed ^= mixed >> np.uint32(15)
-            out.append((mixed * _MIX) >> shift)
+            # Those that begin in the last edge belong to no text.
+            out.append(((mixed * _MIX) >> shift)[: len(low) - len(_EDGE)])
             begin.append(starts)
     space = _SPACE[low]
     inside = ~space
