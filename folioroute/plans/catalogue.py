@@ -557,9 +557,9 @@ def map_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perfile.result_status(perfile.map_files(docs, measure, "long"))
 
 
-def _recognized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Documents and their manifest, where texts of an odd size stand for scans: no
-    reader finds text in them, though it finds the metadata."""
+def _recognized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents where texts of an odd size stand for scans: no reader finds text in
+    them, though it finds the metadata."""
 
     def reader():
         read = facts_reader()
@@ -576,24 +576,32 @@ def _recognized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
     laid_out = _with_facts(files(spark, sf_dir)).select("path", F.col("text").cast("binary").alias("content"))
     read = E.extract(spread(laid_out, "path"), [reader], recognizer)
-    docs = E.extracted_documents(read, remove_spaces=False)
-    return docs, routing.build_manifest(docs, make_rules(RULES))
+    return E.extracted_documents(read, remove_spaces=False)
+
+
+def _recognized_manifest(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """Named against the table's paths, so nothing is read again for the listing."""
+    return routing.build_manifest(docs, make_rules(RULES), files(spark, sf_dir))
 
 
 def text_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return writers.text_sidecars(*_recognized(spark, sf_dir))
+    docs = _recognized(spark, sf_dir)
+    return writers.text_sidecars(docs, _recognized_manifest(spark, sf_dir, docs))
 
 
 def sidecar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file per recognized text, written twice over, listed and read again."""
-    home = run_dir(spark, "sidecars")
-    docs, placed = _recognized(spark, sf_dir)
+    """One file per recognized text, written twice over, listed and read again.
+
+    What was recognized is stored, and so are the names: both writes use them."""
+    home, texts = run_dir(spark, "sidecars"), run_dir(spark, "recognized")
+    _recognized(spark, sf_dir).write.parquet(texts)
+    docs = spark.read.parquet(texts)
+    placed = reliable(_recognized_manifest(spark, sf_dir, docs))
     for _ in range(2):
         writers.write_sidecar_files(docs, placed, home)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(home)
     content = F.col("content").cast("string")
-    return found.select(
-        F.replace(plain_path(F.col("path")), plain_path(F.lit(home)), F.lit("")).alias("sidecar_path"),
+    return scan_files(spark, home, suffix=K.SIDECAR_SUFFIX).select(
+        F.replace(F.col("path"), plain_path(F.lit(home)), F.lit("")).alias("sidecar_path"),
         F.startswith(content, F.lit(K.BYTE_ORDER_MARK)).alias("marked"),
         F.replace(content, F.lit(K.BYTE_ORDER_MARK), F.lit("")).alias("text"),
     )

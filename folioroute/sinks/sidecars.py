@@ -12,6 +12,9 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from folioroute import constants as K
 from folioroute.sources.files import open_filesystem
 
+# Folders whose file systems a task keeps; rows of many folders come in turn.
+_OPEN_FOLDERS = 1_000
+
 
 class SidecarFiles(DataSource):
     """Rows of ``sidecar_path, text`` to UTF-8 files with a byte order mark.
@@ -47,7 +50,9 @@ class _Writer(DataSourceWriter):
         for row in iterator:
             folder, name = (self.root + row[path_at]).rsplit("/", 1)
             if folder not in opened:
-                opened = {folder: open_filesystem(folder)}
+                if len(opened) >= _OPEN_FOLDERS:
+                    opened.clear()
+                opened[folder] = open_filesystem(folder)
                 opened[folder][0].create_dir(opened[folder][1])
             system, plain = opened[folder]
             self._put(system, f"{plain}/{name}", f"{plain}/.{uuid.uuid4().hex}.part", row[text_at])

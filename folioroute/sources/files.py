@@ -24,30 +24,33 @@ _LISTING = "path string, is_dir boolean, length long, modified timestamp"
 
 
 def list_files(
-    spark: SparkSession, root: str, recursive: bool = True, fan_out_levels: int = 2
+    spark: SparkSession, root: str, recursive: bool = True, fan_out_levels: int = 2, suffix: str = ".pdf"
 ) -> DataFrame:
-    """Every PDF below ``root``: ``path, length, modified``, empty ones too.
+    """Every PDF below ``root``, or every file with another ``suffix`` in any case:
+    ``path, length, modified``, empty ones too.
 
     Executors do the listing. The first levels are unfolded one by one and
     dealt out again, then each task walks the folders it was given.
     """
     if not _listable(root):
-        return _spark_listing(spark, root, recursive).select("path", "length", "modified")
+        return _spark_listing(spark, root, recursive, suffix).select("path", "length", "modified")
     tasks = spark.sparkContext.defaultParallelism
     entries = spark.createDataFrame([(root, True, None, None)], _LISTING)
     entries = entries.mapInPandas(_lister(1), _LISTING)
     if recursive:
         for depth in [1] * (fan_out_levels - 1) + [None]:
             entries = entries.repartition(tasks, "path").mapInPandas(_lister(depth), _LISTING)
-    return entries.where(~F.col("is_dir") & X.is_pdf("path")).select("path", "length", "modified")
+    fits = F.lower("path").endswith(suffix.lower())
+    return entries.where(~F.col("is_dir") & fits).select("path", "length", "modified")
 
 
 def _listable(root: str) -> bool:
     return "://" not in root or root.split("://", 1)[0] in _LISTABLE
 
 
-def _spark_listing(spark: SparkSession, root: str, recursive: bool) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", PDF_GLOB)
+def _spark_listing(spark: SparkSession, root: str, recursive: bool, suffix: str) -> DataFrame:
+    glob = "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", glob)
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
     return reader.load(root).withColumnRenamed("modificationTime", "modified")
@@ -128,8 +131,8 @@ def _entries(system: pafs.FileSystem, folder: str) -> Iterator[tuple]:
         yield info.path, info.type == pafs.FileType.Directory, info.size, info.mtime
 
 
-def scan_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """PDF files with their bytes: ``path, length, modified, content``.
+def scan_files(spark: SparkSession, root: str, recursive: bool = True, suffix: str = ".pdf") -> DataFrame:
+    """PDF files, or those with another ``suffix``, with their bytes: ``path, length, modified, content``.
 
     The listing is the only inventory, so empty files and names that begin with
     a dot or an underscore are there too. It is dealt out by path, and every
@@ -137,8 +140,8 @@ def scan_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFr
     a Spark value, or one that cannot be opened, has null content.
     """
     if not _listable(root):
-        return _spark_listing(spark, root, recursive).select("path", "length", "modified", "content")
-    return read_listed(list_files(spark, root, recursive))
+        return _spark_listing(spark, root, recursive, suffix).select("path", "length", "modified", "content")
+    return read_listed(list_files(spark, root, recursive, suffix=suffix))
 
 
 def read_listed(listed: DataFrame) -> DataFrame:

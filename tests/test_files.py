@@ -204,3 +204,13 @@ def test_rescan_opens_new_and_changed_files_only(spark, tmp_path):
     assert got == {
         "a.pdf": ("same", None), "b.pdf": ("changed", b"bb"), "c.pdf": ("same", None), "d.pdf": ("new", b"d"), "z.pdf": ("gone", None),
     }
+
+
+def test_listing_of_another_suffix(spark, tmp_path):
+    for name in ("a_ocr.txt", "sub/B_OCR.TXT", "a.pdf", "sub/.1f.part", "ocr.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    rows = {r.path.removeprefix(str(tmp_path)): bytes(r.content) for r in S.scan_files(spark, str(tmp_path), suffix="_ocr.txt").collect()}
+    assert rows == {"/a_ocr.txt": b"a_ocr.txt", "/sub/B_OCR.TXT": b"sub/B_OCR.TXT"}
+    listed = S._spark_listing(spark, str(tmp_path), True, "_ocr.txt").collect()
+    assert sorted(r.path.removeprefix(f"file:{tmp_path}") for r in listed) == sorted(rows)

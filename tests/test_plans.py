@@ -102,3 +102,21 @@ def test_building_a_plan_starts_no_job(spark, sf001):
         C.QUERIES[name](spark, sf001)
         assert not tracker.getJobIdsForGroup("building"), name
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_sidecars_are_recognized_once_and_read_by_tasks(spark, sf001, monkeypatch):
+    written = []
+
+    def write(docs, placed, home):
+        written.append([plan(docs), plan(placed)])
+        return real(docs, placed, home)
+
+    real = C.writers.write_sidecar_files
+    monkeypatch.setattr(C.writers, "write_sidecar_files", write)
+    found = C.sidecar_files(spark, sf001)
+    # Neither write goes back to the readers, and the driver lists no files.
+    assert len(written) == 2 and not any("MapInPandas" in text or "MapInArrow" in text for pair in written for text in pair)
+    assert "binaryFile" not in plan(found)
+    lazy = plan(C.text_sidecars(spark, sf001))
+    # Once for the texts, once for the rules; the listing needs no reader.
+    assert lazy.split("Initial Plan")[0].count("MapIn") == 2
