@@ -11,6 +11,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from folioroute import constants as K
 from folioroute.functions import labels as L
@@ -114,7 +115,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    return as_files(_table(spark, sf_dir, "documents"))
+
+
+def as_files(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.concat(
             F.lit("/in/"), "source", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")
@@ -768,45 +772,53 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams -------------------------------------------------------------------------
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str, home: str, by: str) -> DataFrame:
-    """A table that arrives in four batches; rows of one ``by`` arrive together."""
-    _table(spark, sf_dir, name).repartition(4, by).write.parquet(f"{home}/arriving")
-    source = spark.readStream.schema(_SCHEMAS[name]).option("maxFilesPerTrigger", 1)
-    return source.parquet(f"{home}/arriving")
+#: Deliveries in which a table arrives on a stream.
+DELIVERIES = 4
+
+
+def _deliver(spark: SparkSession, sf_dir: str, name: str, home: str, by: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """A table that arrives in four deliveries, each of which a stream handles as one
+    batch and then stops; rows of one ``by`` arrive together.
+
+    A delivery is as many files as the table has splits, so no task takes more of it
+    than it reads of the table.
+    """
+    table = _table(spark, sf_dir, name)
+    part = F.pmod(F.xxhash64(by), F.lit(DELIVERIES))
+    for number in range(DELIVERIES):
+        table.where(part == number).write.mode("append").parquet(f"{home}/arriving")
+        start(spark.readStream.schema(_SCHEMAS[name]).parquet(f"{home}/arriving")).awaitTermination()
 
 
 def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = run_dir(spark, "monitor")
-    events = updates_of(_stream(spark, sf_dir, "events", home, by="event_id"))
-    monitor.monitor_status(
-        events, f"{home}/log", f"{home}/checkpoint", every=None, compact_every=3
-    ).awaitTermination()
+
+    def start(events: DataFrame) -> StreamingQuery:
+        return monitor.monitor_status(updates_of(events), f"{home}/log", f"{home}/checkpoint", every=None, compact_every=3)
+
+    _deliver(spark, sf_dir, "events", home, "event_id", start)
     return monitor.current_status(spark, f"{home}/log")
 
 
 def stream_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts per state after the log of a stream was compacted twice and moved to a fresh one."""
     home = run_dir(spark, "compacted")
-    events = updates_of(_stream(spark, sf_dir, "events", home, by="event_id"))
-    monitor.monitor_status(
-        events, f"{home}/log", f"{home}/checkpoint", every=None, compact_every=2
-    ).awaitTermination()
+
+    def start(events: DataFrame) -> StreamingQuery:
+        return monitor.monitor_status(updates_of(events), f"{home}/log", f"{home}/checkpoint", every=None, compact_every=2)
+
+    _deliver(spark, sf_dir, "events", home, "event_id", start)
     monitor.compact(spark, f"{home}/log", f"{home}/fresh")
     return S.status_counts(monitor.current_status(spark, f"{home}/fresh"))
 
 
 def stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = run_dir(spark, "router")
-    docs = _stream(spark, sf_dir, "documents", home, by="source").select(
-        F.concat(
-            F.lit("/in/"), "source", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")
-        ).alias("path"),
-        "text",
-        E.metadata_entries(lang="lang", source="source").alias("metadata"),
-    )
-    router.route_stream(
-        docs, make_rules(RULES), f"{home}/manifest", f"{home}/checkpoint"
-    ).awaitTermination()
+
+    def start(arriving: DataFrame) -> StreamingQuery:
+        return router.route_stream(as_files(arriving), make_rules(RULES), f"{home}/manifest", f"{home}/checkpoint")
+
+    _deliver(spark, sf_dir, "documents", home, "source", start)
     return router.read_manifest(spark, f"{home}/manifest").drop("batch_id")
 
 

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 import shutil
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioroute.operators import status as S
+from folioroute.plans import catalogue as C
 from folioroute.plans import routing
 from folioroute.sources import extract as E
 from folioroute.sources import files as FS
@@ -177,3 +179,24 @@ def test_slot_map_equals_a_set_of_files():
                 assert slots.claim(name) == want
                 if want is not None:
                     files.add(f"{name}_{want}" if want else name)
+
+
+def delivered(spark, sf001, tmp_path, monkeypatch, query, table):
+    """Runs a stream query over a table of six files; the files that arrived on the stream."""
+    for name in ("documents", "events"):
+        rows = spark.read.parquet(f"{sf001}/{name}.parquet")
+        rows.repartition(6).write.parquet(f"{tmp_path}/sf/{name}.parquet")
+    monkeypatch.setattr(C, "run_dir", lambda spark, purpose: f"{tmp_path}/home")
+    result = C.QUERIES[query](spark, f"{tmp_path}/sf").collect()
+    arrived = spark.read.parquet(f"{tmp_path}/home/arriving")
+    assert arrived.count() == spark.read.parquet(f"{tmp_path}/sf/{table}.parquet").count()
+    return result, [f for f in os.listdir(tmp_path / "home" / "arriving") if f.startswith("part-")]
+
+
+def test_a_delivery_is_no_single_file_and_keeps_sources_together(spark, sf001, tmp_path, monkeypatch):
+    rows, arrived = delivered(spark, sf001, tmp_path, monkeypatch, "stream_route", "documents")
+    assert len(arrived) >= 4 * 3
+    placed = router.read_manifest(spark, f"{tmp_path}/home/manifest").select("batch_id", F.substring_index("path", "/", 3).alias("dir"))
+    assert sorted(r.batch_id for r in placed.select("batch_id").distinct().collect()) == [0, 1, 2, 3]
+    assert placed.distinct().count() == placed.select("dir").distinct().count()
+    assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, C.manifest(spark, f"{tmp_path}/sf").collect()), key=str)
