@@ -57,7 +57,7 @@ class Pattern:
     ``java`` is the Spark form, None if there is none; ``counts_agree`` tells
     whether the number of its matches (not only their existence) is exact.
     ``literal`` is set if the pattern is plain text, ``required`` are
-    texts every match contains.
+    texts every match contains, ``folded`` those that its ``fold_case`` contains.
     """
 
     source: str
@@ -68,6 +68,7 @@ class Pattern:
     never_empty: bool = False
     literal: str | None = None
     required: tuple[str, ...] = ()
+    folded: tuple[str, ...] = ()
     engine: str = "re"
 
     @property
@@ -101,6 +102,7 @@ def compile_pattern(source: str) -> Pattern:
         never_empty=tree.getwidth()[0] > 0,
         literal=literal,
         required=_required_texts(tree, flags),
+        folded=_required_texts(tree, flags, folded=True),
     )
 
 
@@ -136,6 +138,7 @@ def compile_legacy_pattern(source: str) -> Pattern:
         counts_agree=tree.getwidth()[0] > 0 or _only_greedy_characters(tree),
         never_empty=tree.getwidth()[0] > 0,
         required=_required_texts(tree, flags),
+        folded=_required_texts(tree, flags, folded=True),
     )
 
 
@@ -206,6 +209,17 @@ def _any_case(body: str, flags: int) -> str:
     return f"(?{'i' if flags & re.ASCII else 'iu'}:{body})"
 
 
+_FOLDS_TO_ASCII = {"İ": "i", "ı": "i", "\u212a": "k", "ſ": "s"}
+
+
+def fold_case(text: str) -> str:
+    """A text in which all variants of an ASCII character are one."""
+    if not text.isascii():
+        for variant, char in _FOLDS_TO_ASCII.items():
+            text = text.replace(variant, char)
+    return text.lower()
+
+
 @lru_cache(maxsize=512)
 def _variants(code: int, ascii_only: bool) -> tuple[int, ...]:
     """The characters an ASCII character stands for when case is ignored.
@@ -214,7 +228,7 @@ def _variants(code: int, ascii_only: bool) -> tuple[int, ...]:
     """
     char = chr(code)
     # Unicode letters that fold to ASCII ones are among these.
-    candidates = {char, char.lower(), char.upper(), "İ", "ı", "\u212a", "ſ"}
+    candidates = {char, char.lower(), char.upper(), *_FOLDS_TO_ASCII}
     same = re.compile(re.escape(char), re.IGNORECASE | (re.ASCII if ascii_only else 0))
     return tuple(sorted(ord(c) for c in candidates if same.fullmatch(c)))
 
@@ -397,27 +411,29 @@ def _may_start_inside(tree, flags: int) -> bool:
     return True
 
 
-def _required_texts(tree, flags: int) -> tuple[str, ...]:
-    """The longest runs of plain characters that are part of every match."""
-    runs = sorted(set(_required_runs(tree, flags)), key=lambda run: (-len(run), run))
+def _required_texts(tree, flags: int, folded: bool = False) -> tuple[str, ...]:
+    """The longest runs of plain characters that are part of every match; ``folded``,
+    of ASCII ones in its ``fold_case``."""
+    found = _required_runs(tree, flags, folded)
+    runs = sorted({fold_case(run) if folded else run for run in found}, key=lambda run: (-len(run), run))
     telling = [run for run in runs if len(run) > 1 or not run.isalnum()]
     return tuple(run for run in telling if not any(run in o and run != o for o in telling))[:3]
 
 
-def _required_runs(tree, flags: int):
+def _required_runs(tree, flags: int, folded: bool = False):
     run = ""
     for op, arg in tree:
         name = str(op)
-        if name == "LITERAL" and (not flags & re.IGNORECASE or _has_no_case(arg)):
+        if name == "LITERAL" and (arg < 128 if folded else not flags & re.IGNORECASE or _has_no_case(arg)):
             run += chr(arg)
             continue
         if run:
             yield run
         run = ""
         if name == "SUBPATTERN":
-            yield from _required_runs(arg[3], (flags | arg[1]) & ~arg[2])
+            yield from _required_runs(arg[3], (flags | arg[1]) & ~arg[2], folded)
         elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] > 0:
-            yield from _required_runs(arg[2], flags)
+            yield from _required_runs(arg[2], flags, folded)
     if run:
         yield run
 

@@ -157,13 +157,17 @@ def _by_automaton(live: list[Rule]) -> bool:
 def _candidates(live: list[Rule], rules: RuleSet) -> Column:
     """Positions of the rules that may fit a document. A rule of the legacy dialect
     that asks for absence may fit anywhere."""
-    keys = []
-    for rule in live:
-        pattern = rules.pattern(rule)
-        texts = [pattern.literal] if pattern.literal else list(pattern.required)
-        anywhere = not texts or (rules.legacy and rule.min_hits == 0)
-        keys.append((target_column(rule, rules.legacy), None if anywhere else max(texts, key=len)))
-    return automaton.candidates(keys)
+    return automaton.candidates([_candidate_key(rule, rules) for rule in live])
+
+
+def _candidate_key(rule: Rule, rules: RuleSet) -> automaton.Key:
+    pattern, column = rules.pattern(rule), target_column(rule, rules.legacy)
+    texts = [pattern.literal] if pattern.literal else list(pattern.required)
+    folded = not texts
+    texts = texts or list(pattern.folded)
+    if not texts or rules.legacy and rule.min_hits == 0:
+        return automaton.Key(column, None)
+    return automaton.Key(column, max(texts, key=len), max(1, rule.min_hits), folded)
 
 
 _RULE_ENTRY = (

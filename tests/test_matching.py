@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioroute.operators import matching as M
 from folioroute.plans import routing
@@ -160,3 +161,33 @@ def test_automaton_equals_the_walk(spark, monkeypatch, size, legacy):
     monkeypatch.setattr(M, "AUTOMATON_RULES", size)
     assert run() == by_automaton
     assert len(by_automaton[1]) > 40
+
+
+def test_candidates_were_met_often_enough_in_any_case(spark):
+    """Random tables and texts, with the letters that fold to ASCII ones; against Python's counts."""
+    rnd = random.Random(11)
+    pairs = [a + b for a in "sikKbt" for b in "isktaéS-"]
+    entries = [
+        dict(pattern=rnd.choice(["", "(?i)"]) + rnd.choice(["{}", "{}", "x?{}", "({})+", "{}|zz"]).format(pair), name=f"n{i}", target="內容", occurrence=rnd.randrange(1, 7))
+        for i, pair in enumerate(pairs * 3)
+    ]
+    texts = ["".join(rnd.choices("sSikKbtKſİıéÉaxz- ", k=rnd.randrange(90))) for _ in range(60)] + ["", "ΑΣİſ sı"]
+    for legacy in (False, True):
+        rules = make_rules(entries, legacy=legacy)
+        docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")
+        live = M.live_rules(rules)
+        walked = M._split_by_plan(live, rules)[0]
+        assert len(walked) > M.AUTOMATON_RULES
+        first = {int(r.path): r.rule_id for r in M.first_match(docs, rules).collect()}
+        met = {int(r.path): r.c for r in docs.select("path", M._candidates(walked, rules).alias("c")).collect()}
+        for number, text in enumerate(texts):
+            counts = [len(re.findall(r.pattern, text, 0 if legacy else re.DOTALL)) for r in live]
+            fitting = [r.rule_id for r, n in zip(live, counts) if (n == r.min_hits if legacy else n >= max(1, r.min_hits))]
+            assert first[number] == (fitting[0] if fitting else None)
+            chosen = {walked[i].rule_id for i in met[number]}
+            assert chosen >= set(fitting) & {r.rule_id for r in walked}
+    # Met once too seldom is no candidate, whatever its case.
+    rules = make_rules([dict(pattern="(?i)ab", name="a", target="內容", occurrence=3), dict(pattern="cd", name="c", target="內容", occurrence=2)] * 60)
+    docs = spark.createDataFrame([("abABcd",), ("aBAbabcd",)], "text string")
+    found = docs.select(F.size(M._candidates(M.live_rules(rules), rules)).alias("n")).collect()
+    assert [r.n for r in found] == [0, 60]
