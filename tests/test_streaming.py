@@ -200,3 +200,10 @@ def test_a_delivery_is_no_single_file_and_keeps_sources_together(spark, sf001, t
     assert sorted(r.batch_id for r in placed.select("batch_id").distinct().collect()) == [0, 1, 2, 3]
     assert placed.distinct().count() == placed.select("dir").distinct().count()
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, C.manifest(spark, f"{tmp_path}/sf").collect()), key=str)
+
+
+def test_a_status_delivery_is_read_by_several_tasks(spark, sf001, tmp_path, monkeypatch):
+    rows, arrived = delivered(spark, sf001, tmp_path, monkeypatch, "stream_compacted", "events")
+    assert len(arrived) >= 4 * 3
+    assert rows == S.status_counts(C.status(spark, f"{tmp_path}/sf")).collect()
+    assert len(os.listdir(tmp_path / "home" / "log" / "snapshots")) == 2
