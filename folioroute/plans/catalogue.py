@@ -19,7 +19,7 @@ from folioroute.functions import text as X
 from folioroute.operators import legacy, matching, pages, perfile, protect
 from folioroute.operators import status as S
 from folioroute.plans import routing
-from folioroute.session import reliable, run_dir, spread
+from folioroute.session import reliable, run_dir, slices, spread
 from folioroute.sinks import status_table as stored_status
 from folioroute.sinks import writers
 from folioroute.sources import extract as E
@@ -340,16 +340,16 @@ def _lay_out(docs: DataFrame, home: str) -> None:
     """Write each text to its path below a folder, from within the tasks."""
 
     def write(batches):
-        for batch in batches:
-            for path, text in zip(batch["path"], batch["text"]):
+        for part in slices(batches, "text"):
+            for path, text in zip(part.column("path").to_pylist(), part.column("text").to_pylist()):
                 folder, name = (home + path).rsplit("/", 1)
                 system, plain = open_filesystem(folder)
                 system.create_dir(plain)
                 with system.open_output_stream(f"{plain}/{name}") as stream:
                     stream.write(text.encode("utf-8"))
-            yield batch[["path"]]
+            yield part.select(["path"])
 
-    spread(docs.select("path", "text"), "path").mapInPandas(write, "path string").count()
+    spread(docs.select("path", "text"), "path").mapInArrow(write, "path string").count()
 
 
 def _below(column: str, home: str):

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+# Contents that a Python worker turns into objects at once.
+SLICE_BYTES = 4 * 1024 * 1024
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir`` of the
@@ -43,6 +49,30 @@ def local_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType | s
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema)
 
 
+def arrow_schema(schema: str) -> pa.Schema:
+    return to_arrow_schema(T._parse_datatype_string(schema))
+
+
+def arrow_rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows of a ``mapInArrow`` function as Spark takes them."""
+    columns = list(zip(*rows)) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the values of a text or binary column have about ``limit``
+    bytes together, or are a single one. Spark's own bounds are ten thousand rows and
+    64 MB, and a worker would hold several copies of those."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        piece = np.cumsum(sizes, dtype="int64") // limit
+        starts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+        for first, end in zip(starts, starts[1:]):
+            yield batch.slice(first, end - first)
+
+
 def reliable(df: DataFrame) -> DataFrame:
     """Cut the lineage of a slim result that several branches read.
 

@@ -10,10 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioroute.functions import text as X
+from folioroute.session import arrow_rows, arrow_schema, slices
 from folioroute.sources.files import open_filesystem
 
 Reader = Callable[[bytes], tuple[list[str], dict]]
@@ -40,17 +42,19 @@ def extract(
     (``want_...``) is not read.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = arrow_schema(_EXTRACTED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         built = [build() for build in readers]
         recognize = recognizer() if recognizer is not None else None
-        for batch in batches:
+        for part in slices(batches, "content"):
             rows = [
                 (path, *_read_one(content, built, recognize, force_ocr, want_pages, want_metadata))
-                for path, content in zip(batch["path"], batch["content"])
+                for path, content in zip(part.column("path").to_pylist(), part.column("content").to_pylist())
             ]
-            yield pd.DataFrame(rows, columns=["path", "pages", "recognized", "metadata", "error"])
+            yield arrow_rows(rows, schema)
 
-    return files.select("path", "content").mapInPandas(run, _EXTRACTED)
+    return files.select("path", "content").mapInArrow(run, _EXTRACTED)
 
 
 def extract_page_ranges(files: DataFrame, opener: Callable[[], Callable], pages: int = 200) -> DataFrame:

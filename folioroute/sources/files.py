@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioroute.functions import text as X
-from folioroute.session import reliable
+from folioroute.session import SLICE_BYTES, reliable
 
 PDF_GLOB = "*.[pP][dD][fF]"
 # A Spark value ends below 2 GB; Arrow batches of contents are closed at this size.
 _LARGEST_FILE = 2**31 - 1024
-_BATCH_BYTES = 32 * 1024 * 1024
+_BATCH_BYTES = SLICE_BYTES
 # Stores that tasks can list themselves; others are listed by Spark's own source.
 _LISTABLE = ("file", "hdfs", "s3", "s3a", "s3n", "gs", "gcs")
 _LISTING = "path string, is_dir boolean, length long, modified timestamp"

@@ -1,6 +1,7 @@
 import os
 import sys
 
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from folioroute.functions import text as X
 from folioroute.operators import pages as G
 from folioroute.plans import routing
+from folioroute.session import slices
 from folioroute.sources import extract as E
 from folioroute.sources import files as S
 from folioroute.sources.rules import make_rules
@@ -214,3 +216,31 @@ def test_listing_of_another_suffix(spark, tmp_path):
     assert rows == {"/a_ocr.txt": b"a_ocr.txt", "/sub/B_OCR.TXT": b"sub/B_OCR.TXT"}
     listed = S._spark_listing(spark, str(tmp_path), True, "_ocr.txt").collect()
     assert sorted(r.path.removeprefix(f"file:{tmp_path}") for r in listed) == sorted(rows)
+
+
+def test_slices_are_bounded_and_whole():
+    texts = ["x" * 5, None, "é" * 3, "", "y" * 30, "z", "w" * 9, "v" * 2]
+    batch = pa.record_batch({"path": list("abcdefgh"), "text": texts})
+    parts = list(slices(iter([batch.slice(0, 0), batch, batch.slice(4, 1)]), "text", 10))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == [*texts, "y" * 30]
+    for part in parts:
+        sizes = [len((t or "").encode()) for t in part.column("text").to_pylist()]
+        assert sum(sizes) - sizes[0] < 10
+    assert len(parts) < 8
+
+
+def test_a_worker_reads_a_large_batch_in_slices(spark):
+    """Twenty contents of a megabyte handed over at once are never twenty pages at once."""
+
+    class Frame:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = E.extract(Frame(), [E.text_reader])
+    batch = pa.record_batch({"path": [f"p{i}" for i in range(20)], "content": [bytes([97 + i]) * 2**20 for i in range(20)]})
+    found = list(run(iter([batch])))
+    assert [r for b in found for r in b.column("pages").to_pylist()] == [[chr(97 + i) * 2**20] for i in range(20)]
+    assert max(b.num_rows for b in found) <= 5
