@@ -774,27 +774,37 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Deliveries in which a table arrives on a stream.
 DELIVERIES = 4
+# A batch begins as soon as there is something to do.
+AT_ONCE = "0 seconds"
 
 
 def _deliver(spark: SparkSession, sf_dir: str, name: str, home: str, by: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
-    """A table that arrives in four deliveries, each of which a stream handles as one
-    batch and then stops; rows of one ``by`` arrive together.
+    """A table that arrives in four deliveries, each of which a running stream handles
+    as one batch; rows of one ``by`` arrive together.
 
     A delivery is as many files as the table has splits, so no task takes more of it
-    than it reads of the table.
+    than it reads of the table. Its folder is moved to its place when it is complete.
     """
     table = _table(spark, sf_dir, name)
     part = F.pmod(F.xxhash64(by), F.lit(DELIVERIES))
-    for number in range(DELIVERIES):
-        table.where(part == number).write.mode("append").parquet(f"{home}/arriving")
-        start(spark.readStream.schema(_SCHEMAS[name]).parquet(f"{home}/arriving")).awaitTermination()
+    system, arriving = open_filesystem(f"{home}/arriving")
+    system.create_dir(arriving)
+    source = spark.readStream.schema(_SCHEMAS[name]).option("recursiveFileLookup", True)
+    query = start(source.parquet(f"{home}/arriving"))
+    try:
+        for number in range(DELIVERIES):
+            table.where(part == number).write.parquet(f"{home}/sent-{number}")
+            system.move(open_filesystem(f"{home}/sent-{number}")[1], f"{arriving}/{number}")
+            query.processAllAvailable()
+    finally:
+        query.stop()
 
 
 def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = run_dir(spark, "monitor")
 
     def start(events: DataFrame) -> StreamingQuery:
-        return monitor.monitor_status(updates_of(events), f"{home}/log", f"{home}/checkpoint", every=None, compact_every=3)
+        return monitor.monitor_status(updates_of(events), f"{home}/log", f"{home}/checkpoint", every=AT_ONCE, compact_every=3)
 
     _deliver(spark, sf_dir, "events", home, "event_id", start)
     return monitor.current_status(spark, f"{home}/log")
@@ -805,7 +815,7 @@ def stream_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = run_dir(spark, "compacted")
 
     def start(events: DataFrame) -> StreamingQuery:
-        return monitor.monitor_status(updates_of(events), f"{home}/log", f"{home}/checkpoint", every=None, compact_every=2)
+        return monitor.monitor_status(updates_of(events), f"{home}/log", f"{home}/checkpoint", every=AT_ONCE, compact_every=2)
 
     _deliver(spark, sf_dir, "events", home, "event_id", start)
     monitor.compact(spark, f"{home}/log", f"{home}/fresh")
@@ -816,7 +826,7 @@ def stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = run_dir(spark, "router")
 
     def start(arriving: DataFrame) -> StreamingQuery:
-        return router.route_stream(as_files(arriving), make_rules(RULES), f"{home}/manifest", f"{home}/checkpoint")
+        return router.route_stream(as_files(arriving), make_rules(RULES), f"{home}/manifest", f"{home}/checkpoint", AT_ONCE)
 
     _deliver(spark, sf_dir, "documents", home, "source", start)
     return router.read_manifest(spark, f"{home}/manifest").drop("batch_id")

@@ -188,9 +188,9 @@ def delivered(spark, sf001, tmp_path, monkeypatch, query, table):
         rows.repartition(6).write.parquet(f"{tmp_path}/sf/{name}.parquet")
     monkeypatch.setattr(C, "run_dir", lambda spark, purpose: f"{tmp_path}/home")
     result = C.QUERIES[query](spark, f"{tmp_path}/sf").collect()
-    arrived = spark.read.parquet(f"{tmp_path}/home/arriving")
+    arrived = spark.read.option("recursiveFileLookup", True).parquet(f"{tmp_path}/home/arriving")
     assert arrived.count() == spark.read.parquet(f"{tmp_path}/sf/{table}.parquet").count()
-    return result, [f for f in os.listdir(tmp_path / "home" / "arriving") if f.startswith("part-")]
+    return result, list((tmp_path / "home" / "arriving").rglob("part-*"))
 
 
 def test_a_delivery_is_no_single_file_and_keeps_sources_together(spark, sf001, tmp_path, monkeypatch):
